@@ -1,0 +1,30 @@
+"""Small helpers that give plain tables the columns a plan expects."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def ordered_positions(df: DataFrame, order: str, tie: str, name: str) -> DataFrame:
+    """1-based global position by a string column, then a tie-breaker.
+
+    Rows are counted per (text prefix, hash cell of the tie-breaker is not
+    needed): the order column's values are counted first, prefix sums run over
+    two-character cells, and only rows of one value are numbered together.
+    """
+    cell = df.withColumn("__cell", F.substring(order, 1, 2))
+    counted = cell.groupBy("__cell", order).agg(F.count("*").alias("__n"))
+    cells = counted.groupBy("__cell").agg(F.sum("__n").alias("__c"))
+    whole = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("__before_cell", F.coalesce(F.sum("__c").over(whole), F.lit(0))).drop("__c")
+    inside = Window.partitionBy("__cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    values = counted.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0))).drop("__n")
+    offsets = values.join(cells, "__cell").select(order, (F.col("__before") + F.col("__before_cell")).alias("__offset"))
+    row = F.row_number().over(Window.partitionBy(order).orderBy(tie))
+    return (
+        df.withColumn("__row", row)
+        .join(offsets, order)
+        .withColumn(name, (F.col("__row") + F.col("__offset")).cast("bigint"))
+        .drop("__row", "__offset")
+    )
