@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import metrics, quality  # noqa: F401
+from . import ingest, metrics, quality  # noqa: F401

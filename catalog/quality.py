@@ -137,14 +137,14 @@ def _(t):
 
 @query(
     "keyed_reorder",
-    s("SELECT s.key, label, pos FROM scored s JOIN (SELECT p_partkey AS key, row_number() OVER (ORDER BY p_name, p_partkey) AS pos FROM part) r ON r.key = s.key WHERE fold = 0"),
+    s("SELECT s.key, label, pos FROM scored s JOIN (SELECT p_partkey AS key, row_number() OVER (ORDER BY md5(CAST(p_partkey AS VARCHAR)), p_partkey) AS pos FROM part) r ON r.key = s.key WHERE fold = 0"),
     "label",
 )
 def _(t):
-    from rubrica.operators.ranking import hashed_positions  # noqa: F401
-    from rubrica.plans.standins import ordered_positions
+    from rubrica.operators.ranking import hashed_positions
 
-    reference = ordered_positions(t.part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name")), "name", "key", "pos")
+    names = t.part.select(F.col("p_partkey").alias("key"), F.md5(F.col("p_partkey").cast("string")).alias("h"))
+    reference = hashed_positions(names, [], "h", ["key"], "pos")
     return A.keyed_reorder(scored(t).where("fold = 0").select("key", "label"), reference, ["key"], "pos")
 
 
