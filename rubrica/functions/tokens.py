@@ -12,7 +12,7 @@ LETTER_TOKEN = r"[a-z]+"
 CONTENT_TOKEN = r"[a-z']+"
 WORD_OR_NUMBER = r"[A-Za-z']+|\d+"
 UNICODE_WORD = r"[\p{L}\p{N}_']+"
-FILLER_PATTERN = r"(?i)\b(?:u+m+|u+h+|h+m+|e+r+|a+h+|mm+)\b"
+FILLER_PATTERN = r"(?iU)\b(?:u+m+|u+h+|h+m+|e+r+|a+h+|mm+)\b"
 FALSE_START_PATTERN = r"(?U)\b\w+-(?=\s|$)"
 REPEAT_PATTERN = r"(?iU)\b(\w+)\b[,.]?\s+\1\b"
 SENTENCE_MARKS = r"[.!?]+"
