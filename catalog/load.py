@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import ingest, metrics, quality, text  # noqa: F401
+from . import ingest, metrics, quality, series, text  # noqa: F401

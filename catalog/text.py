@@ -10,6 +10,8 @@ from rubrica.functions.numeric import hash_int
 from rubrica.operators import annotation as N
 from rubrica.operators import text as X
 
+from rubrica.sources.tables import spread
+
 from .base import SCORED, query, scored, sql_hash
 
 W = r"\p{L}\p{N}_"
@@ -85,7 +87,7 @@ SPOKEN_SQL = rf"""SELECT doc_id, CAST(short AS DOUBLE) AS very_short_sentence_co
 
 
 def timed(t):
-    return t.documents.select("doc_id", "text", "lang", (F.col("n_chars") / 15).alias("duration"))
+    return spread(t.documents, "doc_id").select("doc_id", "text", "lang", (F.col("n_chars") / 15).alias("duration"))
 
 
 @query("surface_features", f"WITH {BASE} {SURFACE_SQL}", " ".join(X.SURFACE))
@@ -119,7 +121,7 @@ PLANTED_DOCS = "(SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN 'I wen- I we
 
 
 def planted_documents(t):
-    return t.documents.select(
+    return spread(t.documents, "doc_id").select(
         "doc_id", "lang", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("I wen- I went, um "), "text")).otherwise(F.col("text")).alias("text")
     )
 
@@ -281,7 +283,7 @@ def pick(values, index):
 
 
 def annotated(t):
-    sents = t.documents.select("doc_id", F.posexplode(F.filter(T.sentence_spans("text"), lambda s: s != "")).alias("sent_id", "s"))
+    sents = spread(t.documents, "doc_id").select("doc_id", F.posexplode(F.filter(T.sentence_spans("text"), lambda s: s != "")).alias("sent_id", "s"))
     toks = sents.select("doc_id", "sent_id", F.posexplode(F.regexp_extract_all(F.lower("s"), F.lit(r"[\p{L}\p{N}_']+|[.!?,]"), F.lit(0))).alias("j", "text"))
     h = hash_int("text")
     mark = F.col("text").isin(".", "!", "?", ",")
@@ -305,9 +307,9 @@ def sql_list(values) -> str:
 
 
 ANNOTATED = rf"""sents AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS sent_id, unnest(s) AS s FROM (SELECT doc_id, {sql_spans('text')} AS s FROM documents)),
- toks AS (SELECT doc_id, sent_id, generate_subscripts(w, 1) - 1 AS j, unnest(w) AS text FROM (SELECT doc_id, sent_id, regexp_extract_all(lower(s), '[{W}'']+|[.!?,]') AS w FROM sents)),
+ toks AS (SELECT doc_id, sent_id, generate_subscripts(w, 1) - 1 AS j, unnest(w) AS text, unnest(list_transform(range(0, len(w)), lambda k: w[k // 2 + 1])) AS head_text FROM (SELECT doc_id, sent_id, regexp_extract_all(lower(s), '[{W}'']+|[.!?,]') AS w FROM sents)),
  hashed AS (SELECT *, {sql_hash('text')} AS h, text IN ('.', '!', '?', ',') AS is_punct FROM toks),
- tokens AS (SELECT doc_id, sent_id, sent_id * 1000000 + j AS i, sent_id * 1000000 + j // 2 AS head_i, j, text, is_punct, CASE WHEN is_punct THEN 'PUNCT' ELSE {sql_list(N.POS_TAGS)}[h % 14 + 1] END AS pos,
+ tokens AS (SELECT doc_id, sent_id, sent_id * 1000000 + j AS i, sent_id * 1000000 + j // 2 AS head_i, j, text, is_punct, head_text IN ('.', '!', '?', ',') AS head_punct, CASE WHEN j = 0 THEN 0 ELSE CAST(floor(log2(j)) AS BIGINT) + 1 END AS depth, CASE WHEN is_punct THEN 'PUNCT' ELSE {sql_list(N.POS_TAGS)}[h % 14 + 1] END AS pos,
    CASE WHEN h % 3 = 0 THEN 'MD' ELSE 'XX' END AS tag, CASE WHEN is_punct THEN 'punct' ELSE {sql_list(DEPS)}[(h + j) % 14 + 1] END AS dep, {sql_list(MORPHS)}[(h // 16) % 4 + 1] AS morph FROM hashed)"""
 
 POS_NAMES = [x for tag in N.POS_TAGS for x in (f"pos_{tag.lower()}_count", f"pos_{tag.lower()}_per_100_words")] + [
@@ -350,12 +352,10 @@ def sql_in(labels) -> str:
 @query(
     "token_annotation_syntax",
     f"""WITH {ANNOTATED},
-      real_depths AS (SELECT doc_id, i, CASE WHEN j = 0 THEN 0 ELSE CAST(floor(log2(j)) AS BIGINT) + 1 END AS depth FROM tokens),
-      linked AS (SELECT t.*, d.depth, h.is_punct AS head_punct FROM tokens t JOIN real_depths d USING (doc_id, i) JOIN tokens h ON h.doc_id = t.doc_id AND h.i = t.head_i),
       per_sentence AS (SELECT doc_id, sent_id, sum(abs(i - head_i)) FILTER (WHERE {WORD} AND i <> head_i AND NOT head_punct) AS ds, count(*) FILTER (WHERE {WORD} AND i <> head_i AND NOT head_punct) AS dn, max(abs(i - head_i)) FILTER (WHERE {WORD} AND i <> head_i AND NOT head_punct) AS dx,
         sum(depth) FILTER (WHERE {WORD}) AS ps, count(*) FILTER (WHERE {WORD}) AS pn, max(depth) FILTER (WHERE {WORD}) AS px, bool_or({WORD} AND dep IN {sql_in(N.SUBJECTS)}) AS subject, bool_or({FINITE}) AS finite, """
     + ", ".join(f"count(*) FILTER (WHERE {WORD} AND dep IN {sql_in(labels)}) AS {name}" for name, labels in N.DEPENDENCIES.items())
-    + """ FROM linked GROUP BY doc_id, sent_id) SELECT doc_id, coalesce(sum(ds) / nullif(sum(dn), 0), 0) AS mean_dependency_distance, CAST(coalesce(max(dx), 0) AS DOUBLE) AS max_dependency_distance, coalesce(sum(ps) / nullif(sum(pn), 0), 0) AS mean_dependency_tree_depth, CAST(coalesce(max(px), 0) AS DOUBLE) AS max_dependency_tree_depth, """
+    + """ FROM tokens GROUP BY doc_id, sent_id) SELECT doc_id, coalesce(sum(ds) / nullif(sum(dn), 0), 0) AS mean_dependency_distance, CAST(coalesce(max(dx), 0) AS DOUBLE) AS max_dependency_distance, coalesce(sum(ps) / nullif(sum(pn), 0), 0) AS mean_dependency_tree_depth, CAST(coalesce(max(px), 0) AS DOUBLE) AS max_dependency_tree_depth, """
     + ", ".join(f"CAST(sum({name}) AS DOUBLE) AS {name}_count, sum({name}) / count(*) AS {name}_per_sentence" for name in N.DEPENDENCIES)
     + """, CAST(count(*) FILTER (WHERE subject) AS DOUBLE) AS sentences_with_subject_count, CAST(count(*) FILTER (WHERE finite) AS DOUBLE) AS sentences_with_finite_verb_count, CAST(count(*) FILTER (WHERE subject AND finite) AS DOUBLE) AS sentences_with_subject_and_finite_verb_count,
       count(*) FILTER (WHERE subject) / count(*) AS sentences_with_subject_rate, count(*) FILTER (WHERE finite) / count(*) AS sentences_with_finite_verb_rate, count(*) FILTER (WHERE subject AND finite) / count(*) AS sentence_completeness_rate FROM per_sentence GROUP BY doc_id""",

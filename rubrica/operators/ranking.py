@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 ALL = "__all"
 CELLS = 1024
 
@@ -23,9 +25,13 @@ CELLS = 1024
 def value_counts(
     df: DataFrame, groups: Sequence[str], value: str, counts: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Distinct values of each group with their (possibly several) counts."""
+    """Distinct values of each group with their (possibly several) counts.
+
+    The counts are read several times afterwards, so they are checkpointed: the
+    scan behind them runs once and a lost executor does not repeat it.
+    """
     counts = counts or {"n": F.lit(1)}
-    return (
+    return cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*groups, value)
         .agg(*[F.sum(c.cast("bigint")).alias(name) for name, c in counts.items()])
@@ -94,8 +100,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per named probability."""
     groups = list(groups)
-    ranked = cumulative(value_counts(df, groups, value), groups, value, ("n",), cells)
-    totals = ranked.groupBy(*groups).agg(F.sum("n").alias("__total"))
+    counted = value_counts(df, groups, value)
+    ranked = cumulative(counted, groups, value, ("n",), cells)
+    totals = counted.groupBy(*groups).agg(F.sum("n").alias("__total"))
     located = ranked.join(totals, groups) if groups else ranked.crossJoin(F.broadcast(totals))
     picks, outputs = [], []
     for name, p in probabilities.items():

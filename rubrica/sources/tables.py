@@ -12,6 +12,16 @@ from pyspark.sql import types as T
 from ..functions.numeric import count_where, is_finite, report_number
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan of few splits one partition per core before heavy row work.
+
+    A large table already has far more splits than cores and is left alone, so
+    this adds a shuffle only where the input is a handful of small files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_labeled_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Typed CSV.  Every file's header must equal the schema's names in order, and
     a cell that does not fit its type fails the read."""
