@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import ingest, metrics, quality, series, text, vectors  # noqa: F401
+from . import drift, ingest, metrics, quality, series, text, vectors  # noqa: F401
