@@ -23,3 +23,113 @@ def mean_baseline_params(df: DataFrame, label: str = "label", fold: str = "fold"
 def mean_baseline_oof(df: DataFrame, label: str = "label", fold: str = "fold") -> DataFrame:
     """Predict every row with the mean label of the other folds."""
     return df.join(F.broadcast(mean_baseline_params(df, label, fold)), fold)
+
+
+def stratification_bins(
+    df: DataFrame, label: str, n_bins: int = 5, n_splits: int = 5, name: str = "bin"
+) -> DataFrame:
+    """Right-closed quantile bins of the target.
+
+    Repeated edges merge.  The bin count is lowered until every bin holds at
+    least ``n_splits`` rows; one bin is the fallback.  Only edges and bin sizes
+    (at most ``n_bins`` numbers) come to the driver.
+    """
+    rows = df.count()
+    if rows < n_splits:
+        raise ValueError("Fewer rows than folds")
+    for count in range(min(n_bins, rows // n_splits), 1, -1):
+        edges = bin_edges(df, label, count)
+        inner = edges[1:-1]
+        binned = df.withColumn(name, _bin_of(label, inner))
+        sizes = [r["n"] for r in binned.groupBy(name).agg(F.count("*").alias("n")).collect()]
+        if len(sizes) > 1 and min(sizes) >= n_splits or len(edges) == 2:
+            return _contiguous(binned, name)
+    return df.withColumn(name, F.lit(0).cast("bigint"))
+
+
+def bin_edges(df: DataFrame, label: str, count: int) -> list[float]:
+    """Distinct quantile edges, outer ones included."""
+    probabilities = {f"q{i}": i / count for i in range(count + 1)}
+    row = exact_quantiles(df, [], label, probabilities).first()
+    return sorted({row[q] for q in probabilities})
+
+
+def _bin_of(label: str, inner: Sequence[float]):
+    """Number of inner edges strictly below the value."""
+    total = F.lit(0)
+    for edge in inner:
+        total = total + F.when(F.col(label) > edge, 1).otherwise(0)
+    return total.cast("bigint")
+
+
+def _contiguous(df: DataFrame, name: str) -> DataFrame:
+    """Renumber occupied bins 0, 1, 2, ... (empty ones vanish)."""
+    used = sorted(r[0] for r in df.select(name).distinct().collect())
+    if used == list(range(len(used))):
+        return df
+    out = F
+    for position, bin_id in enumerate(used):
+        out = out.when(F.col(name) == bin_id, position)
+    return df.withColumn(name, out.cast("bigint"))
+
+
+def stratified_folds(
+    df: DataFrame, key: str, label: str, n_splits: int = 5, n_bins: int = 5, seed: int = 42
+) -> DataFrame:
+    """Deal the rows of each bin over the folds in the order of a seeded key hash.
+
+    Dealing continues across bins, so fold sizes differ by at most one in total
+    and inside every bin.  Positions come from hash cells, not from one ordered
+    window per bin.
+    """
+    binned = stratification_bins(df, label, n_bins, n_splits).withColumn(
+        "__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    )
+    sizes = binned.groupBy("bin").agg(F.count("*").alias("n"))
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most n_bins rows
+    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    placed = hashed_positions(binned, ["bin"], "__h", [key], "__pos")
+    return (
+        placed.join(F.broadcast(offsets), "bin")
+        .withColumn("fold", ((F.col("__pos") - 1 + F.col("__offset")) % n_splits).cast("bigint"))
+        .drop("__h", "__pos", "__offset")
+    )
+
+
+def group_folds(df: DataFrame, group: str, n_splits: int = 5) -> DataFrame:
+    """Whole groups to folds: largest first, dealt back and forth.
+
+    Group sizes are ordered as counts of counts, and groups of one size by hash
+    cells, so no task sees all groups.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    by_size = value_counts(sizes.withColumn("negative", -F.col("n")), [], "negative", {"groups": F.lit(1)})
+    ranked = cumulative(by_size, [], "negative", ("groups",)).select(
+        (-F.col("negative")).alias("n"), F.col("groups_before").alias("__before")
+    )
+    hashed = sizes.withColumn("__h", F.md5(F.col(group).cast("string")))
+    placed = hashed_positions(hashed, ["n"], "__h", [group], "__pos").join(ranked, "n")
+    position = F.col("__pos") - 1 + F.col("__before")
+    turn, seat = F.floor(position / n_splits), position % n_splits
+    fold = F.when(turn % 2 == 0, seat).otherwise(n_splits - 1 - seat).cast("bigint")
+    return placed.select(group, F.col("n").alias("group_size"), fold.alias("fold"))
+
+
+def unseen_group_mask(df: DataFrame, group: str, fold: str) -> DataFrame:
+    """True where the row's group has no row in another fold."""
+    spans = df.groupBy(group).agg((F.min(fold) == F.max(fold)).alias("unseen"))
+    return df.join(spans, group)
+
+
+def mean_baseline_report(df: DataFrame, label: str = "label", fold: str = "fold") -> DataFrame:
+    """Per fold: the training mean used and the in-sample error it has there."""
+    sums = df.groupBy(fold).agg(
+        F.sum(label).alias("s"), F.count(label).alias("n"), F.sum(F.col(label) * F.col(label)).alias("q")
+    )
+    totals = sums.agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"), F.sum("q").alias("tq"))
+    rest = lambda t, c: F.col(t) - F.col(c)
+    mean = quotient(rest("ts", "s"), rest("tn", "n"))
+    variance = quotient(rest("tq", "q"), rest("tn", "n")) - mean * mean
+    return sums.crossJoin(F.broadcast(totals)).select(
+        fold, rest("tn", "n").alias("train_n"), mean.alias("train_mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("train_rmse")
+    )
