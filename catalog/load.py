@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import drift, ingest, metrics, models, quality, series, text, vectors  # noqa: F401
+from . import blend, drift, ingest, metrics, models, quality, series, text, vectors  # noqa: F401
