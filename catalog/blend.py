@@ -48,13 +48,12 @@ def _(t):
 SIMPLEX = "SELECT i / 20e0 AS w1, j / 20e0 AS w2, (20 - i - j) / 20e0 AS w3, CAST(i * 21 + j AS BIGINT) AS code FROM (SELECT unnest(range(0, 21)) AS i), (SELECT unnest(range(0, 21)) AS j) WHERE i + j <= 20"
 
 
-@query("simplex_grid", SIMPLEX + " AND (SELECT count(*) FROM part) > 0", "w1 w2 w3")
-def _(t):
-    # The grid is sized by its step alone; the join only keeps it when there are rows to weigh.
-    return B.simplex_grid(t.spark, 3, 0.05).join(F.broadcast(t.part.select("p_partkey").limit(1)), F.lit(True), "left_semi")
+BEST = f"""gr AS ({SIMPLEX}), er AS (SELECT w1, w2, w3, code, sqrt(sum(size * pow(label - w1 * text - w2 * audio - w3 * voice, 2)) / sum(size)) AS e FROM scored, gr GROUP BY ALL)"""
 
 
-BEST = f"""gr AS ({SIMPLEX}), er AS (SELECT w1, w2, w3, code, sqrt(sum(size * pow(label - w1 * text - w2 * audio - w3 * voice, 2)) / sum(size)) AS e FROM scored, gr GROUP BY ALL)"""
+@query("simplex_grid", s("").rstrip() + f", {BEST} SELECT code, w1, w2, w3, e AS weighted_rmse FROM er", "w1 w2 w3 weighted_rmse")
+def _(t):
+    return B.simplex_errors(scored(t), ["text", "audio", "voice"], "label", "size")
 
 
 @query(

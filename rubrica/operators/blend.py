@@ -74,6 +74,17 @@ def best_weights(part, centre: np.ndarray, grid: np.ndarray) -> np.ndarray:
     return grid[int(np.argmin(np.round(blend_errors(part, centre, grid), 9)))]
 
 
+def simplex_errors(df: DataFrame, channels: Sequence[str], label: str, weight: str | None = None, step: float = WEIGHT_STEP) -> DataFrame:
+    """Weighted RMSE of every vector of the simplex grid."""
+    m = channel_moments(df.withColumn("__one", F.lit(0)), channels, label, "__one", weight)
+    vectors = simplex_weights(len(channels), step)
+    errors = blend_errors(m.pick(lambda c: True), m.centre, vectors)
+    ticks = int(round(1 / step))
+    codes = [int(sum(round(w * ticks) * (ticks + 1) ** (len(v) - 2 - i) for i, w in enumerate(v[:-1]))) for v in vectors]
+    measured = df.sparkSession.createDataFrame([(c, float(e)) for c, e in zip(codes, errors)], "code bigint, weighted_rmse double")
+    return simplex_grid(df.sparkSession, len(channels), step).join(F.broadcast(measured), "code")
+
+
 def best_weights_table(df: DataFrame, channels: Sequence[str], label: str, weight: str | None = None, step: float = WEIGHT_STEP) -> DataFrame:
     m = channel_moments(df.withColumn("__one", F.lit(0)), channels, label, "__one", weight)
     part, grid = m.pick(lambda c: True), simplex_weights(len(channels), step)
