@@ -17,6 +17,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    An expression used inside a lambda is otherwise evaluated for every element
+    of the array the lambda runs over.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ratio(numerator: Column | str, denominator: Column | str) -> Column:
     """Quotient that is 0 where the denominator is 0 (or the quotient undefined)."""
     return F.coalesce(F.try_divide(col(numerator).cast("double"), col(denominator).cast("double")), F.lit(0.0))

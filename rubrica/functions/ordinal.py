@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import col
+from .numeric import col, let
 
 # ---- fixed values ----
 SCORE_VALUES = (0.0, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0)
@@ -52,10 +52,14 @@ def decreasing_within_unit(cumulative: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    weights = F.transform(logits, lambda z: F.exp(z - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(weights, lambda w: w / total)
+    weights = let(F.array_max(logits), lambda top: F.transform(logits, lambda z: F.exp(z - top)))
+
+    def normalised(w: Column) -> Column:
+        return let(
+            F.aggregate(w, F.lit(0.0), lambda acc, v: acc + v), lambda total: F.transform(w, lambda v: v / total)
+        )
+
+    return let(weights, normalised)
 
 
 def answer_mean(logits: Column) -> Column:
@@ -63,11 +67,15 @@ def answer_mean(logits: Column) -> Column:
 
 
 def answer_std(logits: Column) -> Column:
-    mean = answer_mean(logits)
-    spread = F.zip_with(
-        softmax(logits), doubles(ANSWER_SCORES), lambda p, v: p * (v - mean) * (v - mean)
-    )
-    return F.sqrt(F.aggregate(spread, F.lit(0.0), lambda acc, v: acc + v))
+    def spread(p: Column) -> Column:
+        return let(
+            expectation(p, ANSWER_SCORES),
+            lambda mean: F.aggregate(
+                F.zip_with(p, doubles(ANSWER_SCORES), lambda q, v: q * (v - mean) * (v - mean)), F.lit(0.0), lambda acc, v: acc + v
+            ),
+        )
+
+    return F.sqrt(let(softmax(logits), spread))
 
 
 def logistic_loss(logit: Column, target: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import col, ratio
+from .numeric import col, let, ratio
 
 # ---- fixed values: these patterns and word lists decide the results ----
 LETTER_TOKEN = r"[a-z]+"
@@ -60,8 +60,7 @@ def sentence_spans(text: Column | str) -> Column:
 def sentences(text: Column | str, max_words: int = MAX_SENTENCE_WORDS) -> Column:
     """Sentences; spans over ``max_words`` words are cut into chunks of that many."""
 
-    def chunks(span: Column) -> Column:
-        words = space_tokens(span)
+    def chunks(words: Column) -> Column:
         starts = F.when(
             F.size(words) > 0,
             F.sequence(F.lit(0), F.size(words) - 1, F.lit(max_words)),
@@ -70,7 +69,7 @@ def sentences(text: Column | str, max_words: int = MAX_SENTENCE_WORDS) -> Column
             starts, lambda s: F.array_join(F.slice(words, s + 1, F.lit(max_words)), " ")
         )
 
-    return F.flatten(F.transform(sentence_spans(text), chunks))
+    return F.flatten(F.transform(sentence_spans(text), lambda span: let(space_tokens(span), chunks)))
 
 
 def adjacent_repeats(tokens: Column) -> Column:
@@ -86,11 +85,13 @@ def adjacent_repeats(tokens: Column) -> Column:
 
 def ngrams(tokens: Column, size: int) -> Column:
     """Consecutive runs of ``size`` tokens joined by a blank."""
-    count = F.size(tokens) - (size - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda s: F.array_join(F.slice(tokens, s, F.lit(size)), " "))
+
+    def windows(words: Column) -> Column:
+        count = F.size(words) - (size - 1)
+        starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.array_join(F.slice(words, s, F.lit(size)), " "))
+
+    return let(tokens, windows)
 
 
 def excess(items: Column) -> Column:
@@ -123,13 +124,11 @@ def array_mean(values: Column) -> Column:
 
 def array_std(values: Column) -> Column:
     """Population standard deviation; 0 for fewer than two values."""
-    mean = array_mean(values)
-    squares = F.aggregate(
-        values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean)
-    )
-    return F.when(F.size(values) < 2, F.lit(0.0)).otherwise(
-        F.sqrt(ratio(squares, F.size(values)))
+    squares = let(
+        array_mean(values),
+        lambda mean: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean)),
     )
+    return F.when(F.size(values) < 2, F.lit(0.0)).otherwise(F.sqrt(ratio(squares, F.size(values))))
 
 
 def array_median(values: Column) -> Column:

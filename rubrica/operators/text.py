@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
-from ..functions.numeric import count_where, is_finite, ratio
+from ..functions.numeric import count_where, is_finite, let, ratio
 from .ranking import exact_quantiles
 
 # ---- fixed values: feature names in their fixed order ----
@@ -183,9 +183,8 @@ def token_edit_distance(source: Column, target: Column) -> Column:
     Each distinct token of the pair becomes one code point (surrogates are
     skipped), and the built-in string distance compares the encoded texts.
     """
-    vocabulary = F.array_distinct(F.concat(source, target))
 
-    def encoded(tokens: Column) -> Column:
+    def encoded(tokens: Column, vocabulary: Column) -> Column:
         def one(token: Column) -> Column:
             index = F.array_position(vocabulary, token) + 255
             code = F.when(index >= 0xD800, index + 0x800).otherwise(index)
@@ -194,7 +193,7 @@ def token_edit_distance(source: Column, target: Column) -> Column:
         return F.decode(F.unhex(F.array_join(F.transform(tokens, one), "")), "UTF-32")
 
     return F.when(F.size(source) == 0, F.size(target)).when(F.size(target) == 0, F.size(source)).otherwise(
-        F.levenshtein(encoded(source), encoded(target))
+        let(F.array_distinct(F.concat(source, target)), lambda known: F.levenshtein(encoded(source, known), encoded(target, known)))
     )
 
 

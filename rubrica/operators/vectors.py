@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import quotient
+from ..functions.numeric import let, quotient
 
 
 def entries(vector: str, dimension: int) -> list[Column]:
@@ -37,7 +37,7 @@ def unit(vector: Column | str, floor: float = 0.0) -> Column:
     v = F.col(vector) if isinstance(vector, str) else vector
     length = F.sqrt(squared_length(v))
     length = F.greatest(length, F.lit(floor)) if floor else F.nullif(length, F.lit(0.0))
-    return F.transform(v, lambda x: x.cast("double") / length)
+    return let(length, lambda size: F.transform(v, lambda x: x.cast("double") / size))
 
 
 def weighted_vector_mean(df: DataFrame, key: Sequence[str], vector: str, weight: Column, dimension: int, name: str = "vector") -> DataFrame:
