@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import blend, drift, ingest, metrics, models, quality, series, streams, text, tfidf, vectors  # noqa: F401
+from . import blend, drift, ingest, metrics, models, plans, quality, series, streams, text, tfidf, vectors  # noqa: F401
