@@ -86,12 +86,16 @@ def adjacent_repeats(tokens: Column) -> Column:
 def ngrams(tokens: Column, size: int) -> Column:
     """Consecutive runs of ``size`` tokens joined by a blank."""
 
-    def windows(words: Column) -> Column:
-        count = F.size(words) - (size - 1)
-        starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda s: F.array_join(F.slice(words, s, F.lit(size)), " "))
-
-    return let(tokens, windows)
+    def grown(words: Column) -> Column:
+        grams = words
+        for n in range(2, size + 1):
+            count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+            grams = F.zip_with(
+                F.slice(grams, F.lit(1), count), F.slice(words, F.lit(n), count), lambda a, b: F.concat(a, F.lit(" "), b)
+            )
+        return grams
+
+    return let(tokens, grown)
 
 
 def excess(items: Column) -> Column:

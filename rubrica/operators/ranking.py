@@ -4,8 +4,8 @@ A window ordered over a column needs the whole partition in one task, and the
 built-in exact percentile keeps every distinct value of a group in one map.
 Neither holds for a column of a 100 TB table.  The functions here first collapse
 equal values to counts, then place values into cells between the minimum and
-maximum, twice, so that only the cells are ordered globally and each cell is
-ordered by itself.  Results are exact whatever the distribution; cells only
+maximum, so that only the cells are ordered globally and each cell is ordered by
+itself.  Results are exact whatever the distribution; cells only
 decide how the work is spread.
 """
 
@@ -20,6 +20,9 @@ from ..session import cut_lineage
 
 ALL = "__all"
 CELLS = 1024
+MAX_CELL_VALUES = 1_000_000
+MAX_LEVELS = 8
+BROADCAST_ROWS = 20_000
 
 
 def value_counts(
@@ -45,6 +48,66 @@ def _before(df: DataFrame, groups: Sequence[str], order: str, names: Sequence[st
     )
 
 
+def _small(df: DataFrame, limit: int) -> DataFrame:
+    """Broadcast a derived table when it is seen to have at most ``limit`` rows."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema, verifySchema=False))
+
+
+def _settled(df: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """A cell table computed once, with its largest number of values per cell."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        local = df.sparkSession.createDataFrame(rows, df.schema, verifySchema=False)
+        return local, max((r["__values"] for r in rows), default=0)
+    stored = cut_lineage(df)
+    return stored, stored.agg(F.max("__values")).first()[0]
+
+
+def _into_cells(
+    counted: DataFrame, keys: Sequence[str], value: str, names: Sequence[str], cells: int
+) -> tuple[DataFrame, list[str], DataFrame]:
+    """Rows with their cell path, the path, and per cell the counts and what lies before.
+
+    A level splits every cell of the level above evenly between its minimum and
+    maximum.  Levels are added while some cell holds more than
+    ``MAX_CELL_VALUES`` distinct values, so heavy tails cost another level, not
+    a large task.
+    """
+    path, work = list(keys), counted
+    offsets: list[DataFrame] = []
+    for level in range(MAX_LEVELS):
+        bounds = work.groupBy(*path).agg(
+            F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi")
+        )
+        # Halved before subtracting: the full range may exceed the largest double.
+        position = (F.col(value).cast("double") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2)
+        cell = f"__c{level}"
+        work = (
+            work.join(_small(bounds, BROADCAST_ROWS), path)
+            .withColumn(cell, F.when(F.col("__hi") > F.col("__lo"), F.floor(position * cells)).otherwise(F.lit(0)))
+            .drop("__lo", "__hi")
+        )
+        parent, path = list(path), [*path, cell]
+        table, most = _settled(
+            work.groupBy(*path).agg(F.count("*").alias("__values"), *[F.sum(n).alias(n) for n in names]), BROADCAST_ROWS
+        )
+        offsets.append(_before(table, parent, cell, names, "_in_parent"))
+        if most <= MAX_CELL_VALUES:
+            break
+    total = offsets[0].select(*keys, "__c0", *[F.col(n + "_in_parent").alias(n + "_offset") for n in names])
+    for level in range(1, len(offsets)):
+        inner = offsets[level]
+        upper = [*keys, *[f"__c{i}" for i in range(level)]]
+        total = inner.join(total, upper).select(
+            *upper, f"__c{level}", *[(F.col(n + "_in_parent") + F.col(n + "_offset")).alias(n + "_offset") for n in names]
+        )
+    sizes = offsets[-1].select(*path, *[F.col(n).alias(n + "_cell") for n in names])
+    return work, path, total.join(sizes, path)
+
+
 def cumulative(
     counted: DataFrame,
     groups: Sequence[str],
@@ -58,32 +121,10 @@ def cumulative(
     """
     groups = list(groups)
     keys = groups or [ALL]
-    work = counted if groups else counted.withColumn(ALL, F.lit(0))
-    path = list(keys)
-    for level in ("__c0", "__c1"):
-        bounds = work.groupBy(*path).agg(
-            F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi")
-        )
-        position = (F.col(value).cast("double") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
-        work = (
-            work.join(bounds, path)
-            .withColumn(
-                level,
-                F.when(F.col("__hi") > F.col("__lo"), F.floor(position * cells)).otherwise(F.lit(0)),
-            )
-            .drop("__lo", "__hi")
-        )
-        path.append(level)
-    leaf = work.groupBy(*path).agg(*[F.sum(n).alias(n) for n in names])
-    outer = leaf.groupBy(*path[:-1]).agg(*[F.sum(n).alias(n) for n in names])
-    outer = _before(outer, keys, "__c0", names, "_outer").drop(*names)
-    leaf = _before(leaf, path[:-1], "__c1", names, "_leaf").drop(*names)
-    offsets = leaf.join(outer, path[:-1]).select(
-        *path, *[(F.col(n + "_leaf") + F.col(n + "_outer")).alias(n + "_offset") for n in names]
-    )
+    work, path, leaf = _into_cells(counted if groups else counted.withColumn(ALL, F.lit(0)), keys, value, names, cells)
+    offsets = _small(leaf.select(*path, *[n + "_offset" for n in names]), BROADCAST_ROWS)
     inside = _before(work, path, value, names, "_inside")
-    joined = inside.join(offsets, path)
-    return joined.select(
+    return inside.join(offsets, path).select(
         *groups,
         value,
         *names,
@@ -98,29 +139,39 @@ def exact_quantiles(
     probabilities: dict[str, float],
     cells: int = CELLS,
 ) -> DataFrame:
-    """Linearly interpolated quantiles per group, one column per named probability."""
+    """Linearly interpolated quantiles per group, one column per named probability.
+
+    Only the cells that hold a wanted rank are ordered.
+    """
     groups = list(groups)
+    keys = groups or [ALL]
     counted = value_counts(df, groups, value)
-    ranked = cumulative(counted, groups, value, ("n",), cells)
-    totals = counted.groupBy(*groups).agg(F.sum("n").alias("__total"))
-    located = ranked.join(totals, groups) if groups else ranked.crossJoin(F.broadcast(totals))
+    work, path, leaf = _into_cells(counted if groups else counted.withColumn(ALL, F.lit(0)), keys, value, ["n"], cells)
+    totals = leaf.groupBy(*keys).agg(F.sum("n_cell").alias("__total"))
+    located = leaf.join(_small(totals, BROADCAST_ROWS), keys)
+    ranks = {name: F.lit(float(p)) * (F.col("__total") - 1) for name, p in probabilities.items()}
+
+    def holds(rank: Column, before: str, size: str) -> Column:
+        return (F.col(before) <= rank) & (rank < F.col(before) + F.col(size))
+
+    wanted = F.lit(False)
+    for rank in ranks.values():
+        wanted = wanted | holds(F.floor(rank), "n_offset", "n_cell") | holds(F.ceil(rank), "n_offset", "n_cell")
+    chosen = _small(located.where(wanted).select(*path, "n_offset", "__total"), BROADCAST_ROWS)
+    ordered = _before(work.join(chosen, path), path, value, ["n"], "_inside").withColumn(
+        "n_before", F.col("n_inside") + F.col("n_offset")
+    )
     picks, outputs = [], []
-    for name, p in probabilities.items():
-        rank = F.lit(float(p)) * (F.col("__total") - 1)
-        low, high = F.floor(rank), F.ceil(rank)
-        holds = lambda r: (F.col("n_before") <= r) & (r < F.col("n_before") + F.col("n"))
+    for name, rank in ranks.items():
+        number = F.col(value).cast("double")
         picks += [
-            F.max(F.when(holds(low), F.col(value).cast("double"))).alias(f"__{name}_lo"),
-            F.max(F.when(holds(high), F.col(value).cast("double"))).alias(f"__{name}_hi"),
-            F.max(rank - low).alias(f"__{name}_f"),
+            F.max(F.when(holds(F.floor(rank), "n_before", "n"), number)).alias(f"__{name}_lo"),
+            F.max(F.when(holds(F.ceil(rank), "n_before", "n"), number)).alias(f"__{name}_hi"),
+            F.max(rank - F.floor(rank)).alias(f"__{name}_f"),
         ]
-        outputs.append(
-            (
-                F.col(f"__{name}_lo")
-                + (F.col(f"__{name}_hi") - F.col(f"__{name}_lo")) * F.col(f"__{name}_f")
-            ).alias(name)
-        )
-    return located.groupBy(*groups).agg(*picks).select(*groups, *outputs)
+        low, high, part = (F.col(f"__{name}_{k}") for k in ("lo", "hi", "f"))
+        outputs.append((low * (1 - part) + high * part).alias(name))
+    return ordered.groupBy(*groups).agg(*picks).select(*groups, *outputs)
 
 
 def hashed_positions(

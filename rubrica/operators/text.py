@@ -104,7 +104,7 @@ def add_disfluency(df: DataFrame, canonical: str, verbatim: str) -> DataFrame:
         F.regexp_count(F.col(verbatim), F.lit(T.REPEAT_PATTERN)) / pieces,
         F.size(F.array_distinct("__content")) / floor,
         letters / floor,
-        F.size(T.content_tokens(canonical)) / F.greatest(F.size(spans), F.lit(1)),
+        (n if canonical == verbatim else F.size(T.content_tokens(canonical))) / F.greatest(F.size(spans), F.lit(1)),
     )
     return work.withColumns({name: v.cast("double") for name, v in zip(DISFLUENCY, values)})
 

@@ -75,8 +75,8 @@ def candidate_study(
 ) -> DataFrame:
     """Raw, clipped, calibrated, fixed-weight and learned-blend candidates against a reference.
 
-    All candidate columns are measured in one pass over the rows; each is
-    classified as dominating, trading off or worse.
+    Clipped and cross-fitted candidates are measured in one pass over the rows,
+    fixed weights from moments; each is classified as dominating, trading off or worse.
     """
     work = B.crossfit_calibration(df, reference, label, fold, name="__calibrated")
     kinds = {f"{reference}": ("raw", F.col(reference))}
@@ -86,9 +86,6 @@ def candidate_study(
     kinds[f"{reference}_calibrated"] = ("crossfit", F.col("__calibrated"))
     kinds[f"{reference}_calibrated_clipped"] = ("crossfit", clip("__calibrated", low, high))
     for other in others:
-        for step in range(steps + 1):
-            w = step / steps
-            kinds[f"{reference}_{other}_w{w:.2f}"] = ("fixed_grid", F.col(reference) * w + F.col(other) * (1 - w))
         learned = f"__learned_{other}"
         work = L.ols_oof(work, [reference, other], label, fold, learned)
         kinds[f"{reference}_{other}_learned"] = ("crossfit", F.col(learned))
@@ -100,9 +97,16 @@ def candidate_study(
         for i, (name, (kind, c)) in enumerate(kinds.items())
     ]
     row = work.agg(*structs)
-    base = F.col("c0")
-    tall = row.select(
-        base["rmse"].alias("__rmse"), base["pearson"].alias("__pearson"), F.explode(F.array(*[f"c{i}" for i in range(len(structs))])).alias("c")
-    )
-    verdict = classify(F.col("c.rmse"), F.col("c.pearson"), F.col("__rmse"), F.col("__pearson"), 1e-9)
-    return tall.select("c.*", verdict.alias("verdict"))
+    tall = row.select(F.explode(F.array(*[f"c{i}" for i in range(len(structs))])).alias("c")).select("c.*")
+    # Fixed weights are linear in the channels: their metrics follow from moments.
+    for other in others:
+        grid = B.blend_grid(df, reference, other, label, fold, [k / steps for k in range(steps + 1)])
+        tall = tall.unionByName(
+            grid.where("scope = 'pooled'").select(
+                F.concat(F.lit(f"{reference}_{other}_w"), F.format_number("weight", 2)).alias("candidate"),
+                F.lit("fixed_grid").alias("kind"), "rmse", "pearson",
+            )
+        )
+    base = row.select(F.col("c0.rmse").alias("__rmse"), F.col("c0.pearson").alias("__pearson"))
+    verdict = classify(F.col("rmse"), F.col("pearson"), F.col("__rmse"), F.col("__pearson"), 1e-9)
+    return tall.crossJoin(F.broadcast(base)).select("candidate", "kind", "rmse", "pearson", verdict.alias("verdict"))
