@@ -24,7 +24,7 @@ def honest(t):
     )
     return H.run(
         rows.where("NOT is_target").drop("is_target"), rows.where("is_target").drop("is_target", "y"), "vec_id", "y", ("embedding", 64), 0.42,
-        ["run_a", "run_b"], [H.Channel("audio", [("low", 32), ("high", 32)], 1000.0), H.Channel("voxtral", [("embedding", 64)], 3000.0)], "short",
+        ["run_a", "run_b"], [H.Channel("audio", [("low", 32), ("high", 32)], 1000.0), H.Channel("speech", [("embedding", 64)], 3000.0)], "short",
     )
 
 
@@ -35,7 +35,7 @@ def _(t):
 
 @query("honest_blend_oof")
 def _(t):
-    return honest(t).oof.select("vec_id", "y", "fold", "group", "weight", "text", "audio", "voxtral", "prediction")
+    return honest(t).oof.select("vec_id", "y", "fold", "group", "weight", "text", "audio", "speech", "prediction")
 
 
 @query(

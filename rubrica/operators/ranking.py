@@ -3,7 +3,8 @@
 A window ordered over a column needs the whole partition in one task, and the
 built-in exact percentile keeps every distinct value of a group in one map.
 Neither holds for a column of a 100 TB table.  The functions here first collapse
-equal values to counts, then place values into cells between the minimum and
+equal values to counts.  Groups with at most ``MAX_CELL_VALUES`` distinct values are
+ordered directly; otherwise values go into cells between the minimum and
 maximum, so that only the cells are ordered globally and each cell is ordered by
 itself.  Results are exact whatever the distribution; cells only
 decide how the work is spread.
@@ -66,14 +67,20 @@ def _settled(df: DataFrame, limit: int) -> tuple[DataFrame, int]:
     return stored, stored.agg(F.max("__values")).first()[0]
 
 
+def _fits(counted: DataFrame, keys: Sequence[str], max_values: int) -> bool:
+    """Whether every group has few enough distinct values to be ordered in one task."""
+    most = counted.groupBy(*keys).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0]
+    return (most or 0) <= max_values
+
+
 def _into_cells(
-    counted: DataFrame, keys: Sequence[str], value: str, names: Sequence[str], cells: int
+    counted: DataFrame, keys: Sequence[str], value: str, names: Sequence[str], cells: int, max_values: int
 ) -> tuple[DataFrame, list[str], DataFrame]:
     """Rows with their cell path, the path, and per cell the counts and what lies before.
 
     A level splits every cell of the level above evenly between its minimum and
-    maximum.  Levels are added while some cell holds more than
-    ``MAX_CELL_VALUES`` distinct values, so heavy tails cost another level, not
+    maximum.  Levels are added while some cell holds more than ``max_values``
+    distinct values, so heavy tails cost another level, not
     a large task.
     """
     path, work = list(keys), counted
@@ -95,7 +102,7 @@ def _into_cells(
             work.groupBy(*path).agg(F.count("*").alias("__values"), *[F.sum(n).alias(n) for n in names]), BROADCAST_ROWS
         )
         offsets.append(_before(table, parent, cell, names, "_in_parent"))
-        if most <= MAX_CELL_VALUES:
+        if most <= max_values:
             break
     total = offsets[0].select(*keys, "__c0", *[F.col(n + "_in_parent").alias(n + "_offset") for n in names])
     for level in range(1, len(offsets)):
@@ -114,6 +121,7 @@ def cumulative(
     value: str,
     names: Sequence[str] = ("n",),
     cells: int = CELLS,
+    max_values: int = MAX_CELL_VALUES,
 ) -> DataFrame:
     """Add ``<name>_before``: the count of strictly smaller values in the group.
 
@@ -121,7 +129,10 @@ def cumulative(
     """
     groups = list(groups)
     keys = groups or [ALL]
-    work, path, leaf = _into_cells(counted if groups else counted.withColumn(ALL, F.lit(0)), keys, value, names, cells)
+    counted = counted if groups else counted.withColumn(ALL, F.lit(0))
+    if _fits(counted, keys, max_values):
+        return _before(counted, keys, value, names, "_before").drop(ALL)
+    work, path, leaf = _into_cells(counted, keys, value, names, cells, max_values)
     offsets = _small(leaf.select(*path, *[n + "_offset" for n in names]), BROADCAST_ROWS)
     inside = _before(work, path, value, names, "_inside")
     return inside.join(offsets, path).select(
@@ -138,29 +149,38 @@ def exact_quantiles(
     value: str,
     probabilities: dict[str, float],
     cells: int = CELLS,
+    max_values: int = MAX_CELL_VALUES,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per named probability.
 
-    Only the cells that hold a wanted rank are ordered.
+    In groups with many distinct values only the cells that hold a wanted rank
+    are ordered.
     """
     groups = list(groups)
     keys = groups or [ALL]
     counted = value_counts(df, groups, value)
-    work, path, leaf = _into_cells(counted if groups else counted.withColumn(ALL, F.lit(0)), keys, value, ["n"], cells)
-    totals = leaf.groupBy(*keys).agg(F.sum("n_cell").alias("__total"))
-    located = leaf.join(_small(totals, BROADCAST_ROWS), keys)
+    counted = counted if groups else counted.withColumn(ALL, F.lit(0))
     ranks = {name: F.lit(float(p)) * (F.col("__total") - 1) for name, p in probabilities.items()}
 
     def holds(rank: Column, before: str, size: str) -> Column:
         return (F.col(before) <= rank) & (rank < F.col(before) + F.col(size))
 
-    wanted = F.lit(False)
-    for rank in ranks.values():
-        wanted = wanted | holds(F.floor(rank), "n_offset", "n_cell") | holds(F.ceil(rank), "n_offset", "n_cell")
-    chosen = _small(located.where(wanted).select(*path, "n_offset", "__total"), BROADCAST_ROWS)
-    ordered = _before(work.join(chosen, path), path, value, ["n"], "_inside").withColumn(
-        "n_before", F.col("n_inside") + F.col("n_offset")
-    )
+    if _fits(counted, keys, max_values):
+        # The total shares the ordering window's partitioning: one shuffle in all.
+        ordered = _before(counted, keys, value, ["n"], "_before").withColumn(
+            "__total", F.sum("n").over(Window.partitionBy(*keys))
+        )
+    else:
+        work, path, leaf = _into_cells(counted, keys, value, ["n"], cells, max_values)
+        totals = leaf.groupBy(*keys).agg(F.sum("n_cell").alias("__total"))
+        located = leaf.join(_small(totals, BROADCAST_ROWS), keys)
+        wanted = F.lit(False)
+        for rank in ranks.values():
+            wanted = wanted | holds(F.floor(rank), "n_offset", "n_cell") | holds(F.ceil(rank), "n_offset", "n_cell")
+        chosen = _small(located.where(wanted).select(*path, "n_offset", "__total"), BROADCAST_ROWS)
+        ordered = _before(work.join(chosen, path), path, value, ["n"], "_inside").withColumn(
+            "n_before", F.col("n_inside") + F.col("n_offset")
+        )
     picks, outputs = [], []
     for name, rank in ranks.items():
         number = F.col(value).cast("double")
@@ -171,7 +191,7 @@ def exact_quantiles(
         ]
         low, high, part = (F.col(f"__{name}_{k}") for k in ("lo", "hi", "f"))
         outputs.append((low * (1 - part) + high * part).alias(name))
-    return ordered.groupBy(*groups).agg(*picks).select(*groups, *outputs)
+    return ordered.groupBy(*keys).agg(*picks).select(*groups, *outputs)
 
 
 def hashed_positions(

@@ -21,13 +21,24 @@ def column(spark, values):
         np.array([-1e300, 0.0, 1e-300, 7.0]),
     ],
 )
-def test_exact_quantiles_match_numpy(spark, values):
+@pytest.mark.parametrize("max_values", [20, 1_000_000])
+def test_exact_quantiles_match_numpy(spark, values, max_values):
     probabilities = {"a": 0.0, "b": 0.01, "c": 0.37, "d": 0.5, "e": 0.99, "f": 1.0}
-    got = one(R.exact_quantiles(column(spark, values), [], "v", probabilities, cells=8))
+    got = one(R.exact_quantiles(column(spark, values), [], "v", probabilities, cells=8, max_values=max_values))
     for name, p in probabilities.items():
         assert got[name] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
 
 
+def test_cells_and_one_window_count_alike(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 600), np.round(np.exp(rng.normal(scale=4, size=600)), 2))]
+    df = spark.createDataFrame(rows, "g int, v double")
+    counted = R.value_counts(df, ["g"], "v")
+    plain = R.cumulative(counted, ["g"], "v").collect()
+    split = R.cumulative(counted, ["g"], "v", cells=6, max_values=10).select("g", "v", "n", "n_before").collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, split))
+
+
 def test_positions_are_a_permutation(spark):
     from pyspark.sql import functions as F
 
