@@ -225,8 +225,11 @@ def runs(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return np.cumsum(change)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.RecordBatch]:
-    """Regroup sorted batches so that no run of equal keys is cut."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Regroup sorted batches so that no run of equal keys is cut.
+
+    With ``most``, a run beyond that many rows is cut, and each part starts with the last row of the part before.
+    """
     held: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:
@@ -241,6 +244,9 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int)
             if cut:
                 yield joined.slice(0, cut)
                 joined = joined.slice(cut)
+            elif most is not None and count > most:
+                yield joined
+                joined = joined.slice(count - 1)
             held, count = [joined], joined.num_rows
     if held:
         yield _joined(held)

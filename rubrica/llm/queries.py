@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, ngram_join
+from ..session import scratch_path
+from . import decontamination, ngram_join, quality, substring_dedup, token_output
 from .base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -49,3 +50,45 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.size("hit_from") > 0).alias("contaminated"),
     )
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_token_output")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_output.write_tokens(table(spark, folder, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return token_output.with_crc(token_output.read_tokens(spark, path))
+
+
+@query("op9_quality_rules")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.quality(table(spark, folder, "documents").select("doc_id", "text", "lang"), vocabulary("piece_bpe_32k.model"))
+    return found.drop("text", "lang")
+
+
+OP4_WORDS = "coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), [])"
+
+
+@query(
+    "op4_substring_dedup",
+    f"""
+WITH d AS (SELECT doc_id, {OP4_WORDS} AS w FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS p
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT p FROM v GROUP BY p HAVING count(*) > 1),
+cover AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM v SEMI JOIN again USING (p)),
+gone AS (SELECT doc_id, list(j) AS js FROM cover GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, len(w) AS n, coalesce(len(js), 0) AS m,
+    CASE WHEN js IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(js, x)), lambda x: w[x]) END AS k
+  FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept""",
+)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
