@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontamination, ngram_join, quality, substring_dedup, token_output
+from . import chat_format, decontamination, ngram_join, personal_data, quality, secret_scan, substring_dedup, token_output, transducer, url_filter
 from .base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -92,3 +92,64 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), window=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+LISTED = [url_filter.listed_rule(*r) for r in (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))]
+
+
+@query(
+    "op2_url_filters",
+    r"""
+WITH r AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules(rule, h, s, v) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+best AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v
+  FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY host, path)
+SELECT page_id, p.host, p.path, rule, coalesce(v, CASE
+  WHEN regexp_matches(p.host || p.path, '^([^/]*\.)?(spam-farm|casino|ads|adserver|doubleclick)\.') THEN 'block'
+  WHEN regexp_matches(p.host || p.path, '^[^/]*/([^?]*/)?(login|signin|logout)(\.[a-z]+)?$') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best ON best.host = p.host AND best.path = p.path""",
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = url_filter.filter_urls(table(spark, folder, "pages").select("page_id", "url"), [*LISTED, *url_filter.GENERAL])
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    pieces = transducer.encode(table(spark, folder, "documents").select("doc_id", "text"), model)
+    back = transducer.decode(pieces, model)
+    back = back.withColumn("same", F.col("decoded") == F.coalesce("text", F.lit(""))).withColumn("n_tokens", F.size("ids").cast("bigint"))
+    back = back.withColumn("n_bytes", transducer.fallback_count()).withColumn("path_cost", F.round("path_cost", 3))
+    return token_output.with_crc(back.select("doc_id", "n_tokens", "n_bytes", "path_cost", "same", "ids"))
+
+
+@query("op7_personal_data")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.personal_spans(table(spark, folder, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        *[F.size(k).cast("bigint").alias(f"n_{k}") for k in personal_data.KINDS],
+        F.sha2(personal_data.span_text(personal_data.KINDS), 256).alias("base_sha256"),
+        personal_data.span_text().alias("spans"),
+    )
+
+
+@query("op10_chat_format")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    path = scratch_path(spark, "formatted")
+    chat_format.format_conversations(rows.unionByName(more)).write.parquet(path)
+    return chat_format.digests(spark.read.parquet(path))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    spans = F.concat_ws(",", F.transform("secrets", lambda s: F.concat_ws(":", s["start"], s["end"])))
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("bigint").alias("n_secrets"), spans.alias("spans"))
