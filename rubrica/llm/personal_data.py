@@ -48,6 +48,11 @@ PATTERNS = {
 WORD = r"\p{L}{4,}"
 
 
+def each(kind: str, make) -> Column:
+    """``make(span, kind)`` of every span of a kind."""
+    return F.transform(kind, lambda s: make(s, F.lit(kind)))
+
+
 def digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
@@ -97,7 +102,7 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: i
     """``(doc, h, email, ip, card, phone, mentions)``: spans by kind, and for each span its entity and near terms."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     found = rows.select("doc", "text", *[spans.alias(kind) for kind, spans in base_spans(F.col("text")).items()])
-    all_spans = F.concat(*[F.transform(k, lambda s, k=k: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
+    all_spans = F.concat(*[each(k, lambda s, kind: F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
     entity = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
 
     def mention(s):
@@ -158,7 +163,7 @@ def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def span_text(kinds: tuple[str, ...] = (*KINDS, "term")) -> Column:
     """``kind:start:end`` of all spans, by kind, then start, comma-joined."""
-    return F.concat_ws(",", *[F.transform(k, lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"], s["end"])) for k in kinds])
+    return F.concat_ws(",", *[each(k, lambda s, kind: F.concat_ws(":", kind, s["start"], s["end"])) for k in kinds])
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -166,7 +171,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     found = personal_spans(docs, doc_id, text, **options)
     spans = F.array_sort(
         F.concat(
-            *[F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("mask"))) for k in KINDS],
+            *[each(k, lambda s, kind: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(kind), F.lit("]")).alias("mask"))) for k in KINDS],
             F.transform("term", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["told"] >= 1, F.lit("[TERM]")).alias("mask"))),
         )
     )

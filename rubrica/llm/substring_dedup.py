@@ -116,12 +116,12 @@ def _met_again(sent: DataFrame) -> DataFrame:
             key = joined.column(0).to_numpy()
             next_ = key[:-1] == key[1:]
             keep = np.concatenate([[before == key[0]], next_]) | np.concatenate([next_, [False]])
-            keep &= ~joined.column(4).to_numpy(zero_copy_only=False)
+            keep &= ~joined.column(5).to_numpy(zero_copy_only=False)
             if len(key) > 1:  # the last row waits for its successor
                 yield joined.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
                 before = key[-2]
             held = joined.slice(len(key) - 1)
-        if held is not None and before == held.column(0)[0].as_py() and not held.column(4)[0].as_py():
+        if held is not None and before == held.column(0)[0].as_py() and not held.column(5)[0].as_py():
             yield held
 
     return sent.repartition("key").sortWithinPartitions("key").mapInArrow(shared, sent.schema)
