@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.similarity import connected_components
 from ..session import scratch_path
-from .words import Hasher, lists, slices, space_words
+from .words import Hasher, distinct, lists, slices, space_words
 
 SKETCH_BITS = 22
 SKETCH_BLOCK = 1 << 14
@@ -125,7 +125,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, sketch, bits: int) -> Da
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
             sizes, digests, tokens, hists = [], [], [], []
             for d in range(batch.num_rows):
-                own = np.unique(hashes[cut[d] : cut[d + 1]])
+                own = distinct(hashes[cut[d] : cut[d + 1]])
                 n = len(own)
                 order = np.argsort(counters[own >> np.uint64(64 - bits)], kind="stable")[: n - required(n, percent) + 1 if n else 0]
                 sizes.append(n)
@@ -331,7 +331,7 @@ def verified_links(sets: DataFrame, percent: int, words: int) -> DataFrame:
                     if len(group[0]) > 1:
                         yield from flush(group)
                     group, key = ([], [], [], []), at
-                own = np.unique(hashes[cut[d] : cut[d + 1]])
+                own = distinct(hashes[cut[d] : cut[d + 1]])
                 # Rows that share the id of the class but not its text, or repeat it, are not the class.
                 if set_digest(own) == digest and digest not in group[0]:
                     for values, value in zip(group, (digest, side, own, histogram(own)), strict=True):

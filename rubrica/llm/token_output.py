@@ -7,9 +7,9 @@ columns (data pages of version 2), row groups and pages of stated sizes, page
 indexes on ``doc_id``.  ``read_tokens`` gives every document its offset in the
 whole token stream; a reader that leaves ``ids`` out touches metadata columns only.
 
-A text is cut before single blanks between visible characters, where the vocabulary's
-own splitting pattern always cuts, and each distinct piece of a slice is encoded once
-by the tokenizers library.
+A text is cut at places where the vocabulary's own splitting pattern always cuts, and
+each distinct piece that a worker process meets is encoded once by the tokenizers library
+(pieces are told apart by 64-bit hashes; what a process remembers is bounded).
 
 Defined results: a null or empty text has no ids but the end id; rows with one doc_id
 follow in the order of a hash of their texts; a null doc_id comes first; extra columns
@@ -19,18 +19,22 @@ are not written; an empty table makes files without rows.
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import lists, slices
+from .words import Hasher, gather, lists, slices
 
 END_ID = 2
-SLICE = 8 << 20
+SLICE = 4 << 20
+MEMORY = 2_000_000
 PIECES = 20_000  # pieces encoded at a time; bounds what the library holds
 UNSURE = (0xC2, 0xE1, 0xE2, 0xE3)  # first bytes of white space outside ASCII
 WRITE = {
@@ -53,15 +57,40 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def kinds_of_bytes() -> np.ndarray:
+    """Of each byte: 1 white space, 2 letter, 3 digit, 4 other visible ASCII, 0 unsure (outside ASCII, or a control)."""
+    out = np.zeros(256, np.uint8)
+    for k, chars in ((1, " \t\n\x0b\x0c\r"), (2, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), (3, "0123456789"), (4, "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")):
+        out[list(chars.encode())] = k
+    return out
+
+
 def safe_cuts(raw: np.ndarray) -> np.ndarray:
-    """Blanks between visible characters: the splitting pattern always cuts before them."""
-    at = np.flatnonzero(raw == 32)
-    at = at[(at > 2) & (at < len(raw) - 1)]
-    before, after = raw[at - 1], raw[at + 1]
-    sure = (before > 32) & (after > 32) & ~np.isin(after, UNSURE)
-    wide = before >= 128
-    sure &= ~(wide & ((raw[at - 2] == 0xC2) | np.isin(raw[at - 3], UNSURE[1:])))
-    return at[sure]
+    """Places where the splitting pattern always cuts.
+
+    Before a blank between visible characters, between an ASCII letter and another visible
+    ASCII character (but for the apostrophe), and on both sides of a single line feed
+    between visible characters.
+    """
+    n = len(raw)
+    if n < 4:
+        return np.zeros(0, np.int64)
+    kind = kinds_of_bytes()[raw]
+    ascii_ = kind > 1
+    # A character outside ASCII is visible unless it is one of the few kinds of white space there.
+    starts = (raw >= 128) & ~np.isin(raw, UNSURE)
+    before, after = ascii_.copy(), ascii_ | (starts & (raw >= 0xC0))
+    wide = np.flatnonzero(raw >= 128)
+    wide = wide[wide > 2]
+    before[wide] = ~((raw[wide - 1] == 0xC2) | np.isin(raw[wide - 2], UNSURE[1:]))
+    middle = (raw[1:-1] == 32) | (raw[1:-1] == 10)
+    alone = np.flatnonzero(middle & before[:-2] & after[2:]) + 1
+    a, b = kind[:-1], kind[1:]
+    cut = np.zeros(n, bool)
+    cut[1:] = (((a == 2) & (b >= 3)) | ((a >= 3) & (b == 2))) & (raw[:-1] != 39)
+    cut[alone] = True
+    cut[alone[raw[alone] == 10] + 1] = True
+    return np.flatnonzero(cut)
 
 
 def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -70,29 +99,85 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (total - lengths), lengths) + np.arange(total[-1] if len(total) else 0)
 
 
+def with_starts(cuts: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
+    """The cuts and the starts of the texts that are not empty, in order."""
+    cut = np.zeros(n, bool)
+    cut[cuts] = True
+    cut[docs[:-1][docs[1:] > docs[:-1]]] = True
+    return np.flatnonzero(cut)
+
+
 def distinct_pieces(raw: np.ndarray, docs: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
     """``(piece number of every piece, distinct pieces, bounds)``: pieces ``bounds[d]:bounds[d + 1]`` make text d."""
-    starts = np.union1d(cuts, docs[:-1][docs[1:] > docs[:-1]])
+    starts = with_starts(cuts, docs, len(raw))
     pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(np.ascontiguousarray(raw)))
     coded = pieces.dictionary_encode()
     return coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.searchsorted(starts, docs)
 
 
-def encode(tokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+class Memory:
+    """Ids of pieces met before in this worker process: sorted 64-bit hashes beside lists of ids.
+
+    Above ``MEMORY`` pieces it starts anew; that costs time and nothing else.
+    """
+
+    def __init__(self):
+        self.hash, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where it is new."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return np.where(self.hash[at] == hashes, at, -1)
+
+    def add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        if len(self.hash) + len(hashes) > MEMORY:
+            self.__init__()
+        begin = len(self.ids) + np.cumsum(sizes) - sizes
+        hash_, first = np.unique(np.concatenate([self.hash, hashes]), return_index=True)
+        self.begin, self.size = np.concatenate([self.begin, begin])[first], np.concatenate([self.size, sizes])[first]
+        self.hash, self.ids = hash_, np.concatenate([self.ids, ids])
+
+
+def process_memory(model: str) -> Memory:
+    """The memory of this worker process for one vocabulary; workers outlive tasks."""
+    key = str(zlib.crc32(model.encode()))
+    held = sys.modules.setdefault("__piece_memory__", types.ModuleType("__piece_memory__"))
+    if key not in held.__dict__:
+        held.__dict__[key] = Memory()
+    return held.__dict__[key]
+
+
+def encode(tokenizer, memory: Memory, hasher: Hasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each closed by END_ID, and where each text begins."""
     raw, docs = text_bytes(texts)
-    piece, distinct, bounds = distinct_pieces(raw, docs, safe_cuts(raw))
-    found: list[np.ndarray] = []
-    sizes: list[int] = []
-    for at in range(0, len(distinct), PIECES):
-        ids = [e.ids for e in tokenizer.encode_batch_fast(distinct[at : at + PIECES], add_special_tokens=False)]
+    starts = with_starts(safe_cuts(raw), docs, len(raw))
+    hashes = hasher.bytes.runs(hasher.codes[raw], starts, np.append(starts, len(raw))[1:])
+    distinct, first, piece = np.unique(hashes, return_index=True, return_inverse=True)
+    new = memory.find(distinct) < 0
+    at = first[new]
+    pieces = gather(raw, starts[at], np.append(starts, len(raw))[at + 1])
+    found, sizes = [np.zeros(0, np.int32)], []
+    for a in range(0, len(pieces), PIECES):
+        ids = [e.ids for e in tokenizer.encode_batch_fast(pieces[a : a + PIECES].to_pylist(), add_special_tokens=False)]
         sizes.extend(map(len, ids))
-        found.append(np.fromiter((i for own in ids for i in own), np.int32))
+        found.append(np.fromiter(chain.from_iterable(ids), np.int32))
+    known, size, fresh = distinct[new], np.array(sizes, np.int64), np.concatenate(found)
+    # Before the memory may start anew, what this slice needs is taken out of it.
+    place = memory.find(distinct[~new])
+    length = np.zeros(len(distinct) + 1, np.int64)
+    begin = np.zeros(len(distinct) + 1, np.int64)
+    length[:-1][~new], length[:-1][new], length[-1] = memory.size[place], size, 1
+    old = memory.ids[expand(memory.begin[place], memory.size[place])]
+    flat = np.concatenate([old, fresh, np.array([END_ID], np.int32)])
+    begin[:-1][~new] = np.cumsum(memory.size[place]) - memory.size[place]
+    begin[:-1][new] = len(old) + np.cumsum(size) - size
+    begin[-1] = len(flat) - 1
+    memory.add(known, size, fresh)
+    bounds = np.searchsorted(starts, docs)
     # The end id is one more piece after every text.
-    flat = np.concatenate([*found, np.array([END_ID], np.int32)])
-    length = np.array([*sizes, 1], np.int64)
-    begin = np.cumsum(length) - length
-    order = np.insert(piece.astype(np.int64), bounds[1:], len(distinct))
+    order = np.insert(piece.astype(np.int64).ravel(), bounds[1:], len(distinct))
     own = length[order]
     ends = np.cumsum(own)
     last = bounds[1:] + np.arange(len(docs) - 1)  # place of each end piece
@@ -112,9 +197,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc
 
         tokenizer = Tokenizer.from_str(model)
         tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        memory, hasher = process_memory(model), Hasher(np.ones(256, bool), lower=False)
         shard, row, before = TaskContext.get().partitionId(), 0, 0
         for batch in slices(batches, "text", SLICE):
-            ids, bounds = encode(tokenizer, batch.column(1))
+            ids, bounds = encode(tokenizer, memory, hasher, batch.column(1))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
