@@ -14,17 +14,20 @@ documents with the name of a result column gives way to it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .token_output import expand
-from .words import Hasher, byte_table, slices, space_words
+from .memory import PieceMemory, process_store
+from .token_arrays import expand
+from .words import Hasher, byte_table, gather, mix, slices, space_words
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
@@ -49,8 +52,6 @@ COLUMNS = [part.split()[0] for part in FOUND.split(", ")]
 
 def repeats(row: np.ndarray, values: np.ndarray) -> np.ndarray:
     """For every entry, how many entries of its row have its value."""
-    from .words import mix
-
     _, back, n = np.unique(values ^ mix(row.astype(np.uint64) + np.uint64(1)), return_inverse=True, return_counts=True)
     return n[back]
 
@@ -60,7 +61,7 @@ def per_row(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def measure(w, processor, is_byte: np.ndarray) -> list[np.ndarray]:
+def measure(w, processor, is_byte: np.ndarray, memory: PieceMemory) -> list[np.ndarray]:
     """The columns of FOUND for one slice."""
     raw, docs, rows = w.raw, w.docs, w.rows
     points = (raw & 0xC0) != 0x80
@@ -74,8 +75,6 @@ def measure(w, processor, is_byte: np.ndarray) -> list[np.ndarray]:
     row = np.repeat(np.arange(rows), 1 + per_row(raw == 10, docs))
     worded = np.searchsorted(w.starts, starts) < np.searchsorted(w.starts, ends)
     line = w.hasher.bytes.runs(w.hasher.codes[raw], starts[worded], ends[worded])
-    from .words import mix
-
     own = row[worded]
     first = np.zeros(len(line), bool)
     first[np.unique(line ^ mix(own.astype(np.uint64) + np.uint64(1)), return_index=True)[1]] = True
@@ -87,12 +86,15 @@ def measure(w, processor, is_byte: np.ndarray) -> list[np.ndarray]:
     np.add.at(change, twice + WINDOW, -1)
     repeated = per_row(np.cumsum(change)[:-1] > 0, w.bounds)
     # Tokens of the distinct words, dealt back to the rows.
-    coded = w.strings().dictionary_encode()
-    ids = processor.encode(coded.dictionary.to_pylist(), num_threads=1)
-    length = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for own_ids in ids for i in own_ids), np.int64)
-    word = coded.indices.to_numpy().astype(np.int64)
-    tokens = flat[expand((np.cumsum(length) - length)[word], length[word])]
+    distinct, place, word = np.unique(w.hash, return_index=True, return_inverse=True)
+
+    def fresh(new):
+        ids = processor.encode(gather(raw, w.starts[place[new]], w.ends[place[new]]).to_pylist(), num_threads=1)
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)), np.zeros(len(ids))
+
+    flat, begin, length, _ = memory.resolve(distinct, fresh)
+    word = word.ravel()
+    tokens = flat[expand(begin[word], length[word])].astype(np.int64)
     token_bounds = np.concatenate([[0], np.cumsum(length[word])])[w.bounds]
     n_tokens = np.diff(token_bounds)
     bytes_ = per_row(is_byte[tokens], token_bounds)
@@ -124,8 +126,9 @@ def text_measures(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         is_byte = np.array([processor.is_byte(i) for i in range(processor.vocab_size())])
         hasher = Hasher(space_words(), lower=False)
+        memory = process_store(f"fertility {zlib.crc32(model)}", PieceMemory)
         for batch in slices(batches, text, SLICE):
-            found = measure(hasher.read(batch.column(batch.schema.get_field_index(text))), processor, is_byte)
+            found = measure(hasher.read(batch.column(batch.schema.get_field_index(text))), processor, is_byte, memory)
             arrays = [pa.array(x) if x.dtype != float else pa.array(x, from_pandas=True) for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *COLUMNS])
 

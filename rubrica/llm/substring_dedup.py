@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 from .ngram_join import SLOTS, _joined, runs, whole_groups
-from .token_output import expand
+from .token_arrays import expand
 from .words import Hasher, gather, lists, slices, space_words
 
 WINDOW = 35
@@ -138,7 +138,7 @@ def stretches(docs: DataFrame, window: int, gram: int, kind: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(space_words(), lower=False)
         for whole in batches:
-            for batch in slices(iter([whole]), "text", 4 << 20):
+            for batch in slices(iter([whole]), "text"):
                 w = hasher.read(batch.column(2))
                 key, at, row = minimizers(w, window, gram)
                 if not len(at):

@@ -19,8 +19,6 @@ are not written; an empty table makes files without rows.
 from __future__ import annotations
 
 import os
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -30,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import PieceMemory, process_store
+from .token_arrays import expand, text_bytes, with_starts
 from .words import Hasher, gather, lists, slices
 
 END_ID = 2
-SLICE = 4 << 20
-MEMORY = 2_000_000
+SLICE = 2 << 20
 PIECES = 20_000  # pieces encoded at a time; bounds what the library holds
 UNSURE = (0xC2, 0xE1, 0xE2, 0xE3)  # first bytes of white space outside ASCII
 WRITE = {
@@ -48,15 +47,6 @@ WRITE = {
 }
 
 
-def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts in a row, and where each begins; null is empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-    buffer = texts.buffers()[2]
-    raw = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer is not None and len(buffer) else np.zeros(0, np.uint8)
-    return raw, offsets - offsets[0]
-
-
 def kinds_of_bytes() -> np.ndarray:
     """Of each byte: 1 white space, 2 letter, 3 digit, 4 other visible ASCII, 0 unsure (outside ASCII, or a control)."""
     out = np.zeros(256, np.uint8)
@@ -93,95 +83,32 @@ def safe_cuts(raw: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices ``start, start + 1, ...`` of every run, one run after the other."""
-    total = np.cumsum(lengths)
-    return np.repeat(starts - (total - lengths), lengths) + np.arange(total[-1] if len(total) else 0)
-
-
-def with_starts(cuts: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
-    """The cuts and the starts of the texts that are not empty, in order."""
-    cut = np.zeros(n, bool)
-    cut[cuts] = True
-    cut[docs[:-1][docs[1:] > docs[:-1]]] = True
-    return np.flatnonzero(cut)
-
-
-def distinct_pieces(raw: np.ndarray, docs: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """``(piece number of every piece, distinct pieces, bounds)``: pieces ``bounds[d]:bounds[d + 1]`` make text d."""
-    starts = with_starts(cuts, docs, len(raw))
-    pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(np.ascontiguousarray(raw)))
-    coded = pieces.dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.searchsorted(starts, docs)
-
-
-class Memory:
-    """Ids of pieces met before in this worker process: sorted 64-bit hashes beside lists of ids.
-
-    Above ``MEMORY`` pieces it starts anew; that costs time and nothing else.
-    """
-
-    def __init__(self):
-        self.hash, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each hash, -1 where it is new."""
-        if not len(self.hash):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        return np.where(self.hash[at] == hashes, at, -1)
-
-    def add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        if len(self.hash) + len(hashes) > MEMORY:
-            self.__init__()
-        begin = len(self.ids) + np.cumsum(sizes) - sizes
-        hash_, first = np.unique(np.concatenate([self.hash, hashes]), return_index=True)
-        self.begin, self.size = np.concatenate([self.begin, begin])[first], np.concatenate([self.size, sizes])[first]
-        self.hash, self.ids = hash_, np.concatenate([self.ids, ids])
-
-
-def process_memory(model: str) -> Memory:
-    """The memory of this worker process for one vocabulary; workers outlive tasks."""
-    key = str(zlib.crc32(model.encode()))
-    held = sys.modules.setdefault("__piece_memory__", types.ModuleType("__piece_memory__"))
-    if key not in held.__dict__:
-        held.__dict__[key] = Memory()
-    return held.__dict__[key]
-
-
-def encode(tokenizer, memory: Memory, hasher: Hasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def encode(tokenizer, memory: PieceMemory, hasher: Hasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each closed by END_ID, and where each text begins."""
     raw, docs = text_bytes(texts)
     starts = with_starts(safe_cuts(raw), docs, len(raw))
-    hashes = hasher.bytes.runs(hasher.codes[raw], starts, np.append(starts, len(raw))[1:])
-    distinct, first, piece = np.unique(hashes, return_index=True, return_inverse=True)
-    new = memory.find(distinct) < 0
-    at = first[new]
-    pieces = gather(raw, starts[at], np.append(starts, len(raw))[at + 1])
-    found, sizes = [np.zeros(0, np.int32)], []
-    for a in range(0, len(pieces), PIECES):
-        ids = [e.ids for e in tokenizer.encode_batch_fast(pieces[a : a + PIECES].to_pylist(), add_special_tokens=False)]
-        sizes.extend(map(len, ids))
-        found.append(np.fromiter(chain.from_iterable(ids), np.int32))
-    known, size, fresh = distinct[new], np.array(sizes, np.int64), np.concatenate(found)
-    # Before the memory may start anew, what this slice needs is taken out of it.
-    place = memory.find(distinct[~new])
-    length = np.zeros(len(distinct) + 1, np.int64)
-    begin = np.zeros(len(distinct) + 1, np.int64)
-    length[:-1][~new], length[:-1][new], length[-1] = memory.size[place], size, 1
-    old = memory.ids[expand(memory.begin[place], memory.size[place])]
-    flat = np.concatenate([old, fresh, np.array([END_ID], np.int32)])
-    begin[:-1][~new] = np.cumsum(memory.size[place]) - memory.size[place]
-    begin[:-1][new] = len(old) + np.cumsum(size) - size
-    begin[-1] = len(flat) - 1
-    memory.add(known, size, fresh)
-    bounds = np.searchsorted(starts, docs)
+    ends = np.append(starts, len(raw))[1:]
+    distinct, first, piece = np.unique(hasher.bytes.runs(hasher.codes[raw], starts, ends), return_index=True, return_inverse=True)
+
+    def fresh(places):
+        at = first[places]
+        pieces = gather(raw, starts[at], ends[at])
+        found, sizes = [np.zeros(0, np.int32)], []
+        for a in range(0, len(pieces), PIECES):
+            ids = [e.ids for e in tokenizer.encode_batch_fast(pieces[a : a + PIECES].to_pylist(), add_special_tokens=False)]
+            sizes.extend(map(len, ids))
+            found.append(np.fromiter(chain.from_iterable(ids), np.int32))
+        return np.concatenate(found), np.array(sizes, np.int64), np.zeros(len(pieces))
+
+    flat, begin, size, _ = memory.resolve(distinct, fresh)
     # The end id is one more piece after every text.
+    flat, begin, size = np.append(flat, np.int32(END_ID)), np.append(begin, len(flat)), np.append(size, 1)
+    bounds = np.searchsorted(starts, docs)
     order = np.insert(piece.astype(np.int64).ravel(), bounds[1:], len(distinct))
-    own = length[order]
-    ends = np.cumsum(own)
+    own = size[order]
+    closed = np.cumsum(own)
     last = bounds[1:] + np.arange(len(docs) - 1)  # place of each end piece
-    return flat[expand(begin[order], own)], np.concatenate([[0], ends[last]])
+    return flat[expand(begin[order], own)], np.concatenate([[0], closed[last]])
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", text: str = "text", **options: str) -> None:
@@ -197,7 +124,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc
 
         tokenizer = Tokenizer.from_str(model)
         tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        memory, hasher = process_memory(model), Hasher(np.ones(256, bool), lower=False)
+        memory = process_store(f"pieces {zlib.crc32(model.encode())}", PieceMemory)
+        hasher = Hasher(np.ones(256, bool), lower=False)
         shard, row, before = TaskContext.get().partitionId(), 0, 0
         for batch in slices(batches, "text", SLICE):
             ids, bounds = encode(tokenizer, memory, hasher, batch.column(1))

@@ -26,6 +26,7 @@ bytes that are not valid UTF-8 decode to U+FFFD.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .token_output import distinct_pieces, expand, text_bytes
-from .words import lists, slices
+from .memory import PieceMemory, process_store
+from .token_arrays import expand, text_bytes, with_starts
+from .words import Hasher, gather, lists, slices
 
-SLICE = 4 << 20
-WORDS = 40_000  # words composed at a time
+SLICE = 1 << 20
+WORDS = 20_000  # words composed at a time
 MARK = 0x2581
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece kinds of the file format
 
@@ -119,6 +121,7 @@ class Transducer:
         self.root = np.zeros(0x110000, np.int32)
         first = self.keys[self.keys < 1 << 21]
         self.root[first] = self.to[: len(first)]
+        self.hasher, self.memory = Hasher(np.ones(256, bool), lower=False), PieceMemory()
         # Inverse machine: bytes written by each id.
         out = [bytes([int(p[0][3:5], 16)]) if p[2] == BYTE else p[0].replace(mark, " ").encode() if p[2] in (NORMAL, USER) else b" \xe2\x81\x87 " if p[2] == UNKNOWN else b"" for p in pieces]
         self.out = np.frombuffer(b"".join(out), np.uint8)
@@ -206,20 +209,22 @@ class Transducer:
             cuts = np.flatnonzero(raw == 32)
             cuts = cuts[cuts > 0]
             cuts = cuts[(raw[cuts - 1] != 32) & (raw[cuts - 1] != 0x81)]  # 81: perhaps the blank mark's last byte
-        word, distinct, bounds = distinct_pieces(raw, docs, cuts)
-        ids, sizes, costs = [np.zeros(0, np.int32)], [], []
-        for at in range(0, len(distinct), WORDS):
-            own, edge, cost = self.shortest_paths([w.replace(" ", chr(MARK)) for w in distinct[at : at + WORDS]])
-            ids.append(own)
-            sizes.append(np.diff(edge))
-            costs.append(cost)
-        flat = np.concatenate(ids)
-        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        cost = np.concatenate(costs) if costs else np.zeros(0)
-        word = word.astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(size[word])])
+        starts = with_starts(cuts, docs, len(raw))
+        ends = np.append(starts, len(raw))[1:]
+        distinct, first, word = np.unique(self.hasher.bytes.runs(self.hasher.codes[raw], starts, ends), return_index=True, return_inverse=True)
+        bounds = np.searchsorted(starts, docs)
+
+        def fresh(new):
+            words = gather(raw, starts[first[new]], ends[first[new]]).to_pylist()
+            parts = [self.shortest_paths([w.replace(" ", chr(MARK)) for w in words[at : at + WORDS]]) for at in range(0, len(words), WORDS)]
+            empty = (np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0))
+            return tuple(np.concatenate(x) for x in zip(*[(ids, np.diff(edge), cost) for ids, edge, cost in [empty, *parts]], strict=True))
+
+        flat, begin, size, cost = self.memory.resolve(distinct, fresh)
+        word = word.ravel()
+        closed = np.concatenate([[0], np.cumsum(size[word])])
         total = np.concatenate([[0.0], np.cumsum(cost[word])])[bounds]
-        return flat[expand((np.cumsum(size) - size)[word], size[word])], ends[bounds], np.diff(total)
+        return flat[expand(begin[word], size[word])], closed[bounds], np.diff(total)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """Texts of the id lists ``ids[bounds[i]:bounds[i + 1]]``."""
@@ -246,7 +251,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", to: str = "ids"
     rows = docs.drop(to, cost)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model)
+        machine = process_store(f"transducer {zlib.crc32(model)}", lambda: Transducer(model))
         for batch in slices(batches, text, SLICE):
             ids, bounds, costs = machine.encode(batch.column(batch.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists(ids, bounds, pa.int32()), pa.array(costs)], names=[*batch.schema.names, to, cost])
@@ -260,7 +265,7 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", to: str = "decoded"
     rows = df.drop(to)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model)
+        machine = process_store(f"transducer {zlib.crc32(model)}", lambda: Transducer(model))
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

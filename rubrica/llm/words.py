@@ -67,7 +67,7 @@ class Powers:
 
     def reach(self, n: int) -> None:
         if len(self.up) < n:
-            size = 1 << max(16, (n - 1).bit_length())
+            size = max(1 << 16, n + n // 4)
             for name, base in (("up", self.base), ("down", self.inverse)):
                 factors = np.full(size, base, np.uint64)
                 factors[0] = 1
@@ -137,10 +137,6 @@ class Words:
     def phrase(self, first: int, last: int) -> bytes:
         return b" ".join(self.word(i) for i in range(first, last))
 
-    def strings(self) -> pa.Array:
-        """All words as an Arrow array."""
-        return gather(self.data, self.starts, self.ends)
-
 
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """``data[start:end]`` as an Arrow string array."""
