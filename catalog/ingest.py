@@ -189,7 +189,7 @@ def _(t):
 
 @query(
     "table_fingerprint",
-    "SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_orderpriority), 1, 8) AS BIGINT)) AS BIGINT) AS fingerprint FROM orders",
+    "SELECT count(*) AS n, sum(CAST('0x' || substr(h, 1, 16) AS UBIGINT)) || '-' || sum(CAST('0x' || substr(h, 17, 16) AS UBIGINT)) AS fingerprint FROM (SELECT md5(coalesce(length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey, 'N') || '|' || coalesce(length(CAST(o_custkey AS VARCHAR)) || ':' || o_custkey, 'N') || '|' || coalesce(length(CAST(o_orderstatus AS VARCHAR)) || ':' || o_orderstatus, 'N') || '|' || coalesce(length(CAST(o_orderpriority AS VARCHAR)) || ':' || o_orderpriority, 'N')) AS h FROM orders)",
 )
 def _(t):
     return S.table_fingerprint(t.orders, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])

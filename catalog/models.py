@@ -51,10 +51,10 @@ def _(t):
 
 @query(
     "unseen_group_mask",
-    "SELECT o_orderkey, o_custkey, count(DISTINCT o_orderkey % 3) OVER (PARTITION BY o_custkey) = 1 AS unseen FROM orders WHERE o_orderpriority = '1-URGENT'",
+    "SELECT o_orderkey, o_custkey, count(DISTINCT o_orderkey % 3) OVER (PARTITION BY o_custkey) = 1 AS unseen FROM orders",
 )
 def _(t):
-    rows = t.orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 3).alias("fold"))
+    rows = t.orders.select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 3).alias("fold"))
     return FO.unseen_group_mask(rows, "o_custkey", "fold").select("o_orderkey", "o_custkey", "unseen")
 
 

@@ -126,18 +126,20 @@ def _(t):
 
 @query(
     "aligned_join_violations",
-    """SELECT '{"key":' || k || '}' AS key, 'missing' AS rule, 'features' AS table FROM (SELECT p_partkey AS k FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 10))
-      UNION ALL SELECT '{"key":' || l_partkey || '}', 'duplicate', 'features' FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 10 GROUP BY l_partkey HAVING count(*) > 1""",
+    """WITH f AS (SELECT CASE WHEN l_partkey % 7 = 0 THEN -l_partkey ELSE l_partkey END AS k FROM lineitem)
+      SELECT '{"key":' || p_partkey || '}' AS key, 'missing' AS rule, 'features' AS table FROM part WHERE p_partkey NOT IN (SELECT k FROM f)
+      UNION ALL SELECT '{"key":' || k || '}', 'duplicate', 'features' FROM f GROUP BY k HAVING count(*) > 1""",
 )
 def _(t):
     rows = scored(t)
-    features = t.lineitem.where("l_returnflag = 'A' AND l_quantity < 10").select(F.col("l_partkey").alias("key"), "l_tax")
+    moved = F.when(F.col("l_partkey") % 7 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey"))
+    features = t.lineitem.select(moved.alias("key"), "l_tax")
     return A.aligned_join(rows.select("key", "label"), features, rows.select("key", "fold"), ["key"])[1]
 
 
 @query(
     "keyed_reorder",
-    s("SELECT s.key, label, pos FROM scored s JOIN (SELECT p_partkey AS key, row_number() OVER (ORDER BY md5(CAST(p_partkey AS VARCHAR)), p_partkey) AS pos FROM part) r ON r.key = s.key WHERE fold = 0"),
+    s("SELECT s.key, label, pos FROM scored s JOIN (SELECT p_partkey AS key, row_number() OVER (ORDER BY md5(CAST(p_partkey AS VARCHAR)), p_partkey) AS pos FROM part) r ON r.key = s.key"),
     "label",
 )
 def _(t):
@@ -145,7 +147,7 @@ def _(t):
 
     names = t.part.select(F.col("p_partkey").alias("key"), F.md5(F.col("p_partkey").cast("string")).alias("h"))
     reference = hashed_positions(names, [], "h", ["key"], "pos")
-    return A.keyed_reorder(scored(t).where("fold = 0").select("key", "label"), reference, ["key"], "pos")
+    return A.keyed_reorder(scored(t).select("key", "label"), reference, ["key"], "pos")
 
 
 @query(
@@ -166,13 +168,15 @@ def _(t):
 
 @query(
     "oof_parity",
-    s("SELECT count(*) AS n, max(abs(text - voice)) AS max_difference, max(abs(text - voice)) <= 0.000001e0 AS within_tolerance FROM scored"),
+    s("""SELECT count(*) FILTER (WHERE size <> 9) AS n, 2 * count(*) FILTER (WHERE size = 9) AS unmatched, max(abs(text - voice)) FILTER (WHERE size <> 9) AS max_difference,
+      max(abs(text - voice)) FILTER (WHERE size <> 9) <= 0.000001e0 AND count(*) FILTER (WHERE size = 9) = 0 AS within_tolerance FROM scored"""),
     "max_difference",
 )
 def _(t):
     rows = scored(t)
+    moved = F.when(F.col("size") == 9, -F.col("key")).otherwise(F.col("key"))  # keys without a partner
     return A.oof_parity(
-        rows.select("key", F.col("text").alias("prediction")), rows.select("key", F.col("voice").alias("prediction")), ["key"], 1e-6
+        rows.select("key", F.col("text").alias("prediction")), rows.select(moved.alias("key"), F.col("voice").alias("prediction")), ["key"], 1e-6
     )
 
 
@@ -221,12 +225,15 @@ def _(t):
 @query(
     "prediction_schema_check",
     s("""SELECT rule, n FROM (SELECT 'missing' AS rule, count(*) AS n FROM scored WHERE size = 2 UNION ALL SELECT 'unexpected', count(*) FROM scored WHERE size = 8
-      UNION ALL SELECT 'not_finite', 2 * count(*) FROM scored WHERE size = 9 UNION ALL SELECT 'duplicate', count(*) FROM scored WHERE size = 9) WHERE n > 0"""),
+      UNION ALL SELECT 'not_finite', 2 * count(*) FROM scored WHERE size = 9 UNION ALL SELECT 'duplicate', count(*) FROM scored WHERE size = 9
+      UNION ALL SELECT 'columns', 1 UNION ALL SELECT 'order', count(*) FROM scored WHERE size = 4) WHERE n > 0"""),
 )
 def _(t):
     rows = scored(t).select("key", "size", F.when(F.col("size") == 9, F.lit(float("nan"))).otherwise(F.col("text")).alias("prediction"))
+    rows = rows.withColumn("row", F.col("key"))
     predictions = rows.where("size <> 2").unionByName(rows.where("size = 9"))
-    return Q.prediction_schema_check(predictions, rows.where("size <> 8"), "key", "prediction")
+    predictions = predictions.withColumn("row", F.when(F.col("size") == 4, -F.col("row")).otherwise(F.col("row")))
+    return Q.prediction_schema_check(predictions, rows.where("size <> 8"), "key", "prediction", "row")
 
 
 @query(
@@ -240,6 +247,18 @@ def _(t):
     return A.merge_indicator(left, right, ["custkey"])
 
 
+@query(
+    "merge_coverage",
+    """SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey = k) AS both, count(*) FILTER (WHERE k IS NULL) AS left_only, count(*) FILTER (WHERE c_custkey IS NULL) AS right_only
+      FROM customer FULL JOIN (SELECT CASE WHEN o_custkey % 9 = 0 THEN -o_custkey ELSE o_custkey END AS k FROM orders GROUP BY ALL) ON c_custkey = k""",
+)
+def _(t):
+    left = t.customer.select(F.col("c_custkey").alias("custkey"), "c_mktsegment")
+    moved = F.when(F.col("o_custkey") % 9 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    right = t.orders.groupBy(moved.alias("custkey")).agg(F.count("*").alias("orders"))
+    return A.merge_coverage(A.merge_indicator(left, right, ["custkey"]))
+
+
 @query(
     "set_overlap",
     """WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), c AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0),

@@ -20,6 +20,14 @@ def staged(t, twice: bool = False) -> tuple[str, object]:
     return path, rows.schema
 
 
+def run_and_close(t, path: str, run) -> None:
+    """Run a stream, then again with a row that closes every window; no row may be late."""
+    late = run()
+    J.closing_row(t.spark.read.parquet(path), "ts", "30 DAYS").write.mode("append").parquet(path)
+    if late + run():
+        raise ValueError("Rows came behind the watermark")
+
+
 @query(
     "stream_resume_ingest",
     "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS keys, sum(value) AS total FROM events GROUP BY event_type",
@@ -29,8 +37,8 @@ def staged(t, twice: bool = False) -> tuple[str, object]:
 def _(t):
     path, schema = staged(t, twice=True)
     sink, check = scratch_path(t.spark, "ingested"), scratch_path(t.spark, "ingest-state")
-    stream = J.resume_ingest(J.event_stream(t.spark, path, schema), ["event_id"], "ts", "40 days")
-    J.run_batches(stream, check, "append", J.append_new_keys(sink, ["event_id"]))
+    stream = J.event_stream(t.spark, path, schema, files_per_trigger=3).withColumn("day", F.to_date("ts"))
+    J.resume_ingest(stream, sink, check, ["event_id"], "day")
     out = t.spark.read.parquet(sink)
     return out.groupBy("event_type").agg(
         F.count("*").alias("n"), F.count_distinct("event_id").alias("keys"), F.sum("value").alias("total")
@@ -40,41 +48,28 @@ def _(t):
 @query(
     "stream_hopping_frames",
     """SELECT user_id, start, count(*) AS n, sqrt(avg(value * value)) AS rms FROM (SELECT user_id, value, ts, unnest(list_transform(range(0, 4), lambda k: time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL '15 minutes')) AS start FROM events)
-      WHERE start < (SELECT max(ts) FROM events) - INTERVAL '3 days' GROUP BY user_id, start""",
+      GROUP BY user_id, start""",
     "rms",
 )
 def _(t):
     path, schema = staged(t)
     sink, check = scratch_path(t.spark, "frames"), scratch_path(t.spark, "frames-state")
-    J.run_append(J.hopping_frames(J.event_stream(t.spark, path, schema), ["user_id"], "ts", "value", "1 hour", "15 minutes", "1 day"), sink, check)
-    # Only windows that ended well before the final watermark are sure to be out.
-    last = t.events.agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 3 DAYS")).alias("limit"))
-    return (
-        t.spark.read.parquet(sink)
-        .crossJoin(F.broadcast(last))
-        .where("start < limit")
-        .select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "rms")
-    )
+    run_and_close(t, path, lambda: J.run_append(J.hopping_frames(J.event_stream(t.spark, path, schema), ["user_id"], "ts", "value", "1 hour", "15 minutes", "1 day"), sink, check))
+    return t.spark.read.parquet(sink).where("user_id IS NOT NULL").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "rms")
 
 
 @query(
     "stream_activity_sessions",
     """WITH o AS (SELECT user_id, ts, value, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL '6 hours' THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM o)
-      SELECT user_id, min(ts) AS start, count(*) AS n, sum(value) AS total FROM s GROUP BY user_id, sid HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL '3 days'""",
+      SELECT user_id, min(ts) AS start, count(*) AS n, sum(value) AS total FROM s GROUP BY user_id, sid""",
     "total",
 )
 def _(t):
     path, schema = staged(t)
     sink, check = scratch_path(t.spark, "sessions"), scratch_path(t.spark, "sessions-state")
-    J.run_append(J.activity_sessions(J.event_stream(t.spark, path, schema), ["user_id"], "ts", "value", "6 hours", "1 day"), sink, check)
-    last = t.events.agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 66 HOURS")).alias("limit"))
-    return (
-        t.spark.read.parquet(sink)
-        .crossJoin(F.broadcast(last))
-        .where("end < limit")
-        .select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "total")
-    )
+    run_and_close(t, path, lambda: J.run_append(J.activity_sessions(J.event_stream(t.spark, path, schema), ["user_id"], "ts", "value", "6 hours", "1 day"), sink, check))
+    return t.spark.read.parquet(sink).where("user_id IS NOT NULL").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "total")
 
 
 @query(

@@ -180,9 +180,9 @@ def sql_chunks(text: str) -> str:
 
 
 PAIRED = rf"""{TURNS}, chunked AS (SELECT conv_id, turn, {sql_chunks('canonical')} AS a, {sql_chunks('verbatim')} AS b FROM turns),
- pairs AS (SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS pos, {sql_words('a[i]')} AS s, {sql_words('b[i]')} AS g FROM (SELECT *, unnest(range(1, least(len(a), len(b)) + 1)) AS i FROM chunked)),
+ pairs AS (SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS pos, i <= least(len(a), len(b)) AS matched, {sql_words("coalesce(a[i], '')")} AS s, {sql_words("coalesce(b[i], '')")} AS g FROM (SELECT *, unnest(range(1, greatest(len(a), len(b)) + 1)) AS i FROM chunked)),
  coded AS (SELECT *, list_distinct(s || g) AS d FROM pairs),
- measured AS (SELECT conv_id, turn, pos, len(s) AS words, CAST(levenshtein(array_to_string(list_transform(s, lambda x: chr(CAST(list_position(d, x) AS INTEGER))), ''), array_to_string(list_transform(g, lambda x: chr(CAST(list_position(d, x) AS INTEGER))), '')) AS BIGINT) AS distance FROM coded)"""
+ measured AS (SELECT conv_id, turn, pos, matched, len(s) AS words, CAST(levenshtein(array_to_string(list_transform(s, lambda x: chr(CAST(list_position(d, x) AS INTEGER))), ''), array_to_string(list_transform(g, lambda x: chr(CAST(list_position(d, x) AS INTEGER))), '')) AS BIGINT) AS distance FROM coded)"""
 
 
 @query("token_edit_distance", f"WITH {PAIRED} SELECT conv_id, turn, pos, distance FROM measured")
@@ -192,7 +192,7 @@ def _(t):
 
 @query(
     "edit_features",
-    f"""WITH {PAIRED} SELECT conv_id, turn, sum(distance) / greatest(sum(words), 1) AS gec_edit_rate, count(*) FILTER (WHERE distance > 0) / count(*) AS gec_changed_fraction, CAST(sum(words) AS BIGINT) AS gec_n_words FROM measured GROUP BY conv_id, turn""",
+    f"""WITH {PAIRED} SELECT conv_id, turn, sum(distance) / greatest(sum(words), 1) AS gec_edit_rate, count(*) FILTER (WHERE distance > 0 OR NOT matched) / count(*) AS gec_changed_fraction, CAST(sum(words) AS BIGINT) AS gec_n_words FROM measured GROUP BY conv_id, turn""",
     "gec_edit_rate gec_changed_fraction",
 )
 def _(t):

@@ -80,14 +80,22 @@ def oof_agreement(left: DataFrame, right: DataFrame, key: Sequence[str], toleran
 
 
 def oof_parity(rebuilt: DataFrame, stored: DataFrame, key: Sequence[str], tolerance: float) -> DataFrame:
-    """Largest absolute difference of two prediction tables against a tolerance."""
+    """Largest absolute difference of two prediction tables against a tolerance.
+
+    ``unmatched`` counts keys on one side only and pairs without a number; any
+    of them fails the tolerance.
+    """
     key = list(key)
-    joined = rebuilt.select(*key, F.col("prediction").alias("__a")).join(
-        stored.select(*key, F.col("prediction").alias("__b")), key
-    )
-    gap = F.max(F.abs(F.col("__a") - F.col("__b")))
-    return joined.agg(
-        F.count("*").alias("n"), gap.alias("max_difference"), (gap <= tolerance).alias("within_tolerance")
+    a = rebuilt.select(*key, F.col("prediction").alias("__a"), F.lit(1).alias("__l"))
+    b = stored.select(*key, F.col("prediction").alias("__b"), F.lit(1).alias("__r"))
+    difference = F.abs(F.col("__a") - F.col("__b"))
+    gap = F.max(difference)
+    unmatched = count_where(difference.isNull() | F.isnan(difference))
+    return a.join(b, key, "full_outer").agg(
+        count_where(F.col("__l").isNotNull() & F.col("__r").isNotNull()).alias("n"),
+        unmatched.alias("unmatched"),
+        gap.alias("max_difference"),
+        (F.coalesce(gap <= tolerance, F.lit(False)) & (unmatched == 0)).alias("within_tolerance"),
     )
 
 
@@ -101,6 +109,13 @@ def merge_indicator(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Da
     return a.join(b, list(key), "full_outer").withColumn("merge", side).drop("__l", "__r")
 
 
+def merge_coverage(merged: DataFrame) -> DataFrame:
+    """Rows on the left only, on the right only and on both sides of ``merge_indicator``."""
+    return merged.agg(
+        F.count("*").alias("n"), *[count_where(F.col("merge") == side).alias(side) for side in ("both", "left_only", "right_only")]
+    )
+
+
 def set_overlap(sets: dict[str, DataFrame], key: str) -> DataFrame:
     """Sizes of the pairwise intersections and differences of several key sets.
 
@@ -108,10 +123,10 @@ def set_overlap(sets: dict[str, DataFrame], key: str) -> DataFrame:
     """
     tagged = reduce(
         lambda a, b: a.unionByName(b),
-        [df.select(F.col(key).alias("k"), F.lit(name).alias("name")) for name, df in sets.items()],
+        [df.select(F.col(key).alias("__key"), F.lit(name).alias("__name")) for name, df in sets.items()],
     )
-    member = tagged.groupBy("k").agg(
-        *[F.max(F.when(F.col("name") == n, True).otherwise(False)).alias(n) for n in sets]
+    member = tagged.groupBy("__key").agg(
+        *[F.max(F.when(F.col("__name") == n, True).otherwise(False)).alias(n) for n in sets]
     )
     names = list(sets)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
@@ -149,8 +164,17 @@ def run_set(runs: DataFrame, names: Sequence[str], tolerance: float = 1e-9) -> D
 def assemble_texts(
     labels: DataFrame, folds: DataFrame, primary: DataFrame, alternative: DataFrame | None, key: str, keep: Column
 ) -> DataFrame:
-    """Labelled, folded rows with a main text and, where given, a second one."""
-    rows = labels.where(keep).join(folds, key).join(primary, key)
+    """Labelled, folded rows with a main text and, where given, a second one.
+
+    A kept label without a fold or a main text is an error.
+    """
+    from .quality import enforce
+
+    kept = labels.where(keep)
+    for name, table in (("folds", folds), ("texts", primary)):
+        gaps = kept.select(key).join(table.select(key), key, "left_anti").select(F.lit(f"missing_in_{name}").alias("rule"), key)
+        enforce(gaps, f"text assembly ({name})")
+    rows = kept.join(folds, key).join(primary, key)
     if alternative is not None:
         rows = rows.join(alternative, key, "left")
     return rows

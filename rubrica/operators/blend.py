@@ -186,7 +186,11 @@ def nested_two_channel(df: DataFrame, first: str, second: str, label: str, fold:
 
 
 def fixed_blend(left: DataFrame, right: DataFrame, key: Sequence[str], weight: float) -> DataFrame:
-    """w x left + (1 - w) x right over aligned prediction tables."""
+    """w x left + (1 - w) x right over aligned prediction tables; a key on one side only is an error."""
+    from .alignment import key_reconcile
+    from .quality import enforce
+
+    enforce(key_reconcile(left, right, key), "blend")
     a = left.select(*key, F.col("prediction").alias("__a"))
     b = right.select(*key, F.col("prediction").alias("__b"))
     return a.join(b, list(key)).select(*key, (F.col("__a") * weight + F.col("__b") * (1 - weight)).alias("prediction"))
@@ -267,18 +271,21 @@ def property_cells(df: DataFrame, short: Column, partner: Column) -> Column:
 def cell_weights(df: DataFrame, target: DataFrame, cell: str) -> tuple[DataFrame, DataFrame]:
     """Weight so each cell has its share in the target set, and target cells without rows.
 
-    One row per cell on both sides; the weights join back by broadcast because a
-    cell table has as many rows as there are properties' combinations.
+    One row per cell on both sides; Spark broadcasts that table where it is small.
+    Rows with a NULL cell are a cell of their own.
     """
     have = df.groupBy(cell).agg(F.count("*").alias("h"))
     want = target.groupBy(cell).agg(F.count("*").alias("w"))
     totals = have.agg(F.sum("h").alias("th")).crossJoin(want.agg(F.sum("w").alias("tw")))
-    table = have.join(want, cell, "left").crossJoin(F.broadcast(totals)).select(
-        cell,
+    want = want.withColumnRenamed(cell, "__want")
+    table = have.join(want, F.col(cell).eqNullSafe(F.col("__want")), "left").crossJoin(F.broadcast(totals)).select(
+        F.col(cell).alias("__cell"),
         ((F.coalesce("w", F.lit(0)) / F.col("tw")) / (F.col("h") / F.col("th"))).alias("weight"),
     )
-    missing = want.join(have, cell, "left_anti").select(F.lit("cell_without_rows").alias("rule"), F.col(cell).cast("string").alias("key"))
-    return df.join(F.broadcast(table), cell), missing
+    missing = want.join(have, F.col(cell).eqNullSafe(F.col("__want")), "left_anti").select(
+        F.lit("cell_without_rows").alias("rule"), F.col("__want").cast("string").alias("key")
+    )
+    return df.join(table, F.col(cell).eqNullSafe(F.col("__cell"))).drop("__cell"), missing
 
 
 def final_blend(df: DataFrame, target: DataFrame, channels: Sequence[str], label: str, weight: str | None = None) -> tuple[DataFrame, Line, np.ndarray]:

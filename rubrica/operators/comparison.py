@@ -86,9 +86,10 @@ def classify(rmse_value: Column, pearson_value: Column, ref_rmse: Column, ref_pe
     lower = rmse_value < ref_rmse - tolerance
     higher = pearson_value > ref_pearson + tolerance
     return (
-        F.when(lower & higher, "dominates")
+        F.when(lower.isNull() | higher.isNull(), F.lit(None))
+        .when(lower & higher, "dominates")
         .when(lower | higher, "tradeoff")
-        .when(lower.isNotNull() & higher.isNotNull(), "worse")
+        .otherwise("worse")
     )
 
 

@@ -12,8 +12,8 @@ from .ranking import cumulative, exact_quantiles, hashed_positions, value_counts
 
 
 def mean_baseline_params(df: DataFrame, label: str = "label", fold: str = "fold") -> DataFrame:
-    """Mean of the other folds per fold, from one row of sums per fold."""
-    sums = df.groupBy(fold).agg(F.sum(label).alias("s"), F.count(label).alias("n"))
+    """Mean of the other folds per fold, from one row of sums per fold; rows without a fold train nothing."""
+    sums = df.where(F.col(fold).isNotNull()).groupBy(fold).agg(F.sum(label).alias("s"), F.count(label).alias("n"))
     totals = sums.agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     return sums.crossJoin(F.broadcast(totals)).select(
         fold, quotient(F.col("ts") - F.col("s"), F.col("tn") - F.col("n")).alias("prediction")
@@ -21,8 +21,8 @@ def mean_baseline_params(df: DataFrame, label: str = "label", fold: str = "fold"
 
 
 def mean_baseline_oof(df: DataFrame, label: str = "label", fold: str = "fold") -> DataFrame:
-    """Predict every row with the mean label of the other folds."""
-    return df.join(F.broadcast(mean_baseline_params(df, label, fold)), fold)
+    """Predict every row with the mean label of the other folds; NULL for a row without a fold."""
+    return df.join(F.broadcast(mean_baseline_params(df, label, fold)), fold, "left")
 
 
 def stratification_bins(

@@ -30,6 +30,8 @@ class Moments:
     s: np.ndarray
     g: np.ndarray
     centre: np.ndarray
+    #: Rows left out because a feature, the label or the weight is NULL.
+    skipped: int = 0
 
     def pick(self, keep: Callable[[tuple], bool]):
         """Added-up moments of the cells that pass."""
@@ -39,7 +41,7 @@ class Moments:
     def columns(self, index: Sequence[int]) -> "Moments":
         """Moments of some features (the label stays last)."""
         i = [*index, len(self.centre) - 1]
-        return Moments(self.cells, self.n, self.s[:, i], self.g[:, i][:, :, i], self.centre[i])
+        return Moments(self.cells, self.n, self.s[:, i], self.g[:, i][:, :, i], self.centre[i], self.skipped)
 
 
 @dataclass
@@ -71,7 +73,8 @@ def collect_moments(
 
     Few features: plain sums of products, all in generated code.  Many: each
     task adds up its rows' cross-products batch by batch, and the small
-    matrices are added by position.
+    matrices are added by position.  A row with a NULL feature, label or weight
+    is no observation: it counts in ``skipped`` and in nothing else.
     """
     p = dimension if isinstance(features, str) else len(features)
     y = F.col(label) if isinstance(label, str) else label
@@ -80,15 +83,21 @@ def collect_moments(
         *cells, F.concat(feature_array(features), F.array(y.cast("double"))).alias("z"), w.alias("w")
     )
     width = p + 1
+    whole = F.forall("z", lambda v: v.isNotNull()) & (F.size("z") == width) & F.col("w").isNotNull()
+    rows = rows.withColumn("__whole", F.coalesce(whole, F.lit(False)))
+    used = F.when(F.col("__whole"), F.col("w"))
     means = rows.agg(
-        F.sum("w").alias("n"), *[F.sum(F.col("w") * F.get("z", F.lit(i))).alias(f"m{i}") for i in range(width)]
+        F.count(F.when(~F.col("__whole"), 1)).alias("skipped"),
+        F.sum(used).alias("n"),
+        *[F.sum(used * F.get("z", F.lit(i))).alias(f"m{i}") for i in range(width)],
     ).first()
+    rows = rows.where("__whole").drop("__whole")
     if not means["n"]:
         raise ValueError("No rows to fit on")
     centre = np.array([means[f"m{i}"] / means["n"] for i in range(width)])
-    if p <= NATIVE_LIMIT:
-        return _native_moments(rows, cells, centre)
-    return _batched_moments(rows, cells, centre)
+    moments = _native_moments(rows, cells, centre) if p <= NATIVE_LIMIT else _batched_moments(rows, cells, centre)
+    moments.skipped = means["skipped"]
+    return moments
 
 
 def _native_moments(rows: DataFrame, cells: Sequence[str], centre: np.ndarray) -> Moments:
@@ -215,10 +224,10 @@ def _linear(features: Sequence[str] | str, dimension: int | None) -> Column:
 def predict_by_fold(
     df: DataFrame, lines: dict, features: Sequence[str] | str, fold: str, name: str = "prediction", dimension: int | None = None
 ) -> DataFrame:
-    """Each row is predicted by the line of its own fold (fitted without it)."""
+    """Each row is predicted by the line of its own fold (fitted without it); NULL without a fold."""
     table = line_table(df.sparkSession, lines, fold, dict(df.dtypes)[fold])
     return (
-        df.join(F.broadcast(table), fold)
+        df.join(F.broadcast(table), fold, "left")
         .withColumn(name, _linear(features, dimension))
         .drop("__intercept", "__coef")
     )

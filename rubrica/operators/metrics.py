@@ -26,9 +26,9 @@ SCORE_CUT_NAMES = ("<=2", "2.5", "3", "3.5", "4", "4.5", "5")
 def regression_metrics(
     df: DataFrame, label: str = "label", prediction: str = "prediction", by: str | None = "fold"
 ) -> DataFrame:
-    """RMSE and Pearson pooled and, with ``by``, per group."""
+    """RMSE and Pearson pooled and, with ``by``, per group; ``n`` counts the rows with both numbers."""
     measures = [
-        F.count("*").alias("n"),
+        F.count(F.col(label) - F.col(prediction)).alias("n"),
         rmse(label, prediction).alias("rmse"),
         pearson(label, prediction).alias("pearson"),
     ]
@@ -316,10 +316,10 @@ def run_report(df: DataFrame, label: str, columns: dict[str, str]) -> DataFrame:
 
 
 def reference_deviation(metrics: DataFrame, reference: DataFrame, on: Sequence[str], tolerance: float) -> DataFrame:
-    """Metric minus its stored reference with a flag above the tolerance."""
-    joined = metrics.join(reference, list(on))
+    """Metric minus its stored reference with a flag above the tolerance; a metric without a reference is material."""
+    joined = metrics.join(reference, list(on), "left")
     delta = F.col("value") - F.col("reference")
-    return joined.withColumn("delta", delta).withColumn("material", F.abs(delta) > tolerance)
+    return joined.withColumn("delta", delta).withColumn("material", F.coalesce(F.abs(delta) > tolerance, F.lit(True)))
 
 
 def first_n_per_partition(df: DataFrame, part: str, order: Sequence[str], n: int) -> DataFrame:

@@ -63,7 +63,7 @@ def key_check(df: DataFrame, key: Sequence[str], safe_name: bool = False) -> Dat
     for name in key:
         text = F.col(name).cast("string")
         rules[f"missing:{name}"] = text.isNull()
-        rules[f"blank:{name}"] = F.trim(text) == ""
+        rules[f"blank:{name}"] = ~text.rlike(r"(?U)\S")
         if safe_name:
             rules[f"unsafe:{name}"] = text.rlike(UNSAFE_NAME)
     whole = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
@@ -185,8 +185,15 @@ def oof_coverage(expected: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
     )
 
 
-def prediction_schema_check(predictions: DataFrame, reference: DataFrame, key: str, value: str) -> DataFrame:
-    """Count, uniqueness, key set and finite values of a prediction table, as counts."""
+def prediction_schema_check(
+    predictions: DataFrame, reference: DataFrame, key: str, value: str, position: str | None = None
+) -> DataFrame:
+    """Columns, key set, uniqueness, finite values and row order of a prediction table, as counts.
+
+    The columns must be the key and the value, in that order.  With ``position``,
+    a row number that both tables carry, every key must stand where the
+    reference has it.
+    """
     from .alignment import key_reconcile
 
     gaps = key_reconcile(reference, predictions, [key]).groupBy("rule").agg(F.count("*").alias("n"))
@@ -194,7 +201,15 @@ def prediction_schema_check(predictions: DataFrame, reference: DataFrame, key: s
         F.lit("not_finite").alias("rule"), "n"
     )
     twice = duplicate_keys(predictions, [key]).groupBy("rule").agg(F.count("*").alias("n"))
-    return gaps.unionByName(bad).unionByName(twice).where(F.col("n") > 0)
+    wanted = [key, value] if position is None else [key, value, position]
+    spark = predictions.sparkSession
+    names = spark.range(1).select(F.lit("columns").alias("rule"), F.lit(int(predictions.columns != wanted)).cast("bigint").alias("n"))
+    found = gaps.unionByName(bad).unionByName(twice).unionByName(names)
+    if position is not None:
+        placed = predictions.select(key, F.col(position).alias("__at")).join(reference.select(key, F.col(position).alias("__want")), key)
+        moved = placed.agg(count_where(~F.col("__at").eqNullSafe(F.col("__want"))).alias("n"))
+        found = found.unionByName(moved.select(F.lit("order").alias("rule"), "n"))
+    return found.where(F.col("n") > 0)
 
 
 def integrity_report(df: DataFrame, split: str, key: Sequence[str], features: Sequence[str]) -> DataFrame:

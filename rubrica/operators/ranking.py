@@ -22,7 +22,7 @@ from ..session import cut_lineage
 ALL = "__all"
 CELLS = 1024
 MAX_CELL_VALUES = 1_000_000
-MAX_LEVELS = 8
+MAX_LEVELS = 64  # a level cuts the range of a cell by CELLS; doubles span 2**2100
 BROADCAST_ROWS = 20_000
 
 
@@ -69,7 +69,7 @@ def _settled(df: DataFrame, limit: int) -> tuple[DataFrame, int]:
 
 def _fits(counted: DataFrame, keys: Sequence[str], max_values: int) -> bool:
     """Whether every group has few enough distinct values to be ordered in one task."""
-    most = counted.groupBy(*keys).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0]
+    most = counted.groupBy(*keys).agg(F.count("*").alias("__k")).agg(F.max("__k")).first()[0]
     return (most or 0) <= max_values
 
 
@@ -104,6 +104,8 @@ def _into_cells(
         offsets.append(_before(table, parent, cell, names, "_in_parent"))
         if most <= max_values:
             break
+    else:
+        raise ValueError(f"A cell still holds {most} distinct values after {MAX_LEVELS} levels")
     total = offsets[0].select(*keys, "__c0", *[F.col(n + "_in_parent").alias(n + "_offset") for n in names])
     for level in range(1, len(offsets)):
         inner = offsets[level]
@@ -156,7 +158,10 @@ def exact_quantiles(
     In groups with many distinct values only the cells that hold a wanted rank
     are ordered.
     """
-    groups = list(groups)
+    # Own names inside: groups and values may have any name.
+    outer, groups = list(groups), [f"__g{i}" for i in range(len(groups))]
+    df = df.select(*[F.col(g).alias(own) for g, own in zip(outer, groups, strict=True)], F.col(value).alias("__v"))
+    value = "__v"
     keys = groups or [ALL]
     counted = value_counts(df, groups, value)
     counted = counted if groups else counted.withColumn(ALL, F.lit(0))
@@ -191,7 +196,8 @@ def exact_quantiles(
         ]
         low, high, part = (F.col(f"__{name}_{k}") for k in ("lo", "hi", "f"))
         outputs.append((low * (1 - part) + high * part).alias(name))
-    return ordered.groupBy(*keys).agg(*picks).select(*groups, *outputs)
+    named = [F.col(own).alias(g) for g, own in zip(outer, groups, strict=True)]
+    return ordered.groupBy(*keys).agg(*picks).select(*named, *outputs)
 
 
 def hashed_positions(
@@ -220,7 +226,11 @@ def hashed_positions(
 
 def average_ranks(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
     """One row per (group, value) with the average rank of its ties."""
-    ranked = cumulative(value_counts(df, groups, value), groups, value)
+    own = [f"__g{i}" for i in range(len(groups))]
+    rows = df.select(*[F.col(g).alias(o) for g, o in zip(groups, own, strict=True)], F.col(value).alias("__v"))
+    ranked = cumulative(value_counts(rows, own, "__v"), own, "__v")
     return ranked.select(
-        *groups, value, (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(name)
+        *[F.col(o).alias(g) for g, o in zip(groups, own, strict=True)],
+        F.col("__v").alias(value),
+        (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(name),
     )

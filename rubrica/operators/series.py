@@ -388,7 +388,7 @@ def bucket_representatives(df: DataFrame, key: str, duration: str) -> DataFrame:
         df.withColumn("bucket", duration_bucket(F.col(duration)))
         .where("bucket IS NOT NULL")
         .groupBy("bucket")
-        .agg(F.max_by(F.struct(key, duration), F.struct(F.col(duration), -F.col(key))).alias("r"))
+        .agg(F.min_by(F.struct(key, duration), F.struct(-F.col(duration), F.col(key))).alias("r"))
         .select("bucket", f"r.{key}", f"r.{duration}")
     )
     buckets = df.sparkSession.createDataFrame([(b,) for b in DURATION_BUCKETS], "bucket string")
@@ -407,7 +407,7 @@ def fill_representatives(df: DataFrame, key: str, duration: str, wanted: int = 3
         gaps = [F.abs(F.col(duration) - F.lit(d)) for _, d in chosen]
         distance = F.least(*gaps) if len(gaps) > 1 else (gaps[0] if gaps else F.col(duration))
         rest = df.where(~F.col(key).isin([k for k, _ in chosen])) if chosen else df
-        row = rest.agg(F.max_by(F.struct(key, duration), F.struct(distance, -F.col(key))).alias("r")).first()
+        row = rest.agg(F.min_by(F.struct(key, duration), F.struct(-distance, F.col(key))).alias("r")).first()
         if row["r"] is None:
             break
         chosen.append((row["r"][key], row["r"][duration]))

@@ -48,10 +48,6 @@ def with_sentences(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def drop_working(df: DataFrame) -> DataFrame:
-    return df.drop("__spans", "__sents", "__words", "__lens", "__content", "__grams2", "__grams3", "__joined")
-
-
 def add_surface(df: DataFrame, text: str, duration: str) -> DataFrame:
     n = F.size("__words")
     unique = F.size(F.array_distinct("__words"))
@@ -198,23 +194,28 @@ def token_edit_distance(source: Column, target: Column) -> Column:
 
 
 def sentence_pairs(df: DataFrame, key: Sequence[str], original: str, corrected: str) -> DataFrame:
-    """Aligned sentences of two texts with their word tokens and edit distance."""
+    """Aligned sentences of two texts with their word tokens and edit distance.
+
+    The shorter text is filled up: a sentence without a partner is not
+    ``matched`` and costs all its tokens.
+    """
     a = df.withColumn("__a", T.sentences(original)).withColumn("__b", T.sentences(corrected))
-    count = F.least(F.size("__a"), F.size("__b"))
-    paired = a.select(
+    paired = a.select(*key, F.posexplode(F.arrays_zip(F.col("__a").alias("a"), F.col("__b").alias("b"))).alias("pos", "p"))
+    words = paired.select(
         *key,
-        F.posexplode(F.arrays_zip(F.slice("__a", F.lit(1), count).alias("a"), F.slice("__b", F.lit(1), count).alias("b"))).alias("pos", "p"),
+        "pos",
+        (F.col("p.a").isNotNull() & F.col("p.b").isNotNull()).alias("matched"),
+        *[T.word_tokens(F.coalesce(F.col(f"p.{c}"), F.lit(""))).alias(name) for c, name in (("a", "source"), ("b", "target"))],
     )
-    words = paired.select(*key, "pos", T.word_tokens(F.col("p.a")).alias("source"), T.word_tokens(F.col("p.b")).alias("target"))
     return words.withColumn("distance", token_edit_distance(F.col("source"), F.col("target")).cast("bigint"))
 
 
 def edit_features(pairs: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Edits per original word, share of changed sentences, original words."""
+    """Edits per original word, share of changed or unmatched sentences, original words."""
     n = F.sum(F.size("source"))
     return pairs.groupBy(*key).agg(
         (F.sum("distance") / F.greatest(n, F.lit(1))).alias("gec_edit_rate"),
-        (F.sum(F.when(F.col("distance") > 0, 1).otherwise(0)) / F.greatest(F.count("*"), F.lit(1))).alias("gec_changed_fraction"),
+        (F.sum(F.when((F.col("distance") > 0) | ~F.col("matched"), 1).otherwise(0)) / F.greatest(F.count("*"), F.lit(1))).alias("gec_changed_fraction"),
         n.cast("bigint").alias("gec_n_words"),
     )
 

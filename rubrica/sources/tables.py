@@ -23,10 +23,21 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def read_labeled_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Typed CSV.  Every file's header must equal the schema's names in order, and
-    a cell that does not fit its type fails the read."""
+    """Typed CSV.  Every file's header must equal the schema's names in order and
+    case, and a cell that does not fit its type fails the read, also where the
+    column is not asked for."""
+    names = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fieldNames()
+    raw = spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(path)
+    # Files whose first line differs in case only pass the reader's own check.
+    alike = F.lit(True)
+    for n in names:
+        alike = alike & (F.lower(F.trim(F.col(f"`{n}`"))) == n.lower())
+    exact = F.struct(*[F.col(f"`{n}`") for n in names]) == F.struct(*[F.lit(n) for n in names])
+    if not raw.where(alike & ~exact).limit(1).isEmpty():
+        raise ValueError(f"A header differs from {names}")
     return (
         spark.read.schema(schema)
+        .option("columnPruning", False)
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
@@ -76,10 +87,17 @@ def load_embeddings(spark: SparkSession, path: str, key: Sequence[str], vector:
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-free content hash: row count and the sum of the rows' leading hash bits."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    bits = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return df.agg(F.count("*").alias("n"), F.sum(bits).alias("fingerprint"))
+    """Order-free content hash: row count and the sums of both halves of the rows' hashes.
+
+    Every field is written with its length, and NULL as ``N``, so rows that
+    differ in any field differ in what is hashed.  The sums are decimals and
+    cannot overflow.
+    """
+    field = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("N"))
+    digest = F.md5(F.concat_ws("|", *[field(F.col(c).cast("string")) for c in columns]))
+    half = lambda at: F.sum(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)"))
+    total = F.concat_ws("-", half(1).cast("string"), half(17).cast("string"))
+    return df.agg(F.count("*").alias("n"), total.alias("fingerprint"))
 
 
 def _existing(spark: SparkSession, path: str) -> bool:

@@ -36,7 +36,7 @@ def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     """
     lines = (
         spark.read.text(path)
-        .where(F.trim("value") != "")
+        .where(F.col("value").rlike(r"(?U)\S"))
         .select(F.col("value").alias("record"), F.input_file_name().alias("file"), F.expr("try_parse_json(value)").alias("v"))
     )
     is_object = F.schema_of_variant("v").startswith("OBJECT")
@@ -46,7 +46,7 @@ def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     blank = F.lit(False)
     for name in IDENTITY:
         text = F.expr(f"try_variant_get(v, '$.{name}', 'string')")
-        blank = blank | (_kind(name) != "STRING") | (F.trim(text) == "")
+        blank = blank | (_kind(name) != "STRING") | ~text.rlike(r"(?U)\S")
     duration = F.expr("try_variant_get(v, '$.duration_seconds', 'double')")
     bad_duration = (
         ~_kind("duration_seconds").rlike(NUMBER_TYPE)

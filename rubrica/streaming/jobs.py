@@ -22,9 +22,14 @@ def event_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str =
     return reader.parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def resume_ingest(stream: DataFrame, key: Sequence[str], ts: str, delay: str) -> DataFrame:
-    """Drop rows whose key was seen within the watermark; bounded state."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
+def resume_ingest(stream: DataFrame, sink: str, checkpoint: str, key: Sequence[str], day: str | None = None) -> None:
+    """Store every key once, however late its row comes: no watermark, no state.
+
+    Repeats inside a micro-batch collapse there; keys stored before are left out
+    by an anti-join with the sink.  With ``day``, a column that all rows of a key
+    share, the sink is partitioned by it and only the batch's days are read.
+    """
+    run_batches(stream, checkpoint, "append", append_new_keys(sink, key, day))
 
 
 def hopping_frames(stream: DataFrame, key: Sequence[str], ts: str, value: str, duration: str, slide: str, delay: str) -> DataFrame:
@@ -54,11 +59,27 @@ def running_stats(stream: DataFrame, key: Sequence[str], value: str) -> DataFram
     )
 
 
-def run_append(stream: DataFrame, sink: str, checkpoint: str) -> None:
-    """Append results to a parquet sink until the available input is used up."""
-    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(
+def closing_row(rows: DataFrame, ts: str, after: str) -> DataFrame:
+    """One row later than all others by ``after``, NULL but for its time: as input it closes every window before it."""
+    late = rows.agg(F.max(ts).alias("t")).where("t IS NOT NULL")
+    return late.select(
+        *[
+            (F.col("t") + F.expr(f"INTERVAL {after}") if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in rows.schema.fields
+        ]
+    )
+
+
+def run_append(stream: DataFrame, sink: str, checkpoint: str) -> int:
+    """Append results to a parquet sink until the available input is used up.
+
+    Returns the number of rows that came behind the watermark and are in no result.
+    """
+    run = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(
         "append"
-    ).trigger(availableNow=True).start().awaitTermination()
+    ).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return sum(s["numRowsDroppedByWatermark"] for p in run.recentProgress for s in p["stateOperators"])
 
 
 def run_batches(stream: DataFrame, checkpoint: str, mode: str, write: Callable[[DataFrame, int], None]) -> None:
@@ -68,17 +89,21 @@ def run_batches(stream: DataFrame, checkpoint: str, mode: str, write: Callable[[
     ).start().awaitTermination()
 
 
-def append_new_keys(sink: str, key: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """Batch writer that skips keys the sink already has, for restarts that replay a batch."""
+def append_new_keys(sink: str, key: Sequence[str], day: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Batch writer that skips keys the sink already has and repeats of a key in the batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         from ..sources.tables import _existing
 
         spark = batch.sparkSession
-        fresh = batch
+        fresh = batch.dropDuplicates(list(key))
         if _existing(spark, sink):
-            fresh = batch.join(spark.read.parquet(sink).select(*key), list(key), "left_anti")
-        fresh.write.mode("append").parquet(sink)
+            done = spark.read.parquet(sink)
+            if day is not None:  # as many values as the batch has days
+                done = done.where(F.col(day).isin([r[0] for r in batch.select(day).distinct().collect()]))
+            fresh = fresh.join(done.select(*key), list(key), "left_anti")
+        writer = fresh.write.mode("append")
+        (writer.partitionBy(day) if day is not None else writer).parquet(sink)
 
     return write
 
