@@ -1,21 +1,20 @@
 """Exact similarity groups and nearest matches without a cross join.
 
-Unit vectors with cosine above t lie closer than r = sqrt(2 - 2t).  Rows are
-routed to the cell of their nearest pivot; a row is also sent to an earlier
-pivot's cell when it could have a partner there (its distance to that pivot is
-at most its distance to its own pivot plus 2r).  The triangle inequality makes
-this complete: every linked pair meets in some cell.
-
-* Pivots are data rows at least r/2 apart, so a dense clump gets one pivot and
-  is not copied to many cells.
-* Rows closer than r/2 to their pivot are linked to each other through it, so
-  two such rows are never compared.
-* A cell is split into blocks of bounded size; a task sees one pair of blocks
-  and returns links that span its connected parts, never all pairs.
-* Exact copies collapse to one row first.
-
-At a low threshold every row can be near every pivot, and the work approaches
-all block pairs: exactness then has that price.
+Unit vectors with cosine above t lie closer than r = sqrt(2 - 2t).
+
+* Exact copies collapse to one row first; rows of zero length have no direction
+  and stay groups of their own.
+* Every row belongs to one cell, that of its nearest pivot, and there to one block
+  of bounded size.  Rows closer than r/2 to their pivot (the core) are linked to
+  each other through it and never compared.
+* A pair of cells is visited only if pivot distance <= both radii + r, which by the
+  triangle inequality leaves no link out.  Every unordered pair of blocks is one
+  task, so the comparisons never exceed half the square of the rows.
+* A task compares the two blocks and returns links that span its connected parts,
+  never all pairs.
+
+At a low threshold every cell can be near every other, and exactness then costs all
+block pairs.
 """
 
 from __future__ import annotations
@@ -50,116 +49,103 @@ def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (vectors @ pivots.T), 0.0))
 
 
-def _route(units: DataFrame, key: str, vector: str, pivots: np.ndarray, r: float) -> DataFrame:
-    """One row per cell a vector belongs to, with its core flag."""
+def _home(units: DataFrame, key: str, vector: str, pivots: np.ndarray, r: float) -> DataFrame:
+    """Every row with its part (twice its nearest pivot, plus one in the core) and its distance."""
 
-    def route(batches):
+    def home(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            v = np.stack(batch[vector].to_numpy()).astype(float)
-            d = distances(v, pivots)
-            home = d.argmin(axis=1)
-            near = d[np.arange(len(d)), home]
-            reach = d <= (near + 2 * r + SLACK)[:, None]
-            earlier = np.arange(d.shape[1])[None, :] <= home[:, None]
-            row, cell = np.nonzero(reach & earlier)
-            yield pd.DataFrame(
-                {
-                    key: batch[key].to_numpy()[row],
-                    vector: batch[vector].to_numpy()[row],
-                    "cell": cell.astype("int32"),
-                    "core": (cell == home[row]) & (near[row] < r / 2 - 1e-6),
-                }
-            )
+            d = distances(np.stack(batch[vector].to_numpy()).astype(float), pivots)
+            cell, near = d.argmin(axis=1), d.min(axis=1)
+            yield pd.DataFrame({key: batch[key], vector: batch[vector], "__part": (2 * cell + (near < r / 2 - 1e-6)).astype("int32"), "__near": near})
 
     kind = dict(units.dtypes)[key]
-    return units.select(key, vector).mapInPandas(route, f"{key} {kind}, {vector} array<double>, cell int, core boolean")
+    return units.select(key, vector).mapInPandas(home, f"`{key}` {kind}, `{vector}` array<double>, __part int, __near double")
+
+
+def _open_parts(parts: pd.DataFrame, pivots: np.ndarray, r: float) -> pd.DataFrame:
+    """Pairs of parts that can hold a link, in both directions; at most 4 x MAX_PIVOTS squared."""
+    part, radius = parts["__part"].to_numpy(), parts["radius"].to_numpy()
+    apart = distances(pivots, pivots)[np.ix_(part // 2, part // 2)]
+    open_ = (apart <= radius[:, None] + radius[None, :] + r + SLACK) | (part[:, None] // 2 == part[None, :] // 2)
+    np.fill_diagonal(open_, part % 2 == 0)  # a core is not compared with itself
+    here, there = np.nonzero(open_)
+    return pd.DataFrame({"__part": part[here], "__other": part[there], "__blocks": parts["blocks"].to_numpy()[there]})
+
+
+def block_pairs(units: DataFrame, key: str, vector: str, r: float, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``(tasks, cores)``: rows dealt to unordered block pairs ``(pa, ba, pb, bb)`` with their side, and the links of each core."""
+    spark = units.sparkSession
+    pivots = choose_pivots(units, key, vector, r / 2, cell_rows)
+    placed = cut_lineage(_home(units, key, vector, pivots, r))
+    parts = placed.groupBy("__part").agg(
+        F.count("*").alias("n"), F.max("__near").alias("radius"), F.min(key).alias("__first")
+    ).withColumn("blocks", F.ceil(F.col("n") / F.lit(float(block_rows))).cast("int"))
+    known = parts.select("__part", "radius", "blocks").toPandas().sort_values("__part")  # at most 2 x MAX_PIVOTS rows
+    pairs = spark.createDataFrame(_open_parts(known, pivots, r), "__part int, __other int, __blocks int")
+    own = parts.select("__part", F.col("blocks").alias("__own"))
+    dealt = (
+        placed.join(F.broadcast(own), "__part")
+        .withColumn("__block", F.pmod(F.xxhash64(key), F.col("__own").cast("bigint")).cast("int"))
+        .join(pairs, "__part")
+        .withColumn("__there", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    )
+    here, there = F.struct(F.col("__part").alias("p"), F.col("__block").alias("b")), F.struct(F.col("__other").alias("p"), F.col("__there").alias("b"))
+    first = F.least(here, there)
+    tasks = dealt.select(
+        key, vector, first["p"].alias("__pa"), first["b"].alias("__ba"), F.greatest(here, there)["p"].alias("__pb"), F.greatest(here, there)["b"].alias("__bb"),
+        (here == first).alias("__left"), (here == there).alias("__both"),
+    )
+    core = placed.where("__part % 2 = 1").join(F.broadcast(parts.select("__part", "__first")), "__part")
+    return tasks, core.where(F.col(key) != F.col("__first")).select(F.col(key).alias("a"), F.col("__first").alias("b"))
+
+
+def spanning(near: np.ndarray) -> np.ndarray:
+    """Smallest reachable index of each row and, after them, each column of a link matrix."""
+    rows, columns = near.shape
+    label = np.arange(rows + columns)
+    while True:
+        low = np.minimum(label[:rows], np.where(near, label[None, rows:], rows + columns).min(axis=1, initial=rows + columns))
+        right = np.minimum(label[rows:], np.where(near, low[:, None], rows + columns).min(axis=0, initial=rows + columns))
+        new = np.concatenate([low, right])
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
 
 
 def similarity_links(
     units: DataFrame, key: str, vector: str, threshold: float, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Links ``(a, b)`` whose connected components are those of all pairs above the threshold."""
+    """Links ``(a, b)`` whose connected components are those of all pairs above the threshold.
+
+    Rows without a direction (a NULL in the unit vector) have no links.
+    """
     r = float(np.sqrt(max(2.0 - 2.0 * threshold, 0.0)))
     kind = dict(units.dtypes)[key]
-    copies = units.groupBy(vector).agg(F.min(key).alias(key))
-    same = (
-        units.join(copies.withColumnRenamed(key, "b"), vector)
-        .where(F.col(key) != F.col("b"))
-        .select(F.col(key).alias("a"), "b")
-    )
-    single = cut_lineage(copies.select(key, vector))
-    pivots = choose_pivots(single, key, vector, r / 2, cell_rows)
-    routed = cut_lineage(_route(single, key, vector, pivots, r))
-    # At most MAX_PIVOTS cells x 2: how many blocks each part of a cell needs.
-    sizes = routed.groupBy("cell", "core").agg(F.count("*").alias("n"), F.min(key).alias("first"))
-    blocks = sizes.withColumn("blocks", F.ceil(F.col("n") / F.lit(float(block_rows))).cast("int"))
-    wide = blocks.groupBy("cell").agg(
-        F.coalesce(F.max(F.when(F.col("core"), F.col("blocks"))), F.lit(0)).alias("core_blocks"),
-        F.coalesce(F.max(F.when(~F.col("core"), F.col("blocks"))), F.lit(0)).alias("rest_blocks"),
-    )
-    placed = routed.join(F.broadcast(wide), "cell").withColumn(
-        "block",
-        F.pmod(F.xxhash64(key), F.when(F.col("core"), F.col("core_blocks")).otherwise(F.col("rest_blocks")).cast("bigint")).cast("int"),
-    )
-    # Block pairs: rest x rest (upper triangle) and core x rest.
-    others = F.sequence(F.lit(0), F.col("rest_blocks") - 1)
-    pairs = F.when(F.col("rest_blocks") == 0, F.array().cast("array<struct<left:string,right:string>>")).when(
-        F.col("core"),
-        F.transform(
-            others,
-            lambda j: F.struct(F.concat(F.lit("c"), F.col("block")).alias("left"), F.concat(F.lit("r"), j).alias("right")),
-        ),
-    ).otherwise(
-        F.concat(
-            F.transform(
-                others,
-                lambda j: F.struct(
-                    F.concat(F.lit("r"), F.least(j, F.col("block"))).alias("left"),
-                    F.concat(F.lit("r"), F.greatest(j, F.col("block"))).alias("right"),
-                ),
-            ),
-            F.when(
-                F.col("core_blocks") > 0,
-                F.transform(
-                    F.sequence(F.lit(0), F.col("core_blocks") - 1),
-                    lambda j: F.struct(F.concat(F.lit("c"), j).alias("left"), F.concat(F.lit("r"), F.col("block")).alias("right")),
-                ),
-            ).otherwise(F.array().cast("array<struct<left:string,right:string>>")),
-        )
-    )
-    tasks = placed.select(key, vector, "cell", "core", F.explode(pairs).alias("p")).select(
-        key, vector, "cell", "core", F.col("p.left").alias("left"), F.col("p.right").alias("right")
-    )
+    units = units.where(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)))
+    copies = units.groupBy(vector).agg(F.min(key).alias("__copy"))
+    same = units.join(copies, vector).where(F.col(key) != F.col("__copy")).select(F.col(key).alias("a"), F.col("__copy").alias("b"))
+    single = cut_lineage(copies.select(F.col("__copy").alias(key), vector))
+    if single.isEmpty():
+        return same
+    tasks, cores = block_pairs(single, key, vector, r, cell_rows, block_rows)
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(group[vector].to_numpy()).astype(float)
-        keys = group[key].to_numpy()
-        core = group["core"].to_numpy()
-        near = (v @ v.T) > threshold
-        near[np.ix_(core, core)] = False
-        np.fill_diagonal(near, False)
-        label = np.arange(len(v))
-        while True:
-            lowest = np.where(near, label[None, :], len(v)).min(axis=1, initial=len(v))
-            new = np.minimum(label, lowest)
-            new = np.minimum(new, new[new])
-            if (new == label).all():
-                break
-            label = new
-        linked = label != np.arange(len(v))
-        return pd.DataFrame({"a": keys[linked], "b": keys[label[linked]]})
-
-    found = tasks.groupBy("cell", "left", "right").applyInPandas(link, f"a {kind}, b {kind}")
-    star = (
-        placed.where("core")
-        .select("cell", F.col(key).alias("a"))
-        .join(F.broadcast(sizes.where("core").select("cell", F.col("first").alias("b"))), "cell")
-        .where("a <> b")
-        .select("a", "b")
-    )
-    return same.unionByName(found).unionByName(star).where("a <> b").distinct()
+        both = group["__both"].to_numpy()
+        a = group[group["__left"] | both]
+        b = group[~group["__left"] | both]
+        keys = np.concatenate([a[key].to_numpy(), b[key].to_numpy()])
+        if len(a) and len(b):
+            label = spanning(np.stack(a[vector].to_numpy()).astype(float) @ np.stack(b[vector].to_numpy()).astype(float).T > threshold)
+        else:
+            label = np.arange(len(keys))
+        tied = keys != keys[label]
+        return pd.DataFrame({"a": keys[tied], "b": keys[label][tied]})
+
+    found = tasks.groupBy("__pa", "__ba", "__pb", "__bb").applyInPandas(link, f"a {kind}, b {kind}")
+    return same.unionByName(found).unionByName(cores).where("a <> b").distinct()
 
 
 def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -224,12 +210,17 @@ def nearest_match(
 
     Right rows live in the cell of their nearest pivot.  A left row is matched
     in its nearest cell first; the distance found bounds which other cells can
-    still hold a closer row, and only those are visited.
+    still hold a closer row, and only those are visited.  A row without a direction,
+    or without any row to match, has a NULL match.
     """
     kind = dict(left.dtypes)[key]
-    right = cut_lineage(right.select(key, vector))
-    left = cut_lineage(left.select(key, vector))
+    directed = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
+    right = cut_lineage(right.select(key, vector).where(directed))
+    everything = cut_lineage(left.select(key, vector))
+    left = everything.where(directed)
     pivots = choose_pivots(right, key, vector, 0.0, cell_rows)
+    if not len(pivots):
+        return everything.select(key, F.lit(None).cast(kind).alias("match"), F.lit(None).cast("double").alias("cosine"))
 
     def nearest(batches):
         for batch in batches:
@@ -273,7 +264,7 @@ def nearest_match(
         return found
 
     def best(found: DataFrame) -> DataFrame:
-        top = found.groupBy(key).agg(F.max_by(F.struct("match", "cosine"), F.struct(F.col("cosine"), -F.col("match"))).alias("b"))
+        top = found.groupBy(key).agg(F.min_by(F.struct("match", "cosine"), F.struct(-F.col("cosine"), F.col("match"))).alias("b"))
         return top.select(key, "b.match", "b.cosine")
 
     def first_cell(batches):
@@ -285,8 +276,11 @@ def nearest_match(
 
     homeward = left.mapInPandas(first_cell, shape)
     first = cut_lineage(best(search(homeward)))
+    undirected = everything.join(left.select(key), key, "left_anti").select(
+        key, F.lit(None).cast(kind).alias("match"), F.lit(None).cast("double").alias("cosine")
+    )
     if len(pivots) == 1:
-        return first
+        return first.unionByName(undirected)
 
     def other_cells(batches):
         for batch in batches:
@@ -302,4 +296,4 @@ def nearest_match(
                 )
 
     more = left.join(first.select(key, "cosine"), key).mapInPandas(other_cells, shape)
-    return best(first.unionByName(search(cut_lineage(more))))
+    return best(first.unionByName(search(cut_lineage(more)))).unionByName(undirected)

@@ -46,6 +46,39 @@ def test_a_clump_with_a_third_of_all_rows(spark):
     assert [got[i] for i in range(180)] == list(brute_groups(x, x, 0.95))
 
 
+def test_zero_vectors_keep_every_link(spark):
+    x = clumps(np.random.default_rng(2), 4, 10)
+    rows = [(f"k{i:03d}", [float(v) for v in row]) for i, row in enumerate(x)]
+    centre = x.mean(axis=0)
+    zeros = [(f"a{i}", [float(v) for v in centre]) for i in range(3)]  # zero after centring, first in key order
+    reference = spark.createDataFrame(rows, "id string, v array<double>")
+    df = spark.createDataFrame(zeros + rows, "id string, v array<double>")
+    got = {r["id"]: r["group"] for r in S.similarity_groups(df, "id", "v", reference, 6, 0.9, cell_rows=8, block_rows=4).collect()}
+    want = brute_groups(x, x, 0.9)
+    assert [got[f"k{i:03d}"] for i in range(len(x))] == [f"k{g:03d}" for g in want]
+    assert len(got) == len(x) + 3 and len(set(want)) < len(x)
+
+
+@pytest.mark.parametrize("cells, blocks, threshold", [(4, 3, 0.2), (16, 5, 0.9), (64, 64, 0.5)])
+def test_no_pair_is_compared_twice(spark, cells, blocks, threshold):
+    x = np.random.default_rng(7).normal(size=(120, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tasks, _ = S.block_pairs(frame(spark, x), "id", "v", float(np.sqrt(2 - 2 * threshold)), cells, blocks)
+    compared = 0
+    for _, g in tasks.toPandas().groupby(["__pa", "__ba", "__pb", "__bb"]):
+        n = len(g)
+        compared += n * (n - 1) // 2 if g["__both"].all() else g["__left"].sum() * (n - g["__left"].sum())
+        assert g["id"].is_unique
+    assert compared <= 120 * 119 // 2
+
+
+def test_nearest_match_without_partners(spark):
+    left = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [None, None])], "id string, v array<double>")
+    right = spark.createDataFrame([("x", [0.0, 1.0]), ("w", [0.0, 1.0]), ("z", [None, None])], "id string, v array<double>")
+    assert {r["id"]: r["match"] for r in S.nearest_match(left, right, "id", "v").collect()} == {"a": "w", "b": None}
+    assert {r["id"]: r["match"] for r in S.nearest_match(left, right.limit(0), "id", "v").collect()} == {"a": None, "b": None}
+
+
 def test_chain_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a int, b int")
     got = {r["node"]: r["component"] for r in S.connected_components(links).collect()}
