@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .spans import located, replaced
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}+={0,2}"
@@ -101,7 +102,9 @@ def findings(docs: DataFrame, text: str = "text", path: str | None = "source") -
 def labelled_sample(found: DataFrame, label: Column | None = None, most: int = LABELLED) -> list:
     """At most ``most`` distinct findings of each label, those with the least hashes."""
     rows = found.withColumn("label", rule_label(F.col("match"), F.col("f")) if label is None else label).where("label is not null")
-    rows = rows.select("label", "match", "f").distinct().withColumn("h", F.xxhash64("match", "f"))
+    path = scratch_path(found.sparkSession, "labelled-findings")
+    rows.select("label", "match", "f").distinct().withColumn("h", F.xxhash64("match", "f")).write.parquet(path)
+    rows = found.sparkSession.read.parquet(path)
     return [r for value in (0.0, 1.0) for r in rows.where(F.col("label") == value).orderBy("h", "match").limit(most).collect()]
 
 
