@@ -44,7 +44,7 @@ from .words import Hasher, distinct, lists, slices, space_words
 SKETCH_BITS = 22
 SKETCH_BLOCK = 1 << 14
 BUCKETS = 64
-LIST_ROWS = 4_096
+LIST_ROWS = 512
 GROUP_WORDS = 2_000_000
 SLOTS = 1 << 20
 
