@@ -42,7 +42,7 @@ from .words import Hasher, gather, lists, slices, space_words
 
 WINDOW = 35
 GRAM = 8
-GROUP_ROWS = 100_000
+GROUP_ROWS = 2_000
 BATCH_ROWS = 8_192
 RESULTS = ("n_words", "n_removed", "kept")
 
