@@ -26,12 +26,6 @@ def squared_length(vector: Column | str) -> Column:
     )
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x
-    )
-
-
 def unit(vector: Column | str, floor: float = 0.0) -> Column:
     """Vector divided by its length; NULL for zero length unless a floor is given."""
     v = F.col(vector) if isinstance(vector, str) else vector

@@ -194,7 +194,48 @@ def test_tfidf_ridge_does_not_see_held_out_labels(spark):
     words = ["good", "bad", "fine", "poor", "great"]
     rows = [(i, " ".join(rng.choice(words, 6)), float(rng.normal()), i % 2) for i in range(24)]
     schema = "id int, t string, y double, fold int"
-    run = lambda r: {x["id"]: x["prediction"] for x in X.tfidf_ridge_oof(spark.createDataFrame(r, schema), "id", "t", "y", "fold", size=256).collect()}
+    run = lambda r: {x["id"]: x["prediction"] for x in X.tfidf_ridge_oof(spark.createDataFrame(r, schema), "id", "t", "y", "fold").collect()}
     a, b = run(rows), run([(i, t, 1000.0 if f == 1 else y, f) for i, t, y, f in rows])
     assert len(a) == 24
     assert all(a[i] == pytest.approx(b[i], abs=1e-6) for i in a if i % 2 == 1)
+
+
+@pytest.mark.parametrize("include_char", [False, True])
+def test_tfidf_ridge_is_the_dense_ridge(spark, include_char):
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}x" for a in "bcdfg" for b in "aeiou"]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(0, 12)))), float(rng.normal()), i % 3) for i in range(45)]
+
+    def grams(text, char):
+        if not char:
+            w = text.split()
+            return w + [" ".join(p) for p in zip(w, w[1:])]
+        return [p[i : i + n] for w in text.split() for p in [f" {w} "] for n in (3, 4, 5) for i in range(len(p) - n + 1)]
+
+    def block(char, k):
+        counts = [Counter(grams(t, char)) for _, t, _, _ in rows]
+        train = [c for c, r in zip(counts, rows) if r[3] != k]
+        df = Counter(t for c in train for t in c)
+        terms = sorted(t for t, n in df.items() if n >= 2)
+        x = np.array([[(1 + np.log(c[t])) * (np.log((1 + len(train)) / (1 + df[t])) + 1) if c[t] else 0.0 for t in terms] for c in counts])
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(size == 0, 1, size)
+
+    want = {}
+    y, fold = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    for k in range(3):
+        x = np.hstack([block(False, k), block(True, k)]) if include_char else block(False, k)
+        train = fold != k
+        for i, p in zip(np.flatnonzero(~train), ridge(x[train], y[train], x[~train], 1.0, scale=False), strict=True):
+            want[int(i)] = p
+    df = spark.createDataFrame(rows, "id int, t string, y double, fold int")
+    got = {r["id"]: r["prediction"] for r in X.tfidf_ridge_oof(df, "id", "t", "y", "fold", 1.0, include_char).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_tfidf_ridge_refuses_an_unsettled_fit(spark):
+    df = spark.createDataFrame([(i, f"good bad w{i % 4} v{i % 3}", float(i * i % 7), i % 2) for i in range(20)], "id int, t string, y double, fold int")
+    with pytest.raises(ValueError, match="settled"):
+        X.tfidf_ridge_oof(df, "id", "t", "y", "fold", 0.001, max_iter=2)
