@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import bound_batches
 from .words import Hasher, letter_words, lists, slices
 
 WINDOW = 10
@@ -126,6 +127,7 @@ def contamination(
 ) -> DataFrame:
     """The documents with ``n_words``, merged hit spans ``hit_from``/``hit_to`` (words, end exclusive) and ``items``."""
     spark = docs.sparkSession
+    bound_batches(spark)
     windows = benchmark_windows(items, item_id, item_text, n)
     blocks = max(1, -(-windows.count() // block_windows))
     rows = docs.drop("n_words", "hit_from", "hit_to", "items")

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.similarity import connected_components
 from ..session import scratch_path
+from .base import bound_batches
 from .words import Hasher, distinct, lists, slices, space_words
 
 SKETCH_BITS = 22
@@ -383,6 +384,7 @@ def jaccard_components(
     Two documents link when 100 * |A and B| >= percent * |A or B|.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(spark, f"ngram-{name}")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import bound_batches
 from .memory import PieceMemory, process_store
 from .token_arrays import expand
 from .words import Hasher, byte_table, gather, mix, slices, space_words
@@ -116,6 +117,7 @@ def measure(w, processor, is_byte: np.ndarray, memory: PieceMemory) -> list[np.n
 
 def text_measures(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """The documents with the columns of FOUND."""
+    bound_batches(docs.sparkSession)
     with open(vocabulary, "rb") as file:
         model = file.read()  # a vocabulary, of fixed size
     rows = docs.drop(*COLUMNS)
@@ -124,7 +126,7 @@ def text_measures(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        processor = process_store(f"pieces {zlib.crc32(model)}", lambda: sentencepiece.SentencePieceProcessor(model_proto=model))
         is_byte = np.array([processor.is_byte(i) for i in range(processor.vocab_size())])
         hasher = Hasher(space_words(), lower=False)
         memory = process_store(f"fertility {zlib.crc32(model)}", PieceMemory)

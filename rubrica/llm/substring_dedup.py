@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
+from .base import bound_batches
 from .ngram_join import SLOTS, _joined, runs, whole_groups
 from .token_arrays import expand
 from .words import Hasher, gather, lists, slices, space_words
@@ -296,6 +297,7 @@ def split_by_slot(docs: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFram
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, **sizes) -> DataFrame:
     """The documents with ``n_words``, ``n_removed`` and ``kept`` (the words left, joined by one blank)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.drop(*RESULTS)
     keyed = rows.select(F.col(f"`{doc_id}`").alias("doc"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("h"), F.col(f"`{text}`").cast("string").alias("text"), F.struct(*[f"`{c}`" for c in rows.columns if c != text]).alias("rest"))
     path = scratch_path(spark, "substring-spans")

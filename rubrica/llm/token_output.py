@@ -28,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .base import bound_batches
 from .memory import PieceMemory, process_store
 from .token_arrays import expand, text_bytes, with_starts
 from .words import Hasher, gather, lists, slices
 
 END_ID = 2
-SLICE = 2 << 20
-PIECES = 20_000  # pieces encoded at a time; bounds what the library holds
+SLICE = 1 << 20
+PIECES = 5_000  # pieces encoded at a time; bounds what the library holds
 UNSURE = (0xC2, 0xE1, 0xE2, 0xE3)  # first bytes of white space outside ASCII
 WRITE = {
     "compression": "zstd",
@@ -113,6 +114,7 @@ def encode(tokenizer, memory: PieceMemory, hasher: Hasher, texts: pa.Array) -> t
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", text: str = "text", **options: str) -> None:
     """Write ``(doc_id, shard, row, before, n_tokens, ids)``; ``before`` counts the ids of the shard before the row."""
+    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
     with open(vocabulary, encoding="utf-8") as file:
         model = file.read()  # a vocabulary, of fixed size
@@ -122,9 +124,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(model)
+        own = zlib.crc32(model.encode())
+        tokenizer = process_store(f"tokenizer {own}", lambda: Tokenizer.from_str(model))
         tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        memory = process_store(f"pieces {zlib.crc32(model.encode())}", PieceMemory)
+        memory = process_store(f"pieces {own}", PieceMemory)
         hasher = Hasher(np.ones(256, bool), lower=False)
         shard, row, before = TaskContext.get().partitionId(), 0, 0
         for batch in slices(batches, "text", SLICE):

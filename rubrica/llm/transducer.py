@@ -35,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .base import bound_batches
 from .memory import PieceMemory, process_store
 from .token_arrays import expand, text_bytes, with_starts
 from .words import Hasher, gather, lists, slices
 
 SLICE = 1 << 20
-WORDS = 20_000  # words composed at a time
+WORDS = 10_000  # words composed at a time
 MARK = 0x2581
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece kinds of the file format
 
@@ -248,6 +249,7 @@ def _model(path: str) -> bytes:
 def encode(docs: DataFrame, model_file: str, text: str = "text", to: str = "ids", cost: str = "path_cost") -> DataFrame:
     """The documents with their piece ids and the cost of the path; no shuffle."""
     model = _model(model_file)
+    bound_batches(docs.sparkSession)
     rows = docs.drop(to, cost)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +268,7 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", to: str = "decoded"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = process_store(f"transducer {zlib.crc32(model)}", lambda: Transducer(model))
-        for batch in batches:
+        for batch in id_slices(batches, ids):
             column = batch.column(batch.schema.get_field_index(ids))
             size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             values = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -276,6 +278,17 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", to: str = "decoded"
     return rows.mapInArrow(read, _with(rows, (to, T.StringType())))
 
 
+def id_slices(batches: Iterator[pa.RecordBatch], ids: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Cut record batches into runs of rows of about ``limit`` ids."""
+    for batch in batches:
+        if batch.num_rows:
+            size = batch.column(batch.schema.get_field_index(ids)).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            run = (np.cumsum(size) - size) // limit
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [batch.num_rows]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield batch.slice(a, b - a)
+
+
 def fallback_count(ids: str = "ids", first: int = 3):
     """Number of byte-fallback ids, for models whose 256 byte pieces start at ``first``."""
     return F.size(F.filter(ids, lambda i: (i >= first) & (i < first + 256))).cast("bigint")
