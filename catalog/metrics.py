@@ -408,6 +408,21 @@ def _(t):
     return M.label_value_stats(scored(t), "label", "size")
 
 
+@query(
+    "label_subset_stats",
+    s("""SELECT label, count(*) AS n, avg(size) AS mean, count(*) FILTER (WHERE size < 10) AS subset_n, avg(size) FILTER (WHERE size < 10) AS subset_mean,
+      count(*) / (SELECT count(*) FROM scored) AS share, count(*) FILTER (WHERE size < 10) / (SELECT count(*) FROM scored WHERE size < 10) AS subset_share FROM scored GROUP BY label"""),
+    "label mean subset_mean share subset_share",
+)
+def _(t):
+    return M.label_subset_stats(scored(t), "label", "size", F.col("size") < 10)
+
+
+@query("shared_keys", "SELECT o_custkey, count(DISTINCT o_orderpriority) AS parts FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) > 1")
+def _(t):
+    return M.shared_keys(t.orders, "o_orderpriority", ["o_custkey"])
+
+
 @query(
     "group_spread",
     """SELECT count(*) AS groups, count(*) FILTER (WHERE n > 1) AS repeated_groups, max(n) AS largest_group, avg(sd) FILTER (WHERE n > 1) AS mean_within_std,

@@ -44,7 +44,7 @@ def _(t):
       o AS (SELECT label, base, fold, w0 + w1 * quantity + w2 * discount AS p FROM tr JOIN w ON fold = k), e AS (SELECT k, label - w0 - w1 * quantity - w2 * discount AS e FROM tr JOIN w ON fold <> k),
       m AS (SELECT coalesce(CAST(fold AS VARCHAR), 'pooled') AS name, {sql_rmse('label', 'p')} AS rmse, {sql_pearson('label', 'p')} AS pearson, {sql_pearson('base', 'p')} AS pc, {sql_pearson('(label - base)', '(label - p)')} AS rc FROM o GROUP BY GROUPING SETS ((fold), ())),
       te AS (SELECT coalesce(CAST(k AS VARCHAR), 'pooled') AS name, sqrt(avg(e * e)) AS v FROM e GROUP BY GROUPING SETS ((k), ())),
-      b AS (SELECT w, {sql_rmse('label', '(w * base + (1 - w) * p)')} AS rmse, {sql_pearson('label', '(w * base + (1 - w) * p)')} AS pearson FROM o, (SELECT unnest([0.5e0, 0.75e0, 1e0]) AS w) GROUP BY w),
+      b AS (SELECT w, {sql_rmse('label', '(w * base + (1 - w) * p)')} AS rmse, {sql_pearson('label', '(w * base + (1 - w) * p)')} AS pearson FROM o, (SELECT unnest(range(10, 21)) / 20e0 AS w) GROUP BY w),
       d AS ({" UNION ALL ".join(f"SELECT '{c}' AS name, (avg({c}) FILTER (WHERE split = 'test') - avg({c}) FILTER (WHERE split = 'train')) / sqrt((var_pop({c}) FILTER (WHERE split = 'train') + var_pop({c}) FILTER (WHERE split = 'test')) / 2) AS v FROM al" for c in ("quantity", "discount"))})
       SELECT 'oof' AS section, name, 'rmse' AS metric, rmse AS value FROM m UNION ALL SELECT 'oof', name, 'pearson', pearson FROM m UNION ALL SELECT 'complementarity', name, 'prediction_correlation', pc FROM m
       UNION ALL SELECT 'complementarity', name, 'residual_correlation', rc FROM m UNION ALL SELECT 'training', name, 'training_rmse', v FROM te UNION ALL SELECT 'drift', name, 'smd', v FROM d
@@ -53,7 +53,7 @@ def _(t):
 )
 def _(t):
     rows = lines(t).withColumn("split", F.when(F.col("l_returnflag") == "R", "test").otherwise("train"))
-    return S.baseline_study(rows, ["quantity", "discount"], "label", "base", "fold", "split", 500.0, [0.5, 0.75, 1.0])
+    return S.baseline_study(rows, ["quantity", "discount"], "label", "base", "fold", "split", 500.0, [k / 20 for k in range(10, 21)])
 
 
 ABLATION = """k AS (SELECT DISTINCT fold AS k FROM scored), a AS (SELECT k, avg(label) AS m FROM scored JOIN k ON fold <> k GROUP BY k), b AS (SELECT k, avg(label) AS m FROM scored JOIN k ON fold <> k WHERE label > 0 GROUP BY k),

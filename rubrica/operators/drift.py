@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import INFINITY, pearson, quotient, share
-from .ranking import average_ranks, cumulative, exact_quantiles, value_counts
+from ..session import cut_lineage
+from .ranking import average_ranks, counted_ranks, cumulative, exact_quantiles, value_counts
 
 # ---- fixed values ----
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -195,17 +196,35 @@ def high_correlation_pairs(df: DataFrame, features: Sequence[str], threshold: fl
     return row.select(F.explode(F.array(*[f"p{i}" for i in range(len(kept))])).alias("p")).select("p.*")
 
 
+def weighted_pearson(x: str, y: str, weight: str) -> Column:
+    """Pearson correlation of counted pairs; NULL for fewer than two rows or a constant side."""
+    w, a, b = F.col(weight).cast("double"), F.col(x).cast("double"), F.col(y).cast("double")
+    return F.try_divide(
+        _weighted_covariance(w, a, b), F.sqrt(_weighted_covariance(w, a, a)) * F.sqrt(_weighted_covariance(w, b, b))
+    )
+
+
+def _weighted_covariance(w: Column, a: Column, b: Column) -> Column:
+    n = F.sum(w)
+    return F.greatest(F.sum(w * a * b) / n - F.sum(w * a) / n * F.sum(w * b) / n, F.lit(0.0)) if a is b else (
+        F.sum(w * a * b) / n - F.sum(w * a) / n * F.sum(w * b) / n
+    )
+
+
 def label_correlations(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
     """Pearson and Spearman of each feature with the label; constants give NULL.
 
     Spearman is Pearson on average ranks.  Rows collapse to counted
-    (feature, value, label) triples before the ranks are joined, so a value
-    shared by most rows joins once.
+    (feature, value, label) triples once; both correlations and the features'
+    ranks follow from them, so a value shared by most rows joins once.
     """
     tall = melt(df, [label], features)
-    plain = tall.groupBy("feature").agg(pearson("value", label).alias("pearson"))
-    triples = tall.groupBy("feature", "value", label).agg(F.count("*").alias("w"))
-    x = average_ranks(tall, ["feature"], "value", "rx")
+    triples = cut_lineage(tall.groupBy("feature", "value", label).agg(F.count("*").alias("w")))
+    plain = triples.where(F.col("value").isNotNull() & F.col(label).isNotNull()).groupBy("feature").agg(
+        weighted_pearson("value", label, "w").alias("pearson")
+    )
+    plain = triples.select("feature").distinct().join(plain, "feature", "left")
+    x = counted_ranks(triples, ["feature"], "value", "w", "rx")
     y = average_ranks(df, [], label, "ry")
     ranked = triples.join(x, ["feature", "value"]).join(y, label)
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")

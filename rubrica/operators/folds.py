@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import quotient
-from .ranking import cumulative, exact_quantiles, hashed_positions, value_counts
+from .ranking import BROADCAST_ROWS, broadcast_small, cumulative, exact_quantiles, hashed_positions, value_counts
 
 
 def mean_baseline_params(df: DataFrame, label: str = "label", fold: str = "fold") -> DataFrame:
@@ -100,7 +100,8 @@ def group_folds(df: DataFrame, group: str, n_splits: int = 5) -> DataFrame:
     """Whole groups to folds: largest first, dealt back and forth.
 
     Group sizes are ordered as counts of counts, and groups of one size by hash
-    cells, so no task sees all groups.
+    cells, so no task sees all groups.  Most groups have size one, so the table of
+    sizes is broadcast where it is seen to be small.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
     by_size = value_counts(sizes.withColumn("negative", -F.col("n")), [], "negative", {"groups": F.lit(1)})
@@ -108,7 +109,7 @@ def group_folds(df: DataFrame, group: str, n_splits: int = 5) -> DataFrame:
         (-F.col("negative")).alias("n"), F.col("groups_before").alias("__before")
     )
     hashed = sizes.withColumn("__h", F.md5(F.col(group).cast("string")))
-    placed = hashed_positions(hashed, ["n"], "__h", [group], "__pos").join(ranked, "n")
+    placed = hashed_positions(hashed, ["n"], "__h", [group], "__pos").join(broadcast_small(ranked, BROADCAST_ROWS), "n")
     position = F.col("__pos") - 1 + F.col("__before")
     turn, seat = F.floor(position / n_splits), position % n_splits
     fold = F.when(turn % 2 == 0, seat).otherwise(n_splits - 1 - seat).cast("bigint")

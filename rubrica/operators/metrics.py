@@ -211,6 +211,25 @@ def label_value_stats(df: DataFrame, label: str, value: str) -> DataFrame:
     return base.join(exact_quantiles(df, [label], value, {"median": 0.5}), label)
 
 
+def label_subset_stats(df: DataFrame, label: str, value: str, subset: Column) -> DataFrame:
+    """Per label: rows and mean of a column over all rows and over a subset, and the subset's share of its rows."""
+    inside = F.coalesce(subset, F.lit(False))
+    table = df.groupBy(label).agg(
+        F.count("*").alias("n"), F.avg(value).alias("mean"),
+        F.count(F.when(inside, 1)).alias("subset_n"), F.avg(F.when(inside, F.col(value))).alias("subset_mean"),
+    )
+    total = table.agg(F.sum("n").alias("__n"), F.sum("subset_n").alias("__s"))
+    return table.crossJoin(F.broadcast(total)).select(
+        label, "n", "mean", "subset_n", "subset_mean",
+        quotient("n", "__n").alias("share"), quotient("subset_n", "__s").alias("subset_share"),
+    )
+
+
+def shared_keys(df: DataFrame, part: str, key: Sequence[str]) -> DataFrame:
+    """Keys that occur in several parts: empty where the parts are disjoint."""
+    return df.groupBy(*key).agg(F.count_distinct(part).alias("parts")).where("parts > 1")
+
+
 def group_spread(df: DataFrame, group: str, value: str) -> DataFrame:
     """Mean within-group deviation of groups with several rows, next to the overall one."""
     per_group = df.groupBy(group).agg(

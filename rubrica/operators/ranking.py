@@ -49,7 +49,7 @@ def _before(df: DataFrame, groups: Sequence[str], order: str, names: Sequence[st
     )
 
 
-def _small(df: DataFrame, limit: int) -> DataFrame:
+def broadcast_small(df: DataFrame, limit: int) -> DataFrame:
     """Broadcast a derived table when it is seen to have at most ``limit`` rows."""
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
@@ -93,7 +93,7 @@ def _into_cells(
         position = (F.col(value).cast("double") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2)
         cell = f"__c{level}"
         work = (
-            work.join(_small(bounds, BROADCAST_ROWS), path)
+            work.join(broadcast_small(bounds, BROADCAST_ROWS), path)
             .withColumn(cell, F.when(F.col("__hi") > F.col("__lo"), F.floor(position * cells)).otherwise(F.lit(0)))
             .drop("__lo", "__hi")
         )
@@ -135,7 +135,7 @@ def cumulative(
     if _fits(counted, keys, max_values):
         return _before(counted, keys, value, names, "_before").drop(ALL)
     work, path, leaf = _into_cells(counted, keys, value, names, cells, max_values)
-    offsets = _small(leaf.select(*path, *[n + "_offset" for n in names]), BROADCAST_ROWS)
+    offsets = broadcast_small(leaf.select(*path, *[n + "_offset" for n in names]), BROADCAST_ROWS)
     inside = _before(work, path, value, names, "_inside")
     return inside.join(offsets, path).select(
         *groups,
@@ -178,11 +178,11 @@ def exact_quantiles(
     else:
         work, path, leaf = _into_cells(counted, keys, value, ["n"], cells, max_values)
         totals = leaf.groupBy(*keys).agg(F.sum("n_cell").alias("__total"))
-        located = leaf.join(_small(totals, BROADCAST_ROWS), keys)
+        located = leaf.join(broadcast_small(totals, BROADCAST_ROWS), keys)
         wanted = F.lit(False)
         for rank in ranks.values():
             wanted = wanted | holds(F.floor(rank), "n_offset", "n_cell") | holds(F.ceil(rank), "n_offset", "n_cell")
-        chosen = _small(located.where(wanted).select(*path, "n_offset", "__total"), BROADCAST_ROWS)
+        chosen = broadcast_small(located.where(wanted).select(*path, "n_offset", "__total"), BROADCAST_ROWS)
         ordered = _before(work.join(chosen, path), path, value, ["n"], "_inside").withColumn(
             "n_before", F.col("n_inside") + F.col("n_offset")
         )
@@ -228,7 +228,18 @@ def average_ranks(df: DataFrame, groups: Sequence[str], value: str, name: str) -
     """One row per (group, value) with the average rank of its ties."""
     own = [f"__g{i}" for i in range(len(groups))]
     rows = df.select(*[F.col(g).alias(o) for g, o in zip(groups, own, strict=True)], F.col(value).alias("__v"))
-    ranked = cumulative(value_counts(rows, own, "__v"), own, "__v")
+    return _ranked(value_counts(rows, own, "__v"), groups, own, value, name)
+
+
+def counted_ranks(counts: DataFrame, groups: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
+    """``average_ranks`` of rows that are given as counts."""
+    own = [f"__g{i}" for i in range(len(groups))]
+    rows = counts.select(*[F.col(g).alias(o) for g, o in zip(groups, own, strict=True)], F.col(value).alias("__v"), F.col(weight).alias("__w"))
+    return _ranked(value_counts(rows, own, "__v", {"n": F.col("__w")}), groups, own, value, name)
+
+
+def _ranked(counts: DataFrame, groups: Sequence[str], own: Sequence[str], value: str, name: str) -> DataFrame:
+    ranked = cumulative(counts, own, "__v")
     return ranked.select(
         *[F.col(o).alias(g) for g, o in zip(groups, own, strict=True)],
         F.col("__v").alias(value),
