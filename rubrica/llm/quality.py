@@ -4,8 +4,8 @@ One pass over the documents, no shuffle.  Words, lines and 8-word windows come f
 byte arrays; the vocabulary encodes each distinct word of a slice once.  Fertility is
 characters per token, the share of byte-fallback tokens and the entropy of the tokens
 in bits, as a share of the most that so many tokens of that vocabulary can have.  A document is kept if the base
-rules pass and each measure lies in the band of its language, or of its script where
-the language has none.
+rules pass and each measure lies in the band of its language and length, or of its
+script where the language has none.
 
 Defined results: null or wordless text has zero counts, fails the base rule and has
 null measures; unknown or null languages use the script's band; a column of the
@@ -20,7 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import bound_batches
@@ -34,16 +34,20 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
+#: Token counts from which the next edges of a band hold: both measures fall with length.
+STEPS = (0, 50, 100, 200, 400, 800, 1600, 3200, 6400)
 #: Rejection bands: characters per token (low, high), highest byte-fallback share, lowest
 #: entropy as a share of the most that so many tokens can have.  Languages first, then
-#: scripts.  The edges lie well outside what documents labelled good show in each
-#: language: short ones with numbers in them go down to 1.4 characters per token.
+#: scripts; an edge is one number or one for each of STEPS.  The low edges lie just below
+#: the lowest document labelled good of that language and length (2 percent and 0.01; for
+#: short documents, of which few are labelled, 5 percent and 0.05).  No labelled document
+#: is too high or has byte-fallback tokens, so those edges only bound what is no prose.
 BANDS = {
-    "en": (1.2, 8.0, 0.10, 0.38),
-    "fr": (1.1, 8.0, 0.10, 0.38),
-    "de": (1.2, 8.0, 0.10, 0.38),
-    "es": (1.2, 8.0, 0.10, 0.38),
-    "latin": (1.1, 8.0, 0.15, 0.38),
+    "en": ((1.52, 1.63, 1.53, 1.82, 1.88, 1.93, 2.03, 2.11, 2.09), 8.0, 0.10, (0.75, 0.74, 0.75, 0.70, 0.66, 0.61, 0.57, 0.53, 0.46)),
+    "fr": ((1.35, 1.35, 1.48, 1.62, 1.74, 1.82, 1.87, 1.90, 1.92), 8.0, 0.10, (0.75, 0.75, 0.74, 0.68, 0.64, 0.59, 0.55, 0.51, 0.45)),
+    "de": ((1.52, 1.52, 1.72, 1.90, 1.92, 1.93, 2.09, 2.12, 2.12), 8.0, 0.10, (0.75, 0.75, 0.74, 0.70, 0.64, 0.60, 0.55, 0.51, 0.46)),
+    "es": ((1.44, 1.44, 1.50, 1.66, 1.74, 1.77, 1.83, 1.86, 1.88), 8.0, 0.10, (0.75, 0.75, 0.73, 0.69, 0.64, 0.60, 0.56, 0.52, 0.44)),
+    "latin": ((1.35, 1.35, 1.48, 1.62, 1.74, 1.77, 1.83, 1.86, 1.88), 8.0, 0.15, (0.74, 0.74, 0.73, 0.68, 0.64, 0.59, 0.55, 0.51, 0.44)),
     "other": (0.2, 6.0, 0.90, 0.30),
 }
 FOUND = (
@@ -139,6 +143,16 @@ def text_measures(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
     return rows.mapInArrow(read, f"{shape}, {FOUND}")
 
 
+def edge(values: float | tuple[float, ...]) -> Column:
+    """The edge that holds for a row's number of tokens."""
+    if not isinstance(values, tuple):
+        return F.lit(values)
+    out = F.lit(values[0])
+    for step, value in zip(STEPS[1:], values[1:], strict=True):
+        out = F.when(F.col("n_tokens") >= step, F.lit(value)).otherwise(out)
+    return out
+
+
 def quality(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", bands: dict | None = None) -> DataFrame:
     """The documents with their measures, ``base_failed`` and ``kept``."""
     bands = bands or BANDS
@@ -151,9 +165,9 @@ def quality(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "l
     for name, (low, high, most_bytes, least_entropy) in bands.items():
         fits = fits | (
             (band == name)
-            & F.col("chars_per_token").between(low, high)
-            & (F.col("byte_share") <= most_bytes)
-            & (F.col("entropy_share") >= least_entropy)
+            & F.col("chars_per_token").between(edge(low), edge(high))
+            & (F.col("byte_share") <= edge(most_bytes))
+            & (F.col("entropy_share") >= edge(least_entropy))
         )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(False)))

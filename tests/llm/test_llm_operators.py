@@ -456,3 +456,22 @@ def test_template_language():
             render(bad)
     for text in ("<|", "<\\|", "<\\\\|x", "a<|b|>", CONTROL):
         assert chat_format.unescape(chat_format.escape(text)) == text and "<|" not in chat_format.escape(text)
+
+
+def test_quality_bands_reject(spark):
+    """Documents that pass the base rules and differ in fertility only: a band of the language and length decides."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = np.random.default_rng(3)
+    few = " ".join(rng.choice("this text says over and again one of some few words".split(), 400))
+    pieces = (library.id_to_piece(i) for i in range(library.vocab_size()))
+    many = " ".join(rng.choice([p[1:] for p in pieces if re.fullmatch("▁[a-z]{4,6}", p)], 400))
+    odd = " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(400))
+    docs = spark.createDataFrame([(i, t, lang) for lang in ("en", "fr", "de", "es", None) for i, t in enumerate([few, many, odd])], "doc_id bigint, text string, lang string")
+    got = quality.quality(docs, MODEL).collect()
+    assert not any(r.base_failed for r in got)
+    assert {(r.doc_id, r.kept) for r in got} == {(0, False), (1, True), (2, False)}
+    # The same entropy share is low for a short document and usual for a long one.
+    kept = quality.quality(spark.createDataFrame([(0, few, "en")], "doc_id bigint, text string, lang string"), MODEL, bands={"en": (0.0, 8.0, 0.1, (0.9,) + (0.1,) * 8)}).collect()
+    assert kept[0].kept
