@@ -61,7 +61,7 @@ def vocabulary(name: str) -> str:
 @query("op6_token_output")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
-    token_output.write_tokens(table(spark, folder, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    token_output.write_tokens(table(spark, folder, "documents"), path, vocabulary("byte_bpe_50k.json"), special_as_text=False)
     return token_output.with_crc(token_output.read_tokens(spark, path))
 
 

@@ -9,7 +9,8 @@ whole token stream; a reader that leaves ``ids`` out touches metadata columns on
 
 A text is cut at places where the vocabulary's own splitting pattern always cuts, and
 each distinct piece that a worker process meets is encoded once by the tokenizers library
-(pieces are told apart by 64-bit hashes; what a process remembers is bounded).
+(pieces are told apart by 64-bit hashes; what a process remembers is bounded).  Added
+tokens of the vocabulary that stand in a text are pieces of their own.
 
 Defined results: a null or empty text has no ids but the end id; rows with one doc_id
 follow in the order of a hash of their texts; a null doc_id comes first; extra columns
@@ -19,6 +20,7 @@ are not written; an empty table makes files without rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -84,10 +86,34 @@ def safe_cuts(raw: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def encode(tokenizer, memory: PieceMemory, hasher: Hasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def added_tokens(tokenizer) -> re.Pattern | None:
+    """The vocabulary's added tokens that the tokenizer takes out of a text before it splits it, the longest first."""
+    taken = [t for t in tokenizer.get_added_tokens_decoder().values() if not (t.special and tokenizer.encode_special_tokens)]
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized and tokenizer.normalizer is not None for t in taken):
+        raise ValueError("Only added tokens that stand for their own text are cut out")
+    contents = sorted((t.content.encode() for t in taken if t.content), key=lambda c: (-len(c), c))
+    return re.compile(b"|".join(map(re.escape, contents))) if contents else None
+
+
+def whole(cuts: np.ndarray, raw: np.ndarray, docs: np.ndarray, added: re.Pattern | None) -> np.ndarray:
+    """The cuts, with every added token in a text a piece of its own."""
+    if added is None:
+        return cuts
+    data, ends = raw.tobytes(), docs.tolist()
+    found = [m.span() for a, b in zip(ends[:-1], ends[1:], strict=True) for m in added.finditer(data, a, b)]
+    if not found:
+        return cuts
+    first, last = np.array(found, np.int64).T
+    at = np.searchsorted(first, cuts) - 1  # the token that begins before a cut
+    inside = (at >= 0) & (cuts < last[at])
+    cuts = np.concatenate([cuts[~inside], first, last])
+    return np.unique(cuts[cuts < len(raw)])
+
+
+def encode(tokenizer, memory: PieceMemory, hasher: Hasher, texts: pa.Array, added: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each closed by END_ID, and where each text begins."""
     raw, docs = text_bytes(texts)
-    starts = with_starts(safe_cuts(raw), docs, len(raw))
+    starts = with_starts(whole(safe_cuts(raw), raw, docs, added), docs, len(raw))
     ends = np.append(starts, len(raw))[1:]
     distinct, first, piece = np.unique(hasher.bytes.runs(hasher.codes[raw], starts, ends), return_index=True, return_inverse=True)
 
@@ -112,8 +138,12 @@ def encode(tokenizer, memory: PieceMemory, hasher: Hasher, texts: pa.Array) -> t
     return flat[expand(begin[order], own)], np.concatenate([[0], closed[last]])
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", text: str = "text", **options: str) -> None:
-    """Write ``(doc_id, shard, row, before, n_tokens, ids)``; ``before`` counts the ids of the shard before the row."""
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", text: str = "text", special_as_text: bool = True, **options: str) -> None:
+    """Write ``(doc_id, shard, row, before, n_tokens, ids)``; ``before`` counts the ids of the shard before the row.
+
+    With ``special_as_text`` the name of a special token in a text is ordinary text; without, it has the token's id,
+    as the library encodes by default.
+    """
     bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
     with open(vocabulary, encoding="utf-8") as file:
@@ -124,14 +154,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        own = zlib.crc32(model.encode())
+        own = f"{zlib.crc32(model.encode())} {special_as_text}"
         tokenizer = process_store(f"tokenizer {own}", lambda: Tokenizer.from_str(model))
-        tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        tokenizer.encode_special_tokens = special_as_text
+        added = added_tokens(tokenizer)
         memory = process_store(f"pieces {own}", PieceMemory)
         hasher = Hasher(np.ones(256, bool), lower=False)
         shard, row, before = TaskContext.get().partitionId(), 0, 0
         for batch in slices(batches, "text", SLICE):
-            ids, bounds = encode(tokenizer, memory, hasher, batch.column(1))
+            ids, bounds = encode(tokenizer, memory, hasher, batch.column(1), added)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [

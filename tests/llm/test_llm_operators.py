@@ -276,6 +276,23 @@ def test_token_output(spark, awkward, empty, tmp_path):
     assert token_output.read_tokens(spark, str(tmp_path / "e")).collect() == []
 
 
+def test_token_output_special_tokens(spark, tmp_path):
+    """The query's encoding is the library's default: the name of a special token in a text is that token."""
+    from tokenizers import Tokenizer
+
+    from rubrica.llm.queries import op6
+
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end}{end}", f"x  {end}  y", f"it'{end}s {end}'s\n{end}\n", f"<|endof{end}text|>", "<|endof", "text|> z", f"é{end}é 1{end}2 {end[:-1]}", "plain", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert want[0] == [64, 50256, 65, 2]
+    got = sorted(op6(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want]
+    assert [r.start for r in got] == np.cumsum([0, *map(len, want)])[:-1].tolist()
+
+
 # ---- personal data ----
 
 
