@@ -8,9 +8,11 @@ encoding is the lattice's shortest path in the tropical semiring (min, +), ties
 to the longer last arc.  Decoding is the inverse machine.
 
 Costs are the negated scores of a unigram model, so its encodings are the library's
-own best paths.  A merge model has ranks instead of scores; its pieces cost
-``log(rank + 2)``, the code length of a Zipf law, so the path is the cheapest one under
-that law, not the order of merges.
+own best paths.  A merge model has ranks instead of scores.  Its encodings are the
+library's too: the path through the lattice that applies the merge of the best rank,
+and of equal ones the leftmost, until none is left.  The cost of that path counts
+``log(rank + 2)`` a piece, the code length of a Zipf law; :meth:`Transducer.encode`
+also gives the cheapest path under that law, which is another one.
 
 No piece of a usual model reaches over the start of a word, so the lattice falls into
 words and equal words of a slice are composed once; a model with such pieces is
@@ -25,6 +27,7 @@ bytes that are not valid UTF-8 decode to U+FFFD.
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,6 +45,7 @@ from .words import Hasher, gather, lists, slices
 
 SLICE = 1 << 20
 WORDS = 10_000  # words composed at a time
+LONG = 64  # symbols of a word that is merged by itself
 MARK = 0x2581
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece kinds of the file format
 
@@ -122,13 +126,119 @@ class Transducer:
         self.root = np.zeros(0x110000, np.int32)
         first = self.keys[self.keys < 1 << 21]
         self.root[first] = self.to[: len(first)]
-        self.hasher, self.memory = Hasher(np.ones(256, bool), lower=False), PieceMemory()
+        self.hasher, self.memory, self.merged = Hasher(np.ones(256, bool), lower=False), PieceMemory(), PieceMemory()
+        self.merges = kind == 2
+        self.piece_cost = np.array(cost)
+        if self.merges:
+            self.compile_merges(pieces, usable)
         # Inverse machine: bytes written by each id.
         out = [bytes([int(p[0][3:5], 16)]) if p[2] == BYTE else p[0].replace(mark, " ").encode() if p[2] in (NORMAL, USER) else b" \xe2\x81\x87 " if p[2] == UNKNOWN else b"" for p in pieces]
         self.out = np.frombuffer(b"".join(out), np.uint8)
         self.out_size = np.array([*map(len, out), 0], np.int64)
         self.out_start = np.cumsum(self.out_size) - self.out_size
 
+    def compile_merges(self, pieces: list, usable: list[int]) -> None:
+        """Pairs of symbols whose texts together are a piece, keyed (left, right), with what they become and its rank."""
+        self.special = any(p[2] in (USER, UNUSED) for p in pieces)
+        symbol = {}
+        for i in usable:
+            symbol.setdefault(pieces[i][0], i)
+        for i in usable:  # characters of pieces that are no pieces themselves
+            for c in pieces[i][0]:
+                symbol.setdefault(c, len(pieces) + len(symbol))
+        self.char_symbol = np.full(0x110000, -1, np.int64)
+        for text, i in symbol.items():
+            if len(text) == 1:
+                self.char_symbol[ord(text)] = i
+        order = {score: k for k, score in enumerate(sorted({pieces[i][1] for i in usable}, reverse=True))}
+        pairs = {}
+        for i in usable:
+            text = pieces[i][0]
+            for k in range(1, len(text)):
+                if text[:k] in symbol and text[k:] in symbol:
+                    pairs[symbol[text[:k]] << 24 | symbol[text[k:]]] = symbol[text]
+        self.pair = np.array(sorted(pairs), np.int64)
+        self.pair_to = np.array([pairs[k] for k in self.pair.tolist()], np.int64)
+        self.pair_rank = np.array([order[pieces[i][1]] for i in self.pair_to.tolist()], np.int64)
+        self.pairs = {k: (order[pieces[i][1]], i) for k, i in pairs.items()}
+
+    def merge_long(self, symbols: list[int]) -> tuple[list[int], list[int]]:
+        """Symbols of one word after all merges, and where each begins: a heap of pairs."""
+        n = len(symbols)
+        after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+        def offer(a: int) -> None:
+            b = after[a]
+            if b < n and symbols[a] >= 0 and symbols[b] >= 0 and (found := self.pairs.get(symbols[a] << 24 | symbols[b])):
+                heapq.heappush(heap, (found[0], a, symbols[a], symbols[b], found[1]))
+
+        for a in range(n):
+            offer(a)
+        while heap:
+            _, a, left, right, to = heapq.heappop(heap)
+            b = after[a]
+            if symbols[a] != left or b >= n or symbols[b] != right:
+                continue
+            symbols[a], symbols[b], after[a] = to, -2, after[b]
+            if after[b] < n:
+                before[after[b]] = a
+            offer(a)
+            if before[a] >= 0:
+                offer(before[a])
+        places = [a for a in range(n) if symbols[a] != -2]
+        return [symbols[a] for a in places], places
+
+    def merge_paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, bounds, costs)`` of every normalised word, merged in the order of ranks."""
+        if self.special:
+            raise ValueError("Only merge models without user-defined and unused pieces are merged")
+        point = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(size) - size
+        of, where, what = [], [], []
+        for i in np.flatnonzero(size > LONG).tolist():
+            symbols, places = self.merge_long(self.char_symbol[point[begin[i] : begin[i] + size[i]]].tolist())
+            of.append(np.full(len(symbols), i))
+            where.append(begin[i] + np.array(places, np.int64))
+            what.append(np.array(symbols, np.int64))
+        short = size <= LONG
+        at = np.flatnonzero(np.repeat(short, size))
+        word, sym = np.repeat(np.arange(len(words)), size)[at], self.char_symbol[point[at]]
+        while len(sym):
+            # One merge in every word at a time, the leftmost of the best rank.
+            key = np.append(np.where((word[:-1] == word[1:]) & (sym[:-1] >= 0) & (sym[1:] >= 0), sym[:-1] << 24 | sym[1:], -1), -1)
+            place = np.minimum(np.searchsorted(self.pair, key), max(len(self.pair) - 1, 0))
+            known = self.pair[place] == key if len(self.pair) else np.zeros(len(key), bool)
+            rank = np.full(len(key), len(self.piece_cost))
+            rank[known] = self.pair_rank[place[known]]
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            length = np.diff(np.append(first, len(word)))
+            best = np.repeat(np.minimum.reduceat(rank, first), length)
+            open_ = best < len(self.piece_cost)
+            of.append(word[~open_])
+            where.append(at[~open_])
+            what.append(sym[~open_])
+            chosen = np.flatnonzero(open_ & (rank == best))
+            chosen = chosen[np.unique(word[chosen], return_index=True)[1]]
+            sym[chosen] = self.pair_to[place[chosen]]
+            open_[chosen + 1] = False
+            word, at, sym = word[open_], at[open_], sym[open_]
+        empty = np.zeros(0, np.int64)
+        of, where, what = np.concatenate([empty, *of]), np.concatenate([empty, *where]), np.concatenate([empty, *what])
+        order = np.argsort(where, kind="stable")
+        of, where, what = of[order], where[order], what[order]
+        # Characters that are no pieces write their bytes.
+        spelled = (what < 0) | (what >= len(self.piece_cost))
+        letters = point[where[spelled]]
+        width = np.where(letters < 0x80, 1, np.where(letters < 0x800, 2, np.where(letters < 0x10000, 3, 4)))
+        many, own = np.ones(len(what), np.int64), np.zeros(len(what))
+        many[spelled], own[spelled] = width, self.fallback * width
+        own[~spelled] = self.piece_cost[what[~spelled]]
+        ids = np.repeat(np.where(spelled, -1, what), many)
+        ids[ids < 0] = self.byte_id[np.frombuffer("".join(map(chr, letters.tolist())).encode("utf-8", "surrogatepass"), np.uint8)]
+        count = np.bincount(of, many, minlength=len(words)).astype(np.int64)
+        return ids.astype(np.int32), np.concatenate([[0], np.cumsum(count)]), np.bincount(of, own, minlength=len(words))
+
     def shortest_paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(ids, bounds, costs)`` of the cheapest path of every normalised word."""
         point = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -198,8 +308,9 @@ class Transducer:
         count = np.bincount(of, many, minlength=len(words)).astype(np.int64)
         return ids.astype(np.int32), np.concatenate([[0], np.cumsum(count)]), best[node + size]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(ids, bounds, costs)`` of all texts."""
+    def encode(self, texts: pa.Array, by_merges: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, bounds, costs)`` of all texts; ``by_merges`` follows the ranks of a merge model instead of the cheapest path."""
+        paths, memory = (self.merge_paths, self.merged) if by_merges else (self.shortest_paths, self.memory)
         raw, docs = text_bytes(texts)
         if self.prefix:  # the blank in front of every text that is not empty
             full = np.flatnonzero(docs[1:] > docs[:-1])
@@ -217,11 +328,11 @@ class Transducer:
 
         def fresh(new):
             words = gather(raw, starts[first[new]], ends[first[new]]).to_pylist()
-            parts = [self.shortest_paths([w.replace(" ", chr(MARK)) for w in words[at : at + WORDS]]) for at in range(0, len(words), WORDS)]
+            parts = [paths([w.replace(" ", chr(MARK)) for w in words[at : at + WORDS]]) for at in range(0, len(words), WORDS)]
             empty = (np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0))
             return tuple(np.concatenate(x) for x in zip(*[(ids, np.diff(edge), cost) for ids, edge, cost in [empty, *parts]], strict=True))
 
-        flat, begin, size, cost = self.memory.resolve(distinct, fresh)
+        flat, begin, size, cost = memory.resolve(distinct, fresh)
         word = word.ravel()
         closed = np.concatenate([[0], np.cumsum(size[word])])
         total = np.concatenate([[0.0], np.cumsum(cost[word])])[bounds]
@@ -255,7 +366,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", to: str = "ids"
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = process_store(f"transducer {zlib.crc32(model)}", lambda: Transducer(model))
         for batch in slices(batches, text, SLICE):
-            ids, bounds, costs = machine.encode(batch.column(batch.schema.get_field_index(text)))
+            ids, bounds, costs = machine.encode(batch.column(batch.schema.get_field_index(text)), by_merges=machine.merges)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists(ids, bounds, pa.int32()), pa.array(costs)], names=[*batch.schema.names, to, cost])
 
     return rows.mapInArrow(read, _with(rows, (to, T.ArrayType(T.IntegerType())), (cost, T.DoubleType())))

@@ -185,6 +185,21 @@ def test_merge_model_paths_are_cheapest():
     assert machine.decode(ids, bounds) == [t or "" for t in texts]
 
 
+def test_merge_model_ids_are_the_librarys(spark, awkward):
+    """The production file, through the operator that the queries use, with words short and long."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = np.random.default_rng(5)
+    texts = ["hello world", "", None, "   ", "a  b\n c ", "zażółć 猫 🐈 \x00", "x" * 300, "Ünder-way, 12345!!", "supercalifragilistic", "\u2581 a\u2581b"]
+    texts += ["".join(rng.choice(list("etaoinshrdlu  ß,é猫🐈0"), int(n))) for n in rng.integers(1, 400, 300)]
+    texts += ["".join(rng.choice(list("etaoinshrdluab"), int(n))) for n in rng.integers(60, 400, 100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r.ids for r in transducer.encode(docs, MODEL).orderBy("doc_id").collect()]
+    assert got == [library.encode(t or "") for t in texts]
+    assert all(r.ids == library.encode(r.text or "") for r in transducer.encode(awkward.select("text"), MODEL).collect())
+
+
 def test_transducer_round_trip(awkward, empty):
     out = transducer.decode(transducer.encode(awkward, MODEL), MODEL)
     assert out.where(F.col("decoded") != F.coalesce("text", F.lit(""))).count() == 0
