@@ -1,21 +1,25 @@
 """Personal data: base patterns and information-theoretic sanitisation, in DataFrame operations only.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers.  Each is a
-protected entity, named by its kind and text.  Words near a mention are terms.  Over the
-distinct contexts of all documents the co-occurrence counts give
+protected entity, named by its kind and text.  The words of a text outside its base spans
+are its terms.  Over the distinct texts of all documents the counts of texts give
 
     IC(e) = -log p(e),    PMI(e; t) = log p(e, t) / (p(e) p(t)),
 
-and a term that carries ``PMI >= share * IC`` tells that much of the entity's information.
-A term seen with its entity in at least ``support`` distinct contexts and above the share
-is a span of kind ``term`` wherever it stands near that entity.  Contexts are counted once
-however often they are copied, so copies of one document disclose nothing by themselves.
+where ``smooth`` is added to the counts of e and t in PMI, so that one meeting tells less
+than many.  A term with ``PMI >= share * IC`` tells that much of the entity's information,
+and is a span of kind ``term`` wherever it stands in any document.  Equal texts count once,
+so copies of one document disclose nothing by themselves.  Of an entity in one text among
+many, the words that hardly any other text has are terms: nothing in the counts tells a
+name from another rare word.
 
 The patterns are written without repeated groups: single separators between digits, and
 dots between domain labels, are marked first, after which every pattern is a run of one
 character class.  So the cost is linear and no long run can exhaust a stack.
 
-Text is read once; what follows works on the few spans and contexts.
+Text is read three times: for base spans, to count terms, and to find the disclosing ones;
+a bit table of fixed size keeps most other words out of the last join.  Terms are told
+apart by 64-bit hashes.
 
 Defined results: a null text is empty and has no spans; rows with one id are judged one
 by one; term spans never overlap base spans; extra columns pass through
@@ -33,8 +37,8 @@ from ..session import scratch_path
 from .spans import located, replaced
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT_CHARS = 64
-SUPPORT = 3
+SMOOTH = 1.0
+SLOTS = 1 << 16  # of 64 bits each
 SHARE = 0.8
 # Marks: one code point each, so places stay as they are.
 JOINED_DIGITS, JOINED_DOT, TAKEN = "\ue000", "\ue001", "\ue002"
@@ -45,7 +49,8 @@ PATTERNS = {
     "card": f"[0-9][0-9{JOINED_DIGITS}]+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-WORD = r"\p{L}{4,}"
+# Words of four letters or more, and shorter ones that begin with a capital.
+WORD = r"\p{L}{4,}|(?<!\p{L})\p{Lu}\p{L}{1,2}(?!\p{L})"
 
 
 def each(kind: str, make) -> Column:
@@ -86,79 +91,94 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def near_words(text: Column, span: Column, chars: int) -> tuple[Column, Column]:
-    """Whole words up to ``chars`` characters before and after a span, as spans."""
-    shift = lambda words, by: F.transform(words, lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["match"]).alias("term")))
-    first = F.greatest(span["start"] - chars, F.lit(0))
-    before = located(F.substring(text, first + 1, span["start"] - first), WORD)
-    before = F.filter(before, lambda w: (w["start"] > 0) | (first == 0))  # else it may be cut
-    width = F.length(text)
-    after = located(F.substring(text, span["end"] + 1, F.lit(chars)), WORD)
-    after = F.filter(after, lambda w: (w["end"] < chars) | (span["end"] + chars >= width))
-    return shift(before, first), shift(after, span["end"])
+def own_words(text: Column) -> Column:
+    """Words of a text as they stand there, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
 
-def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: int = CONTEXT_CHARS) -> DataFrame:
-    """``(doc, h, email, ip, card, phone, mentions)``: spans by kind, and for each span its entity and near terms."""
+def read_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    found = rows.select("doc", "text", *[spans.alias(kind) for kind, spans in base_spans(F.col("text")).items()])
-    all_spans = F.concat(*[each(k, lambda s, kind: F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
-    entity = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
+    return rows.withColumn("h", F.xxhash64("text"))
 
-    def mention(s):
-        before, after = near_words(F.col("text"), s, chars)
-        return F.struct(
-            entity(s).alias("entity"),
-            F.filter(F.concat(before, after), lambda w: ~F.exists("__all", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))).alias("terms"),
-        )
 
-    found = found.withColumn("__all", all_spans)
+def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc, h, email, ip, card, phone, entities, terms)``: spans by kind; entities and terms of documents with spans, else null."""
+    found = read_texts(docs, doc_id, text).select("doc", "text", "h", *[spans.alias(kind) for kind, spans in base_spans(F.col("text")).items()])
+    all_spans = F.concat(*[each(k, lambda s, kind: F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
+    entity = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
+    found = found.withColumn("__all", all_spans).withColumn("__left", F.col("text"))
+    for kind in KINDS:
+        found = found.withColumn("__left", replaced(F.col("__left"), F.col(kind), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"])))
+    some = F.size("__all") > 0
     return found.select(
-        "doc", F.xxhash64("text").alias("h"), *KINDS,
-        F.when(F.size("__all") > 0, F.transform("__all", mention)).alias("mentions"),
+        "doc", "h", *KINDS,
+        F.when(some, F.array_distinct(F.transform("__all", entity))).alias("entities"),
+        F.when(some, F.array_distinct(F.transform(own_words(F.col("__left")), F.lower))).alias("terms"),
     )
 
 
-def disclosing_terms(mentions: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """``(entity, term, told)`` of the terms that tell at least ``share`` of an entity's information.
-
-    ``mentions`` has ``entity`` and ``terms``; equal rows are one context.
-    """
-    contexts = mentions.select("entity", F.array_sort(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("terms")).distinct()
-    n = contexts.count()
-    if n == 0:
-        return contexts.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("told")).limit(0)
-    pairs = contexts.select("entity", F.explode("terms").alias("term"))
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    with_term = pairs.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
-    with_entity = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    counted = joint.join(with_term, "term").join(with_entity, "entity")
-    information = F.lit(math.log(n)) - F.log("n_e")
-    pmi = F.log("n_et") + F.lit(math.log(n)) - F.log("n_e") - F.log("n_t")
-    # An entity that is in every context has nothing left to tell.
-    return counted.where("n_e < %d" % n).withColumn("told", pmi / information).where(F.col("told") >= share).select("entity", "term", "told")
-
-
-def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, share: float = SHARE, chars: int = CONTEXT_CHARS) -> DataFrame:
+def term_counts(texts: DataFrame) -> DataFrame:
+    """``(term, n_t)``: distinct texts that hold a term, by the hash of the term."""
+    hashed = F.array_distinct(F.transform(own_words(F.col("text")), lambda w: F.xxhash64(F.lower(w))))
+    once = texts.select("h", hashed.alias("terms")).groupBy("h").agg(F.first("terms").alias("terms"))
+    return once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+
+
+def disclosing_terms(found: DataFrame, counts: DataFrame, n: int, share: float = SHARE, smooth: float = SMOOTH) -> DataFrame:
+    """``(term, told)`` of the terms that tell at least ``share`` of an entity's information, by the hash of the term."""
+    own = found.where("entities is not null").select("h", "entities", "terms").dropDuplicates(["h"])
+    entities = own.select("h", F.explode("entities").alias("entity"))
+    sizes = entities.groupBy("entity").agg(F.count("*").alias("n_e"))
+    entities = entities.join(sizes, "entity")
+    # n_et <= n_e, so a term that tells enough about an entity is in no more texts than this.
+    most = entities.groupBy("h").agg((F.pow(F.max("n_e") / F.lit(float(n)), F.lit(share)) * n * 1.000001).alias("most"))
+    terms = own.select("h", F.explode("terms").alias("term")).select("h", F.xxhash64("term").alias("term"))
+    terms = terms.join(counts, "term").join(most, "h").where(F.col("n_t") + smooth <= F.col("most")).drop("most")
+    joint = terms.join(entities, "h").groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et"))
+    information = F.lit(math.log(max(n, 1))) - F.log("n_e")
+    pmi = F.log("n_et") + F.lit(math.log(max(n, 1))) - F.log(F.col("n_e") + smooth) - F.log(F.col("n_t") + smooth)
+    # An entity that is in every text has nothing left to tell.
+    told = joint.where(F.col("n_e") < n).withColumn("told", pmi / information).where(F.col("told") >= share)
+    return told.groupBy("term").agg(F.max("told").alias("told"))
+
+
+def term_hits(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """``(doc, h, start, end, told)`` of every place of a disclosing term."""
+    slot = lambda t: F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    bits = told.groupBy(slot(F.col("term")).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(term & 63 as int))")).alias("bits"))
+    table = [0] * SLOTS
+    for r in bits.collect():  # at most SLOTS rows
+        table[r["slot"]] = r["bits"]
+    marks = told.sparkSession.createDataFrame([(table,)], "marks array<bigint>")
+    marked = lambda t: F.getbit(F.get("marks", slot(t)), t.bitwiseAND(F.lit(63)).cast("int")) == 1
+    rows = texts.crossJoin(F.broadcast(marks))
+    rows = rows.withColumn("near", F.filter(own_words(F.col("text")), lambda w: marked(F.xxhash64(F.lower(w))))).drop("marks").where(F.size("near") > 0)
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("near", "|"), F.lit(r")(?!\p{L})"))
+    places = rows.withColumn("pattern", pattern).select("doc", "h", F.explode(located(F.col("text"), F.col("pattern"))).alias("s"))
+    places = places.select("doc", "h", "s.start", "s.end", F.xxhash64(F.lower("s.match")).alias("term"))
+    return places.join(told, "term").drop("term")
+
+
+def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE, smooth: float = SMOOTH) -> DataFrame:
     """``(doc, h, email, ip, card, phone, term)``: spans by kind; ``h`` is the hash of the text.
 
-    Term spans have ``told``, the share of information they tell about the nearest entity that they tell most about.
+    Term spans have ``told``, the share of information they tell about the entity that they tell most about.
     """
     spark = docs.sparkSession
-    path = scratch_path(spark, "personal-data")
-    detect(docs, doc_id, text, chars).write.parquet(path)
-    found = spark.read.parquet(path)
-    mentions = found.where("mentions is not null").select("doc", "h", F.explode("mentions").alias("m")).select("doc", "h", "m.entity", "m.terms")
-    told = disclosing_terms(mentions, support, share)
+    path, to = scratch_path(spark, "personal-data"), scratch_path(spark, "disclosing-terms")
+    detect(docs, doc_id, text).write.parquet(path)
+    found, texts = spark.read.parquet(path), read_texts(docs, doc_id, text)
+    n = found.select("h").distinct().count()
+    disclosing_terms(found, term_counts(texts), n, share, smooth).write.parquet(to)
     hits = (
-        mentions.select("doc", "h", "entity", F.explode("terms").alias("t")).select("doc", "h", "entity", "t.term", "t.start", "t.end")
-        .join(told, ["entity", "term"])
+        term_hits(texts, spark.read.parquet(to))
         .groupBy("doc", "h", "start", "end").agg(F.max("told").alias("told"))
         .groupBy("doc", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "told"))).alias("term"))
         .select(F.col("doc").alias("d"), F.col("h").alias("g"), "term")
     )
-    joined = found.drop("mentions").join(hits, F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
-    return joined.select("doc", "h", *KINDS, F.coalesce("term", F.array().cast("array<struct<start:int,end:int,told:double>>")).alias("term"))
+    joined = found.drop("entities", "terms").join(hits, F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    apart = lambda w: ~F.exists(F.concat(*[F.transform(k, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))) for k in KINDS]), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
+    return joined.select("doc", "h", *KINDS, F.coalesce(F.filter("term", apart), F.array().cast("array<struct<start:int,end:int,told:double>>")).alias("term"))
 
 
 def span_text(kinds: tuple[str, ...] = (*KINDS, "term")) -> Column:

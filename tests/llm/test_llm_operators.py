@@ -355,6 +355,15 @@ def test_disclosing_terms(spark):
     assert personal_data.personal_spans(docs.limit(0)).collect() == []
 
 
+def test_disclosing_terms_of_rare_entities(spark):
+    """An address in two texts, and one in a single text: names far from it, short ones, and in a text without it."""
+    far = " common words between" * 10
+    rows = [(0, f"Quillfeather and Bo{far} rare@corp.example"), (1, f"rare@corp.example{far} QUILLFEATHER, Bo"), (2, f"about Quillfeather{far}"), (3, f"Once Zanzibarov{far} once@corp.example"), (4, None)]
+    rows += [(10 + i, f"common words between once and {'' if i % 2 else 'then '}{i}") for i in range(1500)]
+    got = {r.doc: [rows[r.doc][1][s.start : s.end] for s in r.term] for r in personal_data.personal_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc < 10").collect()}
+    assert got == {0: ["Quillfeather", "Bo"], 1: ["QUILLFEATHER", "Bo"], 2: ["Quillfeather"], 3: ["Zanzibarov"], 4: []}
+
+
 # ---- decontamination ----
 
 
