@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import chat_format, decontamination, ngram_join, personal_data, quality, secret_scan, substring_dedup, token_output, transducer, url_filter
+from . import search_queries  # noqa: F401  (registers its queries)
 from .base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
