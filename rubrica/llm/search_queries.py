@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import vector_codes
+from . import ranked_search, vector_codes
 from .base import query, table
 
 VECTORS = """
@@ -41,3 +41,25 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     rows, books = vector_codes.compress(table(spark, folder, "embeddings"))
     return rows.select(F.col("key").alias("vec_id"), "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op12_ranked_search",
+    f"""
+WITH d AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
+s AS (SELECT CAST(sum(len(w)) AS BIGINT) AS l, count(*) FILTER (len(w) > 0) AS n FROM d),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(coalesce({WORDS}, [])) AS term FROM benchmark) GROUP BY ALL),
+m AS (SELECT doc_id, 25 + (75 * CAST(len(w) AS BIGINT) * n) // l AS m FROM d, s),
+scored AS (SELECT item_id, doc_id,
+  CAST(sum(times * CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN t USING (term) JOIN m USING (doc_id), s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
