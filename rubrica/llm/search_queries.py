@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ranked_search, vector_codes
+from . import fingerprints, ranked_search, vector_codes
 from .base import query, table
 
 VECTORS = """
@@ -63,3 +63,8 @@ FROM scored WHERE score > 0 QUALIFY rank <= 10""",
 )
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_fingerprints")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.against_next(table(spark, folder, "documents").select("doc_id", "text")).withColumnRenamed("doc", "doc_id")
