@@ -95,9 +95,14 @@ def codes(texts: pa.Array, hasher: Hasher, samples: int = SAMPLES) -> np.ndarray
     return out
 
 
-def hex_codes(values: np.ndarray) -> pa.Array:
-    text, step = values.astype(">u2").tobytes().hex(), 4 * values.shape[1]
-    return pa.array([text[k : k + step] for k in range(0, len(text), step)], pa.string())
+def as_bytes(values: np.ndarray) -> pa.Array:
+    """Codes in big-endian order, so that their hex digits read as four a sample."""
+    bounds = np.arange(len(values) + 1, dtype=np.int32) * (2 * values.shape[1])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(bounds), pa.py_buffer(values.astype(">u2").tobytes())])
+
+
+def hex_digits(c: str) -> Column:
+    return F.lower(F.hex(c)).alias(c)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -107,9 +112,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(space_words(), lower=True)
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), hex_codes(codes(batch.column(1), hasher, samples))], ["doc", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), as_bytes(codes(batch.column(1), hasher, samples))], ["doc", "fingerprint"])
 
-    return rows.mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, fingerprint string")
+    return rows.mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, fingerprint binary").select("doc", hex_digits("fingerprint"))
 
 
 def likeness(a: Column | str, b: Column | str) -> Column:
@@ -119,7 +124,8 @@ def likeness(a: Column | str, b: Column | str) -> Column:
     return same / (F.length(a) / 4)
 
 
-RESULT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+# Digests and codes are stored as bytes: half the size of their digits.
+RESULT = "n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 NAMES = [c.split()[0] for c in RESULT.split(", ")]
 
 
@@ -133,8 +139,8 @@ def compared(texts: list[str], hasher: Hasher, samples: int) -> list[pa.Array]:
     both = codes(pa.array(texts + edited, pa.large_string()), hasher, samples)
     own, other, after = both[: len(edited)], both[len(texts) :], both[1 : len(texts)]
     return [
-        pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-        hex_codes(own), hex_codes(other), pa.array((own == other).mean(axis=1)), pa.array((own == after).mean(axis=1)),
+        pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).digest() for t in edited], pa.binary()),
+        as_bytes(own), as_bytes(other), pa.array((own == other).mean(axis=1)), pa.array((own == after).mean(axis=1)),
     ]
 
 
@@ -144,7 +150,7 @@ def against_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc"]
     ordered = rows.orderBy(F.asc_nulls_last("doc"), F.xxhash64("text"))
-    shape = pa.schema([(n, pa.float64() if n.startswith("near") else pa.int64() if n == "n_chars" else pa.string()) for n in NAMES])
+    shape = pa.schema([(n, pa.float64() if n.startswith("near") else pa.int64() if n == "n_chars" else pa.binary()) for n in NAMES])
 
     def result(ids: pa.Array, texts: list[str], hasher: Hasher) -> list[pa.Array]:
         return [ids, *compared(texts, hasher, samples)]
@@ -175,9 +181,10 @@ def against_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
     ordered.mapInArrow(stream, f"doc {kind}, {RESULT}, side int, part int, text string").write.parquet(path)
     stored = spark.read.parquet(path)
     inner = stored.where("side = 0").select("doc", *NAMES)
+    shown = ["doc", *[hex_digits(n) if n.endswith(("sha256", "fingerprint")) else n for n in NAMES]]
     parts = [r["part"] for r in stored.where("side = 1").select("part").orderBy("part").collect()]  # one number a partition
     if not parts:
-        return inner
+        return inner.select(*shown)
     after = spark.createDataFrame(list(zip(parts, [*parts[1:], parts[0]], strict=True)), "part int, after int")
     last = stored.where("side = 2").select("doc", "text", "part").join(after, "part")
     first = stored.where("side = 1").select(F.col("part").alias("after"), F.col("text").alias("next"))
@@ -189,4 +196,4 @@ def against_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
                 texts = [batch.column(1)[i].as_py(), batch.column(2)[i].as_py()]
                 yield pa.RecordBatch.from_arrays(result(batch.column(0).slice(i, 1), texts, hasher), ["doc", *NAMES])
 
-    return inner.unionByName(last.join(first, "after").select("doc", "text", "next").mapInArrow(pair, f"doc {kind}, {RESULT}"))
+    return inner.unionByName(last.join(first, "after").select("doc", "text", "next").mapInArrow(pair, f"doc {kind}, {RESULT}")).select(*shown)
