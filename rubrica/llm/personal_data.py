@@ -1,25 +1,27 @@
 """Personal data: base patterns and information-theoretic sanitisation, in DataFrame operations only.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers.  Each is a
-protected entity, named by its kind and text.  The words of a text outside its base spans
-are its terms.  Over the distinct texts of all documents the counts of texts give
+protected entity, named by its kind and text.  Terms are names: words with a capital beside an
+entity that some text of the corpus has with a capital inside a sentence, and none in lower
+case.  Over the distinct texts of all documents
 
-    IC(e) = -log p(e),    PMI(e; t) = log p(e, t) / (p(e) p(t)),
+    p(e | t) = n_et / n_t
 
-where ``smooth`` is added to the counts of e and t in PMI, so that one meeting tells less
-than many.  A term with ``PMI >= share * IC`` tells that much of the entity's information,
-and is a span of kind ``term`` wherever it stands in any document.  Equal texts count once,
-so copies of one document disclose nothing by themselves.  Of an entity in one text among
-many, the words that hardly any other text has are terms: nothing in the counts tells a
-name from another rare word.
+is the chance to be right about an entity after reading a name, and ``-log2 p(e | t)`` the
+information that is left to be told.  A name discloses an entity if the lower confidence
+bound of ``p(e | t)`` (Wilson, ``z``) reaches ``bar``: at most two bits are left.  Nothing in
+this depends on the size of the corpus: names that mostly stand elsewhere fall out, and
+those of an entity in one text are names of that text alone.
+A disclosing name is a span of kind ``term`` wherever it stands.  Equal texts count once, so
+copies of one document disclose nothing by themselves.
 
 The patterns are written without repeated groups: single separators between digits, and
 dots between domain labels, are marked first, after which every pattern is a run of one
 character class.  So the cost is linear and no long run can exhaust a stack.
 
-Text is read three times: for base spans, to count terms, and to find the disclosing ones;
-a bit table of fixed size keeps most other words out of the last join.  Terms are told
-apart by 64-bit hashes.
+Text is read for base spans and to count names, and once more if some disclosing name also
+stands in texts without its entity; a bit table of fixed size keeps other words out of the
+shuffles.  Terms are told apart by 64-bit hashes.
 
 Defined results: a null text is empty and has no spans; rows with one id are judged one
 by one; term spans never overlap base spans; extra columns pass through
@@ -28,18 +30,16 @@ by one; term spans never overlap base spans; extra columns pass through
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .spans import located, replaced
+from .spans import let, located, replaced
 
 KINDS = ("email", "ip", "card", "phone")
-SMOOTH = 1.0
+BAR, Z = 0.25, 1.645
 SLOTS = 1 << 16  # of 64 bits each
-SHARE = 0.8
+RUN = 256
 # Marks: one code point each, so places stay as they are.
 JOINED_DIGITS, JOINED_DOT, TAKEN = "\ue000", "\ue001", "\ue002"
 LOCAL = f"A-Za-z0-9._%+\\-{JOINED_DOT}"
@@ -49,8 +49,10 @@ PATTERNS = {
     "card": f"[0-9][0-9{JOINED_DIGITS}]+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-# Words of four letters or more, and shorter ones that begin with a capital.
-WORD = r"\p{L}{4,}|(?<!\p{L})\p{Lu}\p{L}{1,2}(?!\p{L})"
+WORD = r"\p{L}{2,}"
+CAPITAL = r"(?<!\p{L})\p{Lu}\p{L}+"
+ADDRESS = r"(?<![^\s@])[^\s@]*+@\S*+"
+NAME = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?!\p{L})"
 
 
 def each(kind: str, make) -> Column:
@@ -91,9 +93,32 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def own_words(text: Column) -> Column:
-    """Words of a text as they stand there, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+def capital_words(text: Column) -> Column:
+    """``(start, end, term)`` of the words that begin with a capital; ``term`` is the hash of the word in lower case.
+
+    Places are running sums, taken over runs of ``RUN`` words and then over runs, so the work grows
+    little more than the text.
+    """
+    span = "array<struct<start:int,end:int,term:bigint>>"
+    found = F.regexp_extract_all(text, F.lit(CAPITAL), F.lit(0))
+    sized = lambda words: F.zip_with(
+        F.slice(F.split(text, CAPITAL, -1), 1, F.size(words)), words,
+        lambda g, w: F.struct(F.length(g).alias("gap"), F.length(w).alias("size"), F.xxhash64(F.lower(w)).alias("term")),
+    )
+    add = lambda s, w: F.struct(
+        (s["at"] + w["gap"] + w["size"]).alias("at"),
+        F.concat(s["done"], F.array(F.struct((s["at"] + w["gap"]).alias("start"), (s["at"] + w["gap"] + w["size"]).alias("end"), w["term"].alias("term")))).alias("done"),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("done"))
+    run = lambda words: F.aggregate(words, start, add)
+    runs = lambda words: F.transform(F.sequence(F.lit(1), F.size(words), F.lit(RUN)), lambda i: run(F.slice(words, i, RUN)))
+    moved = lambda s, r: F.struct(
+        (s["at"] + r["at"]).alias("at"),
+        F.concat(s["done"], F.array(F.transform(r["done"], lambda w: F.struct((w["start"] + s["at"]).alias("start"), (w["end"] + s["at"]).alias("end"), w["term"].alias("term"))))).alias("done"),
+    )
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("done"))
+    whole = let(found, lambda words: let(sized(words), lambda sizes: F.flatten(F.aggregate(runs(sizes), first, moved)["done"])))
+    return F.when(text.rlike(CAPITAL), whole).otherwise(F.array().cast(span))
 
 
 def read_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -102,7 +127,7 @@ def read_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, h, email, ip, card, phone, entities, terms)``: spans by kind; entities and terms of documents with spans, else null."""
+    """``(doc, h, email, ip, card, phone, entities, words)``: spans by kind; entities and words with a capital of documents with spans, else null."""
     found = read_texts(docs, doc_id, text).select("doc", "text", "h", *[spans.alias(kind) for kind, spans in base_spans(F.col("text")).items()])
     all_spans = F.concat(*[each(k, lambda s, kind: F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
     entity = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
@@ -113,70 +138,111 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return found.select(
         "doc", "h", *KINDS,
         F.when(some, F.array_distinct(F.transform("__all", entity))).alias("entities"),
-        F.when(some, F.array_distinct(F.transform(own_words(F.col("__left")), F.lower))).alias("terms"),
+        F.when(some, capital_words(F.col("__left"))).alias("words"),
     )
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
-    """``(term, n_t)``: distinct texts that hold a term, by the hash of the term."""
-    hashed = F.array_distinct(F.transform(own_words(F.col("text")), lambda w: F.xxhash64(F.lower(w))))
-    once = texts.select("h", hashed.alias("terms")).groupBy("h").agg(F.first("terms").alias("terms"))
-    return once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-
-
-def disclosing_terms(found: DataFrame, counts: DataFrame, n: int, share: float = SHARE, smooth: float = SMOOTH) -> DataFrame:
-    """``(term, told)`` of the terms that tell at least ``share`` of an entity's information, by the hash of the term."""
-    own = found.where("entities is not null").select("h", "entities", "terms").dropDuplicates(["h"])
-    entities = own.select("h", F.explode("entities").alias("entity"))
-    sizes = entities.groupBy("entity").agg(F.count("*").alias("n_e"))
-    entities = entities.join(sizes, "entity")
-    # n_et <= n_e, so a term that tells enough about an entity is in no more texts than this.
-    most = entities.groupBy("h").agg((F.pow(F.max("n_e") / F.lit(float(n)), F.lit(share)) * n * 1.000001).alias("most"))
-    terms = own.select("h", F.explode("terms").alias("term")).select("h", F.xxhash64("term").alias("term"))
-    terms = terms.join(counts, "term").join(most, "h").where(F.col("n_t") + smooth <= F.col("most")).drop("most")
-    joint = terms.join(entities, "h").groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et"))
-    information = F.lit(math.log(max(n, 1))) - F.log("n_e")
-    pmi = F.log("n_et") + F.lit(math.log(max(n, 1))) - F.log(F.col("n_e") + smooth) - F.log(F.col("n_t") + smooth)
-    # An entity that is in every text has nothing left to tell.
-    told = joint.where(F.col("n_e") < n).withColumn("told", pmi / information).where(F.col("told") >= share)
-    return told.groupBy("term").agg(F.max("told").alias("told"))
-
-
-def term_hits(texts: DataFrame, told: DataFrame) -> DataFrame:
-    """``(doc, h, start, end, told)`` of every place of a disclosing term."""
-    slot = lambda t: F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-    bits = told.groupBy(slot(F.col("term")).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(term & 63 as int))")).alias("bits"))
+def mark_table(terms: DataFrame) -> Column:
+    """A bit table of fixed size over the column ``term``, as a literal; other terms may share its bits."""
+    bits = terms.groupBy(mark_slot(F.col("term")).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(term & 63 as int))")).alias("bits"))
     table = [0] * SLOTS
     for r in bits.collect():  # at most SLOTS rows
         table[r["slot"]] = r["bits"]
-    marks = told.sparkSession.createDataFrame([(table,)], "marks array<bigint>")
-    marked = lambda t: F.getbit(F.get("marks", slot(t)), t.bitwiseAND(F.lit(63)).cast("int")) == 1
-    rows = texts.crossJoin(F.broadcast(marks))
-    rows = rows.withColumn("near", F.filter(own_words(F.col("text")), lambda w: marked(F.xxhash64(F.lower(w))))).drop("marks").where(F.size("near") > 0)
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("near", "|"), F.lit(r")(?!\p{L})"))
-    places = rows.withColumn("pattern", pattern).select("doc", "h", F.explode(located(F.col("text"), F.col("pattern"))).alias("s"))
-    places = places.select("doc", "h", "s.start", "s.end", F.xxhash64(F.lower("s.match")).alias("term"))
-    return places.join(told, "term").drop("term")
-
-
-def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE, smooth: float = SMOOTH) -> DataFrame:
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+
+
+def mark_slot(term: Column) -> Column:
+    return F.shiftrightunsigned(term, 6).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
+
+def marked(table: Column, term: Column) -> Column:
+    return F.getbit(F.get(table, mark_slot(term)), term.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def name_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, n_t)``: distinct texts that hold a name of ``terms``, whatever its case."""
+    table = mark_table(terms)
+    # Addresses hold names in lower case that say nothing about the word.
+    text = F.when(F.contains("text", F.lit("@")), F.regexp_replace("text", ADDRESS, " ")).otherwise(F.col("text"))
+    texts = texts.select("h", text.alias("text"))
+    found = lambda pattern: F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), lambda w: marked(table, F.xxhash64(F.lower(w))))
+    low = lambda w: w == F.lower(w)
+    hashed = lambda c: F.array_distinct(F.transform(c, lambda w: F.xxhash64(F.lower(w))))
+    words = texts.select("h", found(WORD).alias("words"), found(NAME).alias("names")).where(F.size("words") > 0)
+    words = words.select("h", hashed(F.filter("words", low)).alias("low"), hashed(F.filter("words", lambda w: ~low(w))).alias("high"), hashed("names").alias("names"))
+    # What says that a term is a name or none needs no text: partial sums leave a row a task.
+    no_text, no, yes = F.lit(None).cast("bigint").alias("h"), F.lit(False), F.lit(True)
+    rows = words.select(
+        F.explode(
+            F.concat(
+                F.transform("low", lambda t: F.struct(t.alias("term"), no_text, yes.alias("low"), no.alias("named"))),
+                F.transform("names", lambda t: F.struct(t.alias("term"), no_text, no.alias("low"), yes.alias("named"))),
+                F.transform(F.array_except("high", "low"), lambda t: F.struct(t.alias("term"), F.col("h"), no.alias("low"), no.alias("named"))),
+            )
+        ).alias("r")
+    ).select("r.*")
+    seen = rows.groupBy("term", "h").agg(F.max("low").alias("low"), F.max("named").alias("named"))
+    seen = seen.groupBy("term").agg(F.count("h").alias("n_t"), F.max("low").alias("low"), F.max("named").alias("named"))
+    return seen.where(F.col("named") & ~F.col("low")).select("term", "n_t").join(terms, "term", "left_semi")
+
+
+def lower_bound(found: Column, of: Column, z: float) -> Column:
+    """Wilson's lower bound of the share ``found / of``."""
+    p = found / of
+    return (p + z * z / (2 * of) - z * F.sqrt(p * (1 - p) / of + z * z / (4 * of * of))) / (1 + z * z / of)
+
+
+def disclosing_terms(found: DataFrame, counts: DataFrame, bar: float = BAR, z: float = Z) -> DataFrame:
+    """``(term, told, wide)`` of the names that tell an entity, by the hash of the name; ``wide`` ones also stand in texts without it."""
+    own = found.where("entities is not null").select("h", "entities", F.array_distinct("words.term").alias("terms")).dropDuplicates(["h"])
+    entities = own.select("h", F.explode("entities").alias("entity"))
+    # What one meeting in two texts cannot reach takes an entity of two texts at least.
+    reach = lambda k, n: (k / n + z * z / (2 * n) - z * (k / n * (1 - k / n) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+    sizes = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= (1 if reach(1, 2) >= bar else 2))
+    entities = entities.join(sizes, "entity")
+    # The bound lies below the share, so a name is in fewer texts than this.
+    most = entities.groupBy("h").agg((F.max("n_e") / F.lit(bar)).alias("most"))
+    largest = entities.agg(F.max("n_e") / F.lit(bar)).first()[0] or 0.0
+    terms = own.select("h", F.explode("terms").alias("term")).join(counts.where(F.col("n_t") <= max(largest, 1.0)), "term")
+    # The only text of a name holds an entity: nothing is left to count.
+    once = terms.where((F.col("n_t") == 1) & F.lit(reach(1, 1) >= bar)).select("term", F.lit(1.0).alias("told"), F.lit(False).alias("wide"))
+    joint = terms.where("n_t > 1").join(most, "h").where("n_t <= most").join(entities, "h").groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et"))
+    joint = joint.where(lower_bound(F.col("n_et"), F.col("n_t"), z) >= bar)
+    more = joint.select("term", (F.col("n_et") / F.col("n_t")).alias("told"), (F.col("n_et") < F.col("n_t")).alias("wide"))
+    # A name that goes with one entity in all of its texts stands nowhere else.
+    return once.unionByName(more).groupBy("term").agg(F.max("told").alias("told"), F.min("wide").alias("wide"))
+
+
+def term_hits(found: DataFrame, texts: DataFrame, told: DataFrame) -> DataFrame:
+    """``(doc, h, start, end, told)`` of every place of a disclosing name."""
+    rows = found.where("entities is not null").select("doc", "h", "words")
+    wide = told.where("wide").select("term")
+    if not wide.isEmpty():
+        table = mark_table(wide)
+        near = F.exists(F.regexp_extract_all("text", F.lit(CAPITAL), F.lit(0)), lambda w: marked(table, F.xxhash64(F.lower(w))))
+        rows = rows.unionByName(texts.where(near).select("doc", "h", F.filter(capital_words(F.col("text")), lambda w: marked(table, w["term"])).alias("words")))
+    places = rows.select("doc", "h", F.explode("words").alias("w")).select("doc", "h", "w.start", "w.end", "w.term")
+    return places.join(told.select("term", "told"), "term").drop("term")
+
+
+def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bar: float = BAR, z: float = Z) -> DataFrame:
     """``(doc, h, email, ip, card, phone, term)``: spans by kind; ``h`` is the hash of the text.
 
-    Term spans have ``told``, the share of information they tell about the entity that they tell most about.
+    Term spans have ``told``, the share of the name's texts that hold the entity it goes with most.
     """
     spark = docs.sparkSession
     path, to = scratch_path(spark, "personal-data"), scratch_path(spark, "disclosing-terms")
     detect(docs, doc_id, text).write.parquet(path)
     found, texts = spark.read.parquet(path), read_texts(docs, doc_id, text)
-    n = found.select("h").distinct().count()
-    disclosing_terms(found, term_counts(texts), n, share, smooth).write.parquet(to)
+    terms = found.where("entities is not null").select(F.explode("words.term").alias("term")).distinct()
+    disclosing_terms(found, name_counts(texts, terms), bar, z).write.parquet(to)
     hits = (
-        term_hits(texts, spark.read.parquet(to))
+        term_hits(found, texts, spark.read.parquet(to))
         .groupBy("doc", "h", "start", "end").agg(F.max("told").alias("told"))
         .groupBy("doc", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "told"))).alias("term"))
         .select(F.col("doc").alias("d"), F.col("h").alias("g"), "term")
     )
-    joined = found.drop("entities", "terms").join(hits, F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    joined = found.drop("entities", "words").join(hits, F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     apart = lambda w: ~F.exists(F.concat(*[F.transform(k, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))) for k in KINDS]), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
     return joined.select("doc", "h", *KINDS, F.coalesce(F.filter("term", apart), F.array().cast("array<struct<start:int,end:int,told:double>>")).alias("term"))
 

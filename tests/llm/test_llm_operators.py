@@ -364,6 +364,71 @@ def test_disclosing_terms_of_rare_entities(spark):
     assert got == {0: ["Quillfeather", "Bo"], 1: ["QUILLFEATHER", "Bo"], 2: ["Quillfeather"], 3: ["Zanzibarov"], 4: []}
 
 
+def brute_terms(rows, bar=personal_data.BAR, z=personal_data.Z):
+    """Disclosing names by their definition: ``{(row, (start, end))}``."""
+    import regex
+
+    texts = sorted({t or "" for _, t in rows})
+    own = {}
+    for t in texts:
+        blank, found = t, set()
+        for kind, a, b in brute_spans(t):
+            found.add(f"{kind}:{t[a:b].lower()}")
+        for kind in personal_data.KINDS:
+            for k, a, b in brute_spans(t):
+                if k == kind:
+                    blank = blank[:a] + " " * (b - a) + blank[b:]
+        own[t] = (found, blank)
+    plain = {t: re.sub(r"\S*@\S*", " ", t) for t in texts}
+    names = {w.lower() for t in plain.values() for w in regex.findall(r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?!\p{L})", t)}
+    names &= {w.lower() for found, blank in own.values() if found for w in regex.findall(r"(?<!\p{L})\p{Lu}\p{L}+", blank)}
+    words = {t: regex.findall(r"\p{L}{2,}", plain[t]) for t in texts}
+    names -= {w for t in texts for w in words[t] if w == w.lower()}
+    capital = {t: {w.lower() for w in regex.findall(r"(?<!\p{L})\p{Lu}\p{L}+", blank)} for t, (_, blank) in own.items()}
+    told = set()
+    for name in names:
+        having = [t for t in texts if any(w.lower() == name for w in words[t])]
+        n = len(having)
+        for e in {e for t in having for e in own[t][0]}:
+            p = sum(e in own[t][0] and name in capital[t] for t in having) / n
+            if (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n) >= bar:
+                told.add(name)
+    out = set()
+    for i, (_, t) in enumerate(rows):
+        base = brute_spans(t)
+        for m in regex.finditer(r"(?<!\p{L})\p{Lu}\p{L}+", t or ""):
+            if m[0].lower() in told and not any(a < m.end() and m.start() < b for _, a, b in base):
+                out.add((i, m.span()))
+    return out
+
+
+def test_disclosing_names_by_definition(spark):
+    """Names that recur with and without their entities, copies, names also in lower case, and a long text of many names."""
+    rng = np.random.default_rng(4)
+    people = [f"{a}{b}" for a in ("Abel", "Bora", "Cyra", "Dina") for b in ("son", "ville", "mark", "stein")]
+    mails = [f"{p.lower()}@corp.example" for p in people]
+    rows = []
+    for i in range(120):
+        k = int(rng.integers(0, len(people)))
+        said = [f"with {people[k]}"] + [mails[k]] * bool(rng.random() < 0.7) + [f"and {people[int(rng.integers(0, 16))]}, too"] * bool(rng.random() < 0.3)
+        rows.append((i, f"{prose(i, 5, 900)} {' '.join(rng.permutation(said))} {prose(i + 500, 6, 900)} Nr {i % 40}"))
+    rows += [(200 + i, rows[i][1]) for i in range(10)] + [(300, "so abelson was low"), (301, None), (302, ""), (303, "SHOUTED ABELSON AND CYRAMARK")]
+    rows += [(304, " ".join(f"by N{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x," for i in range(1500)) + " long@corp.example"), (305, "Én Ünïçode was Here, 10.1.2.3 and Éluard again.")]
+    docs = spark.createDataFrame([(i, t, 5, "w") for i, t in enumerate(t for _, t in rows)], "doc_id bigint, text string, entities int, words string").repartition(3)
+    found = personal_data.personal_spans(docs).collect()
+    got = {(r.doc, (s.start, s.end)) for r in found for s in r.term}
+    assert got == brute_terms(rows)
+    assert len({i for i, _ in got}) > 60 and sum(i == len(rows) - 2 for i, _ in got) == 1500
+
+
+def test_capital_words(spark):
+    texts = ["", "a", "Ab", "Zé Ab cD aEf 1Gh X " * 400, "É Éa🙂Éb"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", personal_data.capital_words(F.col("text")).alias("w"))
+    for r in df.collect():
+        want = [m.span() for m in re.finditer(r"(?<![^\W\d_])[A-ZÉ][^\W\d_]+", r.text)]
+        assert [(w.start, w.end) for w in r.w] == want
+
+
 # ---- decontamination ----
 
 
