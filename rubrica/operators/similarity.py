@@ -4,32 +4,44 @@ Unit vectors with cosine above t lie closer than r = sqrt(2 - 2t).
 
 * Exact copies collapse to one row first; rows of zero length have no direction
   and stay groups of their own.
-* Every row belongs to one cell, that of its nearest pivot, and there to one block
-  of bounded size.  Rows closer than r/2 to their pivot (the core) are linked to
-  each other through it and never compared.
-* A pair of cells is visited only if pivot distance <= both radii + r, which by the
-  triangle inequality leaves no link out.  Every unordered pair of blocks is one
-  task, so the comparisons never exceed half the square of the rows.
-* A task compares the two blocks and returns links that span its connected parts,
-  never all pairs.
-
-At a low threshold every cell can be near every other, and exactness then costs all
-block pairs.
+* Vectors are rotated so that leading coordinates spread most, and the coordinates dealt
+  to g groups.  Of a pair closer than r some group is closer than r / sqrt(g).  Every group
+  has inverted lists: a row lives in the list that its leading coordinates, and the norm of
+  the group's rest, choose by their side of a median.  It visits a list only if the distances
+  to the medians it would cross (by Cauchy and Schwarz no partner there is nearer) stay
+  within r / sqrt(g), and of two lists only the later one is visited by the other's rows.
+* Data in clumps are better served by lists of another kind: cells of the nearest pivot, and a
+  row visits those whose pivot is no further than the cell's radius and r.
+* Which kind, and how many groups and lists there are, follows from a sample of fixed size, by
+  the number of rows they would shuffle; any choice is exact.
+* Long lists are cut into blocks.  Every pair of blocks is one task, which returns links that
+  span its connected parts, never all pairs.
+* Rows closer than r/2 to a common pivot (a core) are linked through it; large cores are
+  blocks of their own, which are not compared with themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 CELL_ROWS = 4096
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
+TILE = 2048
 MAX_PIVOTS = 1024
+MAX_BITS = 16
+LARGE = 4  # a core of so many blocks is not compared with itself
+SAMPLE = 1024
 SLACK = 1e-9
+# Nearest match: rows of the tree's sample, its leaves and branches, rows of a block, leaves of the second search.
+TREE_SAMPLE, MAX_LEAVES, BRANCHES, MATCH_ROWS, FEW = 1 << 15, 4096, 8, 2048, 4
 
 
 def choose_pivots(units: DataFrame, key: str, vector: str, apart: float, cell_rows: int = CELL_ROWS) -> np.ndarray:
@@ -49,56 +61,143 @@ def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (vectors @ pivots.T), 0.0))
 
 
-def _home(units: DataFrame, key: str, vector: str, pivots: np.ndarray, r: float) -> DataFrame:
-    """Every row with its part (twice its nearest pivot, plus one in the core) and its distance."""
-
-    def home(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            d = distances(np.stack(batch[vector].to_numpy()).astype(float), pivots)
-            cell, near = d.argmin(axis=1), d.min(axis=1)
-            yield pd.DataFrame({key: batch[key], vector: batch[vector], "__part": (2 * cell + (near < r / 2 - 1e-6)).astype("int32"), "__near": near})
-
-    kind = dict(units.dtypes)[key]
-    return units.select(key, vector).mapInPandas(home, f"`{key}` {kind}, `{vector}` array<double>, __part int, __near double")
-
-
-def _open_parts(parts: pd.DataFrame, pivots: np.ndarray, r: float) -> pd.DataFrame:
-    """Pairs of parts that can hold a link, in both directions; at most 4 x MAX_PIVOTS squared."""
-    part, radius = parts["__part"].to_numpy(), parts["radius"].to_numpy()
-    apart = distances(pivots, pivots)[np.ix_(part // 2, part // 2)]
-    open_ = (apart <= radius[:, None] + radius[None, :] + r + SLACK) | (part[:, None] // 2 == part[None, :] // 2)
-    np.fill_diagonal(open_, part % 2 == 0)  # a core is not compared with itself
-    here, there = np.nonzero(open_)
-    return pd.DataFrame({"__part": part[here], "__other": part[there], "__blocks": parts["blocks"].to_numpy()[there]})
+@dataclass
+class Lists:
+    """Inverted lists over rotated coordinates: ``bits`` medians for each of ``groups`` groups."""
+
+    rotation: np.ndarray
+    groups: int
+    bits: int
+    budget: float
+    medians: np.ndarray | None = None
+
+    def features(self, vectors: np.ndarray) -> np.ndarray:
+        """``[groups, rows, bits]``: leading coordinates of each group, and the norm of its other ones."""
+        x = vectors @ self.rotation
+        lead = max(self.bits - 1, 0)
+        return np.stack([np.concatenate([x[:, g :: self.groups][:, :lead], np.linalg.norm(x[:, g :: self.groups][:, lead:], axis=1, keepdims=True)], axis=1)[:, : self.bits] for g in range(self.groups)])
+
+    def reach(self, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """``(group, row, list, home)`` of every list that may hold a partner of a row."""
+        for g, f in enumerate(self.features(vectors)):
+            off = f - self.medians[g]
+            home = (off > 0) @ (1 << np.arange(self.bits, dtype=np.int64))
+            row, found, used = np.arange(len(f)), home.copy(), np.zeros(len(f))
+            for j in range(self.bits):
+                more = used + off[row, j] ** 2
+                flip = more <= self.budget + SLACK
+                row, found, used = np.concatenate([row, row[flip]]), np.concatenate([found, found[flip] ^ (1 << j)]), np.concatenate([used, more[flip]])
+            yield g, row, found, home
+
+
+@dataclass
+class Cells:
+    """Lists by the nearest pivot; ``radius`` is that of all rows of a cell."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    r: float
+    groups: int = 1
+
+    @property
+    def bits(self) -> int:
+        return max(len(self.pivots) - 1, 1).bit_length()
+
+    def reach(self, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        d = distances(vectors, self.pivots)
+        home = d.argmin(axis=1)
+        open_ = d <= self.radius + self.r + SLACK
+        open_[np.arange(len(d)), home] = True
+        row, found = np.nonzero(open_)
+        yield 0, row, found, home
+
+
+def shuffled(lists: Lists | Cells, sample: np.ndarray, rows: int, block_rows: int) -> float:
+    """Copies of a row that the lists would shuffle, by the rows of a sample."""
+    total = 0.0
+    for _, row, found, home in lists.reach(sample):
+        share = np.maximum(np.bincount(home, minlength=2**lists.bits) / len(home), 2.0**-lists.bits if isinstance(lists, Lists) else 0.0)
+        visit = found > home[row]
+        # A row is copied to all blocks of the lists it visits; of its own list half are met from the other side.
+        blocks = np.maximum(1.0, share * rows / block_rows)
+        total += blocks[home].sum() / 2 + len(home) / 2 + (1 + blocks[found[visit]]).sum()
+    return total / len(sample)
+
+
+def plan_lists(sample: np.ndarray, rows: int, r: float, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS, cells: Cells | None = None) -> Lists | Cells:
+    """The lists that shuffle the fewest rows: pivot cells, or a number of groups and bits."""
+    width = sample.shape[1]
+    _, axes = np.linalg.eigh(sample.T @ sample)
+    best, least = cells, np.inf if cells is None else shuffled(cells, sample, rows, block_rows)
+    for groups in (1, 2, 4, 8):
+        if groups > width:
+            break
+        last = np.inf
+        for bits in range(1 if groups > 1 else 0, min(MAX_BITS, width // groups, max(int(np.ceil(np.log2(max(rows / cell_rows, 1)))), 0)) + 1):
+            lists = Lists(axes[:, ::-1], groups, bits, r * r / groups)
+            lists.medians = np.median(lists.features(sample), axis=1)[:, None, :]
+            cost = shuffled(lists, sample[:256], rows, block_rows)
+            if cost < 0.99 * least:
+                best, least = lists, cost
+            if cost > 4 * last:
+                break
+            last = min(last, cost)
+    return best
 
 
 def block_pairs(units: DataFrame, key: str, vector: str, r: float, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """``(tasks, cores)``: rows dealt to unordered block pairs ``(pa, ba, pb, bb)`` with their side, and the links of each core."""
-    spark = units.sparkSession
+    """``(tasks, cores)``: rows dealt to pairs of blocks ``(pa, ba, pb, bb)`` with their side, and the links of each core."""
+    spark, kind = units.sparkSession, dict(units.dtypes)[key]
     pivots = choose_pivots(units, key, vector, r / 2, cell_rows)
-    placed = cut_lineage(_home(units, key, vector, pivots, r))
-    parts = placed.groupBy("__part").agg(
-        F.count("*").alias("n"), F.max("__near").alias("radius"), F.min(key).alias("__first")
-    ).withColumn("blocks", F.ceil(F.col("n") / F.lit(float(block_rows))).cast("int"))
-    known = parts.select("__part", "radius", "blocks").toPandas().sort_values("__part")  # at most 2 x MAX_PIVOTS rows
-    pairs = spark.createDataFrame(_open_parts(known, pivots, r), "__part int, __other int, __blocks int")
-    own = parts.select("__part", F.col("blocks").alias("__own"))
-    dealt = (
-        placed.join(F.broadcast(own), "__part")
-        .withColumn("__block", F.pmod(F.xxhash64(key), F.col("__own").cast("bigint")).cast("int"))
-        .join(pairs, "__part")
-        .withColumn("__there", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    )
-    here, there = F.struct(F.col("__part").alias("p"), F.col("__block").alias("b")), F.struct(F.col("__other").alias("p"), F.col("__there").alias("b"))
-    first = F.least(here, there)
-    tasks = dealt.select(
-        key, vector, first["p"].alias("__pa"), first["b"].alias("__ba"), F.greatest(here, there)["p"].alias("__pb"), F.greatest(here, there)["b"].alias("__bb"),
-        (here == first).alias("__left"), (here == there).alias("__both"),
-    )
-    core = placed.where("__part % 2 = 1").join(F.broadcast(parts.select("__part", "__first")), "__part")
-    return tasks, core.where(F.col(key) != F.col("__first")).select(F.col(key).alias("a"), F.col("__first").alias("b"))
+    sample = np.array([x[0] for x in units.orderBy(F.md5(F.col(key).cast("string"))).limit(SAMPLE).select(vector).collect()], float)
+
+    def place(batches):
+        for batch in batches:
+            if len(batch):
+                d = distances(np.stack(batch[vector].to_numpy()).astype(float), pivots)
+                cell, near = d.argmin(axis=1).astype("int32"), d.min(axis=1)
+                yield batch.assign(__cell=cell, __near=near, __core=np.where(near < r / 2 - 1e-6, cell, -1).astype("int32"))
+
+    placed = stored(units.select(key, vector).mapInPandas(place, f"`{key}` {kind}, `{vector}` array<double>, __cell int, __near double, __core int"), "similarity-rows")
+    radius, rows = np.full(len(pivots), -np.inf), 0
+    for c in placed.groupBy("__cell").agg(F.count("*").alias("n"), F.max("__near").alias("radius")).collect():  # at most MAX_PIVOTS
+        radius[c["__cell"]], rows = c["radius"], rows + c["n"]
+    lists = plan_lists(sample, rows, r, cell_rows, block_rows, Cells(pivots, radius, r))
+    cores = placed.where("__core >= 0").groupBy("__core").agg(F.count("*").alias("n"), F.min(key).alias("__first"))
+    large = np.array([c["__core"] for c in cores.where(F.col("n") > LARGE * block_rows).collect()], int)  # at most MAX_PIVOTS
+
+    def deal(batches):
+        for batch in batches:
+            for start in range(0, len(batch), TILE):
+                part = batch.iloc[start : start + TILE]
+                own = part["__core"].to_numpy()
+                own = np.where(np.isin(own, large), own, -1)
+                for g, row, found, home in lists.reach(np.stack(part[vector].to_numpy()).astype(float)):
+                    use = found >= home[row]
+                    row, found = row[use], found[use]
+                    yield pd.DataFrame(
+                        {key: part[key].to_numpy()[row], vector: part[vector].to_numpy()[row], "__list": (g << lists.bits) + found, "__probe": found != home[row], "__sub": own[row].astype("int32")}
+                    )
+
+    members = stored(placed.mapInPandas(deal, f"`{key}` {kind}, `{vector}` array<double>, __list bigint, __probe boolean, __sub int"), "similarity-lists")
+    group = ["__list", "__probe", "__sub"]
+    sizes = members.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("__n"))
+    named = F.concat_ws(":", F.col("__probe").cast("int"), "__sub", "__block").alias("__u")
+    blocks = sizes.withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).select(*group, named)
+    a, b = (blocks.select(F.col("__list").alias(f"{s}l"), F.col("__probe").alias(f"{s}p"), F.col("__sub").alias(f"{s}s"), F.col("__u").alias(f"{s}u")) for s in "ab")
+    # Visitors are not compared with visitors, nor a large core with itself.
+    met = (F.col("al") == F.col("bl")) & (F.col("au") <= F.col("bu")) & ~(F.col("ap") & F.col("bp")) & ~((F.col("as") == F.col("bs")) & (F.col("as") >= 0))
+    pairs = a.join(b, met).select(F.col("al").alias("__list"), F.col("au").alias("__ba"), F.col("bu").alias("__bb"))
+    dealt = members.join(sizes, group).withColumn("__block", F.pmod(F.xxhash64(key), F.col("__n").cast("bigint")).cast("int")).select(key, vector, "__list", named)
+
+    def side(u: str, left: bool) -> DataFrame:
+        other = pairs if left else pairs.where("__ba <> __bb")
+        return dealt.join(other.withColumn("__u", F.col(u)), ["__list", "__u"]).select(
+            key, vector, F.col("__list").alias("__pa"), "__ba", F.col("__list").alias("__pb"), "__bb", F.lit(left).alias("__left"), (F.col("__ba") == F.col("__bb")).alias("__both")
+        )
+
+    near = placed.where("__core >= 0").join(F.broadcast(cores.select("__core", "__first")), "__core")
+    return side("__ba", True).unionByName(side("__bb", False)), near.where(F.col(key) != F.col("__first")).select(F.col(key).alias("a"), F.col("__first").alias("b"))
 
 
 def spanning(near: np.ndarray) -> np.ndarray:
@@ -127,7 +226,7 @@ def similarity_links(
     units = units.where(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)))
     copies = units.groupBy(vector).agg(F.min(key).alias("__copy"))
     same = units.join(copies, vector).where(F.col(key) != F.col("__copy")).select(F.col(key).alias("a"), F.col("__copy").alias("b"))
-    single = cut_lineage(copies.select(F.col("__copy").alias(key), vector))
+    single = stored(copies.select(F.col("__copy").alias(key), vector), "similarity-units")
     if single.isEmpty():
         return same
     tasks, cores = block_pairs(single, key, vector, r, cell_rows, block_rows)
@@ -136,13 +235,15 @@ def similarity_links(
         both = group["__both"].to_numpy()
         a = group[group["__left"] | both]
         b = group[~group["__left"] | both]
-        keys = np.concatenate([a[key].to_numpy(), b[key].to_numpy()])
-        if len(a) and len(b):
-            label = spanning(np.stack(a[vector].to_numpy()).astype(float) @ np.stack(b[vector].to_numpy()).astype(float).T > threshold)
-        else:
-            label = np.arange(len(keys))
-        tied = keys != keys[label]
-        return pd.DataFrame({"a": keys[tied], "b": keys[label][tied]})
+        found = [pd.DataFrame({"a": group[key][:0], "b": group[key][:0]})]
+        for i in range(0, len(a) if len(b) else 0, TILE):
+            left = np.stack(a[vector].to_numpy()[i : i + TILE]).astype(float)
+            for j in range(0, len(b), TILE):
+                keys = np.concatenate([a[key].to_numpy()[i : i + TILE], b[key].to_numpy()[j : j + TILE]])
+                label = spanning(left @ np.stack(b[vector].to_numpy()[j : j + TILE]).astype(float).T > threshold)
+                tied = keys != keys[label]
+                found.append(pd.DataFrame({"a": keys[tied], "b": keys[label][tied]}))
+        return pd.concat(found, ignore_index=True)
 
     found = tasks.groupBy("__pa", "__ba", "__pb", "__bb").applyInPandas(link, f"a {kind}, b {kind}")
     return same.unionByName(found).unionByName(cores).where("a <> b").distinct()
@@ -203,44 +304,128 @@ def has_partner(groups: DataFrame, key: str, group: str = "group") -> DataFrame:
     return groups.join(sizes, group).select(key, (F.col("n") > 1).alias("has_partner"))
 
 
+@dataclass
+class Tree:
+    """A metric tree: ``children[node]`` (none for a leaf), centres, and, once rows are counted, radii and leaf sizes."""
+
+    centres: np.ndarray
+    children: list[list[int]]
+    radius: np.ndarray | None = None
+    size: np.ndarray | None = None
+
+    def home(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each row and the distance to its centre, going to the nearest child at every level; only nodes with rows count, once they are counted."""
+        node = np.zeros(len(vectors), int)
+        while True:
+            moved = False
+            for n in np.unique(node):
+                below = [c for c in self.children[n] if self.size is None or self.size[c] > 0]
+                if below:
+                    at = np.flatnonzero(node == n)
+                    node[at] = np.array(below)[distances(vectors[at], self.centres[below]).argmin(axis=1)]
+                    moved = True
+            if not moved:
+                return node, np.sqrt(np.maximum(2 - 2 * (vectors * self.centres[node]).sum(axis=1), 0))
+
+    def count(self, rows: dict[int, tuple[int, float]]) -> None:
+        """Sizes and radii from those of the leaves; an inner node reaches as far as its children do."""
+        self.size, self.radius = np.zeros(len(self.children), int), np.zeros(len(self.children))
+        for n in reversed(range(len(self.children))):  # children come after their parents
+            if not self.children[n]:
+                self.size[n], self.radius[n] = rows.get(n, (0, 0.0))
+            else:
+                live = [c for c in self.children[n] if self.size[c]]
+                self.size[n] = sum(self.size[c] for c in live)
+                if live:
+                    self.radius[n] = (distances(self.centres[[n]], self.centres[live])[0] + self.radius[live]).max()
+
+    def open_leaves(self, vectors: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, leaf, distance)``: leaves that may hold something nearer than ``bound`` of the row, and how near at best."""
+        out, level = [], [(0, np.arange(len(vectors)), np.zeros(len(vectors)))]
+        while level:
+            below = []
+            for n, row, least in level:
+                if not self.children[n]:
+                    out.append((row, np.full(len(row), n), least))
+                    continue
+                for c in self.children[n]:
+                    if self.size[c]:
+                        near = np.maximum(least, distances(vectors[row], self.centres[[c]])[:, 0] - self.radius[c])
+                        use = near <= bound[row] + SLACK
+                        if use.any():
+                            below.append((c, row[use], near[use]))
+            level = below
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def build_tree(sample: np.ndarray, leaves: int) -> Tree:
+    """Levels of ``BRANCHES`` children: centres lie far apart among a node's sample rows, which go to the nearest one."""
+    least = max(len(sample) // max(leaves, 1), 1)
+    centres, children, todo = [sample.mean(axis=0) if len(sample) else np.zeros(1)], [[]], [(0, np.arange(len(sample)))]
+    centres[0] = centres[0] / (np.linalg.norm(centres[0]) or 1.0) if np.linalg.norm(centres[0]) > 1e-9 else sample[0]
+    while todo:
+        node, own = todo.pop(0)
+        if len(own) <= least:
+            continue
+        x = sample[own]
+        picked, far = [0], distances(x, x[[0]])[:, 0]
+        while len(picked) < BRANCHES and far.max() > 1e-6:
+            picked.append(int(far.argmax()))
+            far = np.minimum(far, distances(x, x[[picked[-1]]])[:, 0])
+        if len(picked) < 2:
+            continue
+        near = distances(x, x[picked]).argmin(axis=1)
+        for k in range(len(picked)):
+            mine = own[near == k]
+            if not len(mine):
+                continue
+            centre = sample[mine].mean(axis=0)
+            norm = np.linalg.norm(centre)
+            centres.append(centre / norm if norm > 1e-9 else x[picked[k]])
+            children.append([])
+            children[node].append(len(children) - 1)
+            todo.append((len(children) - 1, mine))
+    return Tree(np.stack(centres), children)
+
+
 def nearest_match(
-    left: DataFrame, right: DataFrame, key: str, vector: str, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS
+    left: DataFrame, right: DataFrame, key: str, vector: str, cell_rows: int = CELL_ROWS, block_rows: int = MATCH_ROWS, count_seen: bool = False
 ) -> DataFrame:
     """Exact best cosine of each left unit vector among the right ones.
 
-    Right rows live in the cell of their nearest pivot.  A left row is matched
-    in its nearest cell first; the distance found bounds which other cells can
-    still hold a closer row, and only those are visited.  A row without a direction,
-    or without any row to match, has a NULL match.
+    Right rows live in the leaves of a metric tree of several levels, grown from a sample of
+    fixed size, whose nodes know how far their rows reach.  A left row is matched in its own
+    leaf first, then in the few leaves that may hold something nearest, and at last in all
+    leaves that what it has found leaves open; every search narrows the next.  A row without a
+    direction, or without any row to match, has a NULL match.  With ``count_seen``, ``seen``
+    is the number of right rows that a left row was compared with.
     """
-    kind = dict(left.dtypes)[key]
+    spark, kind = left.sparkSession, dict(left.dtypes)[key]
     directed = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
-    right = cut_lineage(right.select(key, vector).where(directed))
-    everything = cut_lineage(left.select(key, vector))
+    right = stored(right.select(key, vector).where(directed), "match-right")
+    everything = stored(left.select(key, vector), "match-left")
     left = everything.where(directed)
-    pivots = choose_pivots(right, key, vector, 0.0, cell_rows)
-    if not len(pivots):
-        return everything.select(key, F.lit(None).cast(kind).alias("match"), F.lit(None).cast("double").alias("cosine"))
-
-    def nearest(batches):
+    none = [F.lit(None).cast(kind).alias("match"), F.lit(None).cast("double").alias("cosine"), *([F.lit(0).cast("bigint").alias("seen")] if count_seen else [])]
+    sample = right.orderBy(F.md5(F.col(key).cast("string"))).limit(TREE_SAMPLE).select(vector).collect()
+    if not sample:
+        return everything.select(key, *none)
+    tree = build_tree(np.array([x[0] for x in sample], float), int(min(MAX_LEAVES, max(1, -(-right.count() // cell_rows)))))
+    shape = f"`{key}` {kind}, `{vector}` array<double>, cell int, distance double"
+
+    def settle(batches):
         for batch in batches:
             if len(batch):
-                d = distances(np.stack(batch[vector].to_numpy()).astype(float), pivots)
-                yield batch.assign(cell=d.argmin(axis=1).astype("int32"), distance=d.min(axis=1))
+                leaf, near = tree.home(np.stack(batch[vector].to_numpy()).astype(float))
+                yield batch.assign(cell=leaf.astype("int32"), distance=near)
 
-    shape = f"{key} {kind}, {vector} array<double>, cell int, distance double"
-    homes = cut_lineage(right.mapInPandas(nearest, shape))
+    homes = stored(right.mapInPandas(settle, shape), "match-homes")
     cells = homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius"))
-    reach = {r["cell"]: r["radius"] for r in cells.collect()}  # at most MAX_PIVOTS rows
-    radius = np.array([reach.get(i, -np.inf) for i in range(len(pivots))])
-    live = np.isfinite(radius)
-    blocks = F.broadcast(cells.select("cell", F.ceil(F.col("n") / F.lit(float(block_rows))).cast("int").alias("rb")))
+    tree.count({r["cell"]: (r["n"], r["radius"]) for r in cells.collect()})  # at most MAX_LEAVES rows and some
+    sizes = spark.createDataFrame([(n, int(s), int(-(-s // block_rows))) for n, s in enumerate(tree.size) if s and not tree.children[n]], "cell int, n bigint, rb int")
 
     def search(wanted: DataFrame) -> DataFrame:
         loads = wanted.groupBy("cell").agg(F.count("*").alias("m"))
-        split = F.broadcast(
-            blocks.join(loads, "cell").select("cell", "rb", F.ceil(F.col("m") / F.lit(float(block_rows))).cast("int").alias("lb"))
-        )
+        split = F.broadcast(sizes.join(loads, "cell").select("cell", "rb", F.ceil(F.col("m") / F.lit(float(block_rows))).cast("int").alias("lb")))
         slot = lambda n: F.pmod(F.xxhash64(key), F.col(n).cast("bigint")).cast("int")
         l = wanted.join(split, "cell").select(
             key, vector, "cell", slot("lb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("j"), F.lit(True).alias("is_left")
@@ -252,48 +437,45 @@ def nearest_match(
         def match(group: pd.DataFrame) -> pd.DataFrame:
             a, b = group[group["is_left"]], group[~group["is_left"]]
             if not len(a) or not len(b):
-                return pd.DataFrame({key: a[key][:0], "match": a[key][:0], "cosine": np.zeros(0)})
+                return pd.DataFrame({key: a[key][:0], "match": a[key][:0], "cosine": np.zeros(0), "seen": np.zeros(0, int)})
             b = b.sort_values(key)
             cosine = np.stack(a[vector].to_numpy()).astype(float) @ np.stack(b[vector].to_numpy()).astype(float).T
             best = cosine.argmax(axis=1)
-            return pd.DataFrame(
-                {key: a[key].to_numpy(), "match": b[key].to_numpy()[best], "cosine": cosine[np.arange(len(a)), best]}
-            )
+            return pd.DataFrame({key: a[key].to_numpy(), "match": b[key].to_numpy()[best], "cosine": cosine[np.arange(len(a)), best], "seen": len(b)})
 
-        found = l.unionByName(r).groupBy("cell", "i", "j").applyInPandas(match, f"{key} {kind}, match {kind}, cosine double")
-        return found
+        return l.unionByName(r).groupBy("cell", "i", "j").applyInPandas(match, f"`{key}` {kind}, match {kind}, cosine double, seen bigint")
 
     def best(found: DataFrame) -> DataFrame:
-        top = found.groupBy(key).agg(F.min_by(F.struct("match", "cosine"), F.struct(-F.col("cosine"), F.col("match"))).alias("b"))
-        return top.select(key, "b.match", "b.cosine")
-
-    def first_cell(batches):
-        for batch in batches:
-            if len(batch):
-                d = distances(np.stack(batch[vector].to_numpy()).astype(float), pivots)
-                d[:, ~live] = np.inf
-                yield batch.assign(cell=d.argmin(axis=1).astype("int32"), distance=d.min(axis=1))
-
-    homeward = left.mapInPandas(first_cell, shape)
-    first = cut_lineage(best(search(homeward)))
-    undirected = everything.join(left.select(key), key, "left_anti").select(
-        key, F.lit(None).cast(kind).alias("match"), F.lit(None).cast("double").alias("cosine")
-    )
-    if len(pivots) == 1:
-        return first.unionByName(undirected)
-
-    def other_cells(batches):
-        for batch in batches:
-            if len(batch):
-                d = distances(np.stack(batch[vector].to_numpy()).astype(float), pivots)
-                d[:, ~live] = np.inf
-                bound = np.sqrt(np.maximum(2.0 - 2.0 * batch["cosine"].to_numpy(), 0.0))
-                open_ = (d - np.where(live, radius, 0.0)[None, :] <= bound[:, None] + SLACK) & live[None, :]
-                open_[np.arange(len(d)), d.argmin(axis=1)] = False
-                row, cell = np.nonzero(open_)
-                yield pd.DataFrame(
-                    {key: batch[key].to_numpy()[row], vector: batch[vector].to_numpy()[row], "cell": cell.astype("int32"), "distance": d[row, cell]}
-                )
-
-    more = left.join(first.select(key, "cosine"), key).mapInPandas(other_cells, shape)
-    return best(first.unionByName(search(cut_lineage(more)))).unionByName(undirected)
+        top = found.groupBy(key).agg(F.min_by(F.struct("match", "cosine"), F.struct(-F.col("cosine"), F.col("match"))).alias("b"), F.sum("seen").alias("seen"))
+        return top.select(key, "b.match", "b.cosine", "seen")
+
+    done = stored(best(search(left.mapInPandas(settle, shape))), "match-found")
+    for first, last in ((0, FEW), (FEW, None)):
+        # What was open before this search, in order of the least distance, without what was searched.
+        def visit(batches, first=first, last=last):
+            for batch in batches:
+                for start in range(0, len(batch), TILE):
+                    part = batch.iloc[start : start + TILE]
+                    x = np.stack(part[vector].to_numpy()).astype(float)
+                    widest = np.sqrt(np.maximum(2 - 2 * part["first"].to_numpy(), 0))
+                    row, leaf, near = tree.open_leaves(x, widest)
+                    own = tree.home(x)[0]
+                    use = leaf != own[row]
+                    row, leaf, near = row[use], leaf[use], near[use]
+                    order = np.lexsort((leaf, near, row))
+                    row, leaf, near = row[order], leaf[order], near[order]
+                    begin = np.searchsorted(row, np.arange(len(x)))
+                    place = np.arange(len(row)) - begin[row]
+                    bound = np.sqrt(np.maximum(2 - 2 * part["cosine"].to_numpy(), 0))
+                    use = (place >= first) & (place < (len(row) if last is None else last)) & (near <= bound[row] + SLACK)
+                    row = row[use]
+                    yield pd.DataFrame({key: part[key].to_numpy()[row], vector: part[vector].to_numpy()[row], "cell": leaf[use].astype("int32"), "distance": near[use]})
+
+        if first == 0:
+            done = done.withColumn("first", F.col("cosine"))
+        wanted = stored(left.join(done.select(key, "cosine", "first"), key).mapInPandas(visit, shape), "match-wanted")
+        if not wanted.isEmpty():
+            start = done.select(key, "first")
+            done = stored(best(done.drop("first").unionByName(search(wanted))).join(start, key), "match-found")
+    undirected = everything.join(left.select(key), key, "left_anti").select(key, *none)
+    return done.select(*[c for c in (key, "match", "cosine", "seen") if c != "seen" or count_seen]).unionByName(undirected)

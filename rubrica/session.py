@@ -56,3 +56,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back: survives the loss of executors, and columns can still be pruned."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -85,6 +85,66 @@ def test_chain_components(spark):
     assert {got[i] for i in range(41)} == {0} and got[101] == 100 and len(got) == 43
 
 
+@pytest.mark.parametrize("groups, bits", [(1, 4), (2, 3), (4, 2), (8, 1)])
+def test_lists_keep_every_link(spark, monkeypatch, groups, bits):
+    """Any number of groups and medians gives the same links, also where most lists are reached."""
+    x = np.random.default_rng(bits).normal(size=(150, 16)) * np.linspace(2, 0.2, 16)
+    x = np.concatenate([x, x[:40] + 0.15 * np.random.default_rng(1).normal(size=(40, 16))])
+
+    def plan(sample, rows, r, *others):
+        _, axes = np.linalg.eigh(sample.T @ sample)
+        lists = S.Lists(axes[:, ::-1], groups, bits, r * r / groups)
+        lists.medians = np.median(lists.features(sample), axis=1)[:, None, :]
+        return lists
+
+    monkeypatch.setattr(S, "plan_lists", plan)
+    df = frame(spark, x)
+    got = {r["id"]: r["group"] for r in S.similarity_groups(df, "id", "v", df, 16, 0.93, cell_rows=20, block_rows=16).collect()}
+    want = brute_groups(x, x, 0.93)
+    assert [got[i] for i in range(len(x))] == list(want) and len(set(want)) < len(x)
+
+
+def test_rows_go_only_to_lists_in_reach(spark):
+    """Shuffled rows stay below half of those of all pairs of blocks."""
+    x = clumps(np.random.default_rng(3), 60, 100, 16, 0.1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n, block = len(x), 64
+    tasks, _ = S.block_pairs(frame(spark, x), "id", "v", float(np.sqrt(2 - 2 * 0.93)), 64, block)
+    assert tasks.count() < n * n / (2 * block) / 2
+    # At a billion rows without any structure the lists still beat whole blocks.
+    sample = np.random.default_rng(4).normal(size=(1024, 64))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    lists = S.plan_lists(sample, 10**9, float(np.sqrt(2 - 2 * 0.93)))
+    copies = sum(np.count_nonzero(found > home[row]) / len(home) + 1 for _, row, found, home in lists.reach(sample[:256]))
+    assert lists.bits > 4 and copies * max(1.0, 10**9 / 2**lists.bits / S.BLOCK_ROWS) < 10**9 / 2048 / 8
+
+
+def test_open_leaves_hold_the_nearest_row(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    x, q = unit(clumps(rng, 30, 40, 8)), unit(rng.normal(size=(50, 8)))
+    tree = S.build_tree(x[::3], 60)
+    leaf, near = tree.home(x)
+    tree.count({int(n): (int((leaf == n).sum()), float(near[leaf == n].max())) for n in np.unique(leaf)})
+    assert tree.size[0] == len(x) and max(len(c) for c in tree.children) <= S.BRANCHES and any(tree.children[c] for c in tree.children[0])
+    cosine = q @ x.T
+    row, found, least = tree.open_leaves(q, np.sqrt(2 - 2 * cosine.max(axis=1)))
+    for i in range(len(q)):
+        assert leaf[cosine[i].argmax()] in found[row == i]
+    assert len(row) < 0.7 * len(q) * len(np.unique(leaf))
+
+
+def test_nearest_match_reports_what_it_saw(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    right = unit(clumps(rng, 40, 30, 8, 0.05))
+    left = unit(right[::12] + 0.02 * rng.normal(size=(100, 8)))
+    rows = S.nearest_match(frame(spark, left), frame(spark, right), "id", "v", cell_rows=20, block_rows=16, count_seen=True).collect()
+    cosine = left @ right.T
+    assert [r["match"] for r in sorted(rows, key=lambda r: r["id"])] == list(cosine.argmax(axis=1))
+    assert sum(r["seen"] for r in rows) < 0.2 * len(left) * len(right)
+
+
 @pytest.mark.parametrize("cells", [4096, 12])
 def test_nearest_match_is_exact(spark, cells):
     rng = np.random.default_rng(9)
