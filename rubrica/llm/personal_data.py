@@ -38,7 +38,7 @@ from .spans import let, located, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 BAR, Z = 0.25, 1.645
-SLOTS = 1 << 16  # of 64 bits each
+SLOTS = 1 << 14  # of 64 bits each
 RUN = 256
 # Marks: one code point each, so places stay as they are.
 JOINED_DIGITS, JOINED_DOT, TAKEN = "\ue000", "\ue001", "\ue002"
