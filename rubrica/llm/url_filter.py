@@ -61,8 +61,8 @@ def pattern_rule(name: str, verdict: str, pattern: str, *tokens: str) -> Rule:
 GENERAL = (
     pattern_rule("spam-farm", "block", r"^([^/]*\.)?spam-farm\.", "h:spam-farm"),
     pattern_rule("casino", "block", r"^([^/]*\.)?casino\.", "h:casino"),
-    pattern_rule("adserver", "block", r"^([^/]*\.)?(ads|adserver|doubleclick)\."),
-    pattern_rule("login page", "block", r"^[^/]*/([^?]*/)?(login|signin|logout)(\.[a-z]+)?$"),
+    *[pattern_rule("adserver", "block", rf"^([^/]*\.)?{name}\.", f"h:{name}") for name in ("ads", "adserver", "doubleclick")],
+    *[pattern_rule("login page", "block", rf"^[^/]*/([^?]*/)?{name}(\.[a-z]+)?$", f"s:{name}") for name in ("login", "signin", "logout")],
 )
 
 
@@ -76,9 +76,11 @@ def url_parts(url: Column | str) -> tuple[Column, Column]:
 
 
 def url_tokens(host: Column, path: Column) -> Column:
+    """Literal tokens: ``h:`` labels of the host, ``p:`` segments of the path, and ``s:`` the last segment up to its first dot."""
     labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("h:"), x))
     parts = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("p:"), x))
-    return F.array_distinct(F.concat(F.array(F.lit(EVERY)), labels, parts))
+    stem = F.array(F.concat(F.lit("s:"), F.substring_index(F.substring_index(path, "/", -1), ".", 1)))
+    return F.array_distinct(F.concat(F.array(F.lit(EVERY)), labels, parts, stem))
 
 
 def rule_index(pairs: DataFrame, rules: list[Rule]) -> DataFrame:
