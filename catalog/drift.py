@@ -159,13 +159,18 @@ def _(t):
     return D.family_correlations(D.label_correlations(features(t), "label", FEATURES), FAMILY)
 
 
+WIDER = {"net": "price * (1 - discount)", "taxed": "price * (1 + tax)", "each": "price / quantity", "square": "quantity * quantity", "spread": "tax - discount", "marked": "marker * price"}
+WIDER_SQL = ", ".join(f"{e} AS {name}" for name, e in WIDER.items())
+
+
 @query(
     "residual_feature_correlations",
-    f"WITH {LINES} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {sql_pearson(c, '(price - quantity)')} AS residual_correlation FROM f" for c in CORRELATED) + ") ORDER BY abs(residual_correlation) DESC NULLS LAST, feature LIMIT 4",
+    f"WITH {LINES}, g AS (SELECT *, {WIDER_SQL} FROM f) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {sql_pearson(c, '(price - quantity)')} AS residual_correlation FROM g" for c in [*CORRELATED, *WIDER]) + ") ORDER BY abs(residual_correlation) DESC NULLS LAST, feature LIMIT 10",
     "residual_correlation",
 )
 def _(t):
-    return D.residual_feature_correlations(features(t), F.col("price") - F.col("quantity"), CORRELATED, 4)
+    rows = features(t).withColumns({name: F.expr(e) for name, e in WIDER.items()})
+    return D.residual_feature_correlations(rows, F.col("price") - F.col("quantity"), [*CORRELATED, *WIDER], 10)
 
 
 SMALL = ["quantity", "discount"]

@@ -84,11 +84,12 @@ def _(t):
 @query(
     "key_reconcile",
     """SELECT coalesce(o_orderkey, l_orderkey) AS orderkey, CASE WHEN l_orderkey IS NULL THEN 'missing' ELSE 'unexpected' END AS rule
-      FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus <> 'P') o FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON o_orderkey = l_orderkey
+      FROM (SELECT DISTINCT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END AS o_orderkey FROM orders) o FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON o_orderkey = l_orderkey
       WHERE o_orderkey IS NULL OR l_orderkey IS NULL""",
 )
 def _(t):
-    orders = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("orderkey"))
+    moved = F.when(F.col("o_orderstatus") == "P", -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))  # keys without a partner
+    orders = t.orders.select(moved.alias("orderkey"))
     return A.key_reconcile(orders, t.lineitem.select(F.col("l_orderkey").alias("orderkey")), ["orderkey"])
 
 
@@ -154,16 +155,17 @@ def _(t):
     "oof_agreement",
     s("""SELECT count(*) FILTER (WHERE b.key IS NOT NULL AND a.key IS NOT NULL) AS matched, count(*) FILTER (WHERE b.key IS NULL) AS missing, count(*) FILTER (WHERE a.key IS NULL) AS unexpected,
       count(*) FILTER (WHERE abs(a.label - b.label) > 1e-9) AS label_differs, count(*) FILTER (WHERE a.fold <> b.fold) AS fold_differs
-      FROM (SELECT * FROM scored WHERE size <> 7) a FULL JOIN (SELECT key, CASE WHEN size = 3 THEN label + 0.5e0 ELSE label END AS label, CASE WHEN size = 4 THEN (fold + 1) % 5 ELSE fold END AS fold FROM scored WHERE size <> 9) b ON a.key = b.key"""),
+      FROM (SELECT * REPLACE (CASE WHEN size = 7 THEN -key ELSE key END AS key) FROM scored) a FULL JOIN (SELECT CASE WHEN size = 9 THEN -key ELSE key END AS key, CASE WHEN size = 3 THEN label + 0.5e0 ELSE label END AS label, CASE WHEN size = 4 THEN (fold + 1) % 5 ELSE fold END AS fold FROM scored) b ON a.key = b.key"""),
 )
 def _(t):
     rows = scored(t)
-    other = rows.where("size <> 9").select(
-        "key",
+    moved = lambda size: F.when(F.col("size") == size, -F.col("key")).otherwise(F.col("key")).alias("key")
+    other = rows.select(
+        moved(9),
         F.when(F.col("size") == 3, F.col("label") + 0.5).otherwise(F.col("label")).alias("label"),
         F.when(F.col("size") == 4, (F.col("fold") + 1) % 5).otherwise(F.col("fold")).alias("fold"),
     )
-    return A.oof_agreement(rows.where("size <> 7"), other, ["key"])
+    return A.oof_agreement(rows.withColumn("key", moved(7)), other, ["key"])
 
 
 @query(
@@ -214,36 +216,40 @@ def _(t):
 
 @query(
     "oof_coverage",
-    s("SELECT key, CASE WHEN size = 2 THEN 'not_predicted' ELSE 'predicted_twice' END AS rule, CASE WHEN size = 2 THEN 0 ELSE 2 END::BIGINT AS predictions FROM scored WHERE size = 2 OR size = 8"),
+    s("SELECT key, CASE WHEN size = 2 THEN 'not_predicted' ELSE 'predicted_twice' END AS rule, CASE WHEN size = 2 THEN 0 ELSE 2 END::BIGINT AS predictions FROM scored WHERE size = 2 OR size = 8 UNION ALL SELECT -key, 'unexpected', 1 FROM scored WHERE size = 2"),
 )
 def _(t):
     rows = scored(t).select("key", "size")
-    pieces = A.union_frames({"a": rows.where("size <> 2"), "b": rows.where("size = 8")}, "piece")
+    moved = rows.withColumn("key", F.when(F.col("size") == 2, -F.col("key")).otherwise(F.col("key")))
+    pieces = A.union_frames({"a": moved, "b": rows.where("size = 8")}, "piece")
     return Q.oof_coverage(rows, pieces, "key")
 
 
 @query(
     "prediction_schema_check",
-    s("""SELECT rule, n FROM (SELECT 'missing' AS rule, count(*) AS n FROM scored WHERE size = 2 UNION ALL SELECT 'unexpected', count(*) FROM scored WHERE size = 8
+    s("""SELECT rule, n FROM (SELECT 'missing' AS rule, count(*) AS n FROM scored WHERE size IN (2, 8) UNION ALL SELECT 'unexpected', count(*) FROM scored WHERE size IN (2, 8)
       UNION ALL SELECT 'not_finite', 2 * count(*) FROM scored WHERE size = 9 UNION ALL SELECT 'duplicate', count(*) FROM scored WHERE size = 9
       UNION ALL SELECT 'columns', 1 UNION ALL SELECT 'order', count(*) FROM scored WHERE size = 4) WHERE n > 0"""),
 )
 def _(t):
     rows = scored(t).select("key", "size", F.when(F.col("size") == 9, F.lit(float("nan"))).otherwise(F.col("text")).alias("prediction"))
     rows = rows.withColumn("row", F.col("key"))
-    predictions = rows.where("size <> 2").unionByName(rows.where("size = 9"))
+    moved = lambda size: rows.withColumn("key", F.when(F.col("size") == size, -F.col("key")).otherwise(F.col("key")))
+    predictions = moved(2).unionByName(rows.where("size = 9"))
     predictions = predictions.withColumn("row", F.when(F.col("size") == 4, -F.col("row")).otherwise(F.col("row")))
-    return Q.prediction_schema_check(predictions, rows.where("size <> 8"), "key", "prediction", "row")
+    return Q.prediction_schema_check(predictions, moved(8), "key", "prediction", "row")
 
 
 @query(
     "merge_indicator",
     """SELECT coalesce(c_custkey, o_custkey) AS custkey, c_mktsegment, orders, CASE WHEN o_custkey IS NULL THEN 'left_only' WHEN c_custkey IS NULL THEN 'right_only' ELSE 'both' END AS merge
-      FROM (SELECT * FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT o_custkey, count(*) AS orders FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) ON c_custkey = o_custkey""",
+      FROM (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END AS c_custkey, c_mktsegment FROM customer) FULL JOIN (SELECT CASE WHEN o_custkey % 9 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END AS o_custkey, count(*) AS orders FROM orders GROUP BY ALL) ON c_custkey = o_custkey""",
 )
 def _(t):
-    left = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"), "c_mktsegment")
-    right = t.orders.where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("orders"))
+    owing = F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).otherwise(-F.col("c_custkey"))
+    left = t.customer.select(owing.alias("custkey"), "c_mktsegment")
+    moved = F.when(F.col("o_custkey") % 9 == 0, F.col("o_custkey") + 1_000_000_000).otherwise(F.col("o_custkey"))
+    right = t.orders.groupBy(moved.alias("custkey")).agg(F.count("*").alias("orders"))
     return A.merge_indicator(left, right, ["custkey"])
 
 

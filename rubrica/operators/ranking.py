@@ -2,12 +2,16 @@
 
 A window ordered over a column needs the whole partition in one task, and the
 built-in exact percentile keeps every distinct value of a group in one map.
-Neither holds for a column of a 100 TB table.  The functions here first collapse
-equal values to counts.  Groups with at most ``MAX_CELL_VALUES`` distinct values are
-ordered directly; otherwise values go into cells between the minimum and
-maximum, so that only the cells are ordered globally and each cell is ordered by
-itself.  Results are exact whatever the distribution; cells only
-decide how the work is spread.
+Neither holds for a column of a 100 TB table.  Two plans take their place, at every size:
+
+* **Running counts** (ranks, ECDF, KS) are a parallel prefix sum.  Equal values collapse to
+  counts, which are dealt by ranges of (group, value); each range is ordered by itself, and
+  the totals of the ranges before it are added.
+* **Quantiles** are selected between brackets.  A mergeable quantile sketch of each group
+  gives a lower and an upper bound of every wanted value; a second pass counts what lies
+  outside the brackets and keeps single values only inside.  That the brackets hold the
+  wanted ranks is checked, and a group where they do not is bracketed by its extremes, so
+  results are exact whatever the sketch does.
 """
 
 from __future__ import annotations
@@ -17,29 +21,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import stored
 
 ALL = "__all"
-CELLS = 1024
-MAX_CELL_VALUES = 1_000_000
-MAX_LEVELS = 64  # a level cuts the range of a cell by CELLS; doubles span 2**2100
+ACCURACY = 10_000  # of the sketch: ranks are off by at most one row in so many
 BROADCAST_ROWS = 20_000
 
 
 def value_counts(
     df: DataFrame, groups: Sequence[str], value: str, counts: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Distinct values of each group with their (possibly several) counts.
-
-    The counts are read several times afterwards, so they are checkpointed: the
-    scan behind them runs once and a lost executor does not repeat it.
-    """
+    """Distinct values of each group with their (possibly several) counts."""
     counts = counts or {"n": F.lit(1)}
-    return cut_lineage(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, value)
-        .agg(*[F.sum(c.cast("bigint")).alias(name) for name, c in counts.items()])
-    )
+    return df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(*[F.sum(c.cast("bigint")).alias(name) for name, c in counts.items()])
 
 
 def _before(df: DataFrame, groups: Sequence[str], order: str, names: Sequence[str], suffix: str):
@@ -57,87 +51,21 @@ def broadcast_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema, verifySchema=False))
 
 
-def _settled(df: DataFrame, limit: int) -> tuple[DataFrame, int]:
-    """A cell table computed once, with its largest number of values per cell."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        local = df.sparkSession.createDataFrame(rows, df.schema, verifySchema=False)
-        return local, max((r["__values"] for r in rows), default=0)
-    stored = cut_lineage(df)
-    return stored, stored.agg(F.max("__values")).first()[0]
-
-
-def _fits(counted: DataFrame, keys: Sequence[str], max_values: int) -> bool:
-    """Whether every group has few enough distinct values to be ordered in one task."""
-    most = counted.groupBy(*keys).agg(F.count("*").alias("__k")).agg(F.max("__k")).first()[0]
-    return (most or 0) <= max_values
-
-
-def _into_cells(
-    counted: DataFrame, keys: Sequence[str], value: str, names: Sequence[str], cells: int, max_values: int
-) -> tuple[DataFrame, list[str], DataFrame]:
-    """Rows with their cell path, the path, and per cell the counts and what lies before.
-
-    A level splits every cell of the level above evenly between its minimum and
-    maximum.  Levels are added while some cell holds more than ``max_values``
-    distinct values, so heavy tails cost another level, not
-    a large task.
-    """
-    path, work = list(keys), counted
-    offsets: list[DataFrame] = []
-    for level in range(MAX_LEVELS):
-        bounds = work.groupBy(*path).agg(
-            F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi")
-        )
-        # Halved before subtracting: the full range may exceed the largest double.
-        position = (F.col(value).cast("double") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2)
-        cell = f"__c{level}"
-        work = (
-            work.join(broadcast_small(bounds, BROADCAST_ROWS), path)
-            .withColumn(cell, F.when(F.col("__hi") > F.col("__lo"), F.floor(position * cells)).otherwise(F.lit(0)))
-            .drop("__lo", "__hi")
-        )
-        parent, path = list(path), [*path, cell]
-        table, most = _settled(
-            work.groupBy(*path).agg(F.count("*").alias("__values"), *[F.sum(n).alias(n) for n in names]), BROADCAST_ROWS
-        )
-        offsets.append(_before(table, parent, cell, names, "_in_parent"))
-        if most <= max_values:
-            break
-    else:
-        raise ValueError(f"A cell still holds {most} distinct values after {MAX_LEVELS} levels")
-    total = offsets[0].select(*keys, "__c0", *[F.col(n + "_in_parent").alias(n + "_offset") for n in names])
-    for level in range(1, len(offsets)):
-        inner = offsets[level]
-        upper = [*keys, *[f"__c{i}" for i in range(level)]]
-        total = inner.join(total, upper).select(
-            *upper, f"__c{level}", *[(F.col(n + "_in_parent") + F.col(n + "_offset")).alias(n + "_offset") for n in names]
-        )
-    sizes = offsets[-1].select(*path, *[F.col(n).alias(n + "_cell") for n in names])
-    return work, path, total.join(sizes, path)
-
-
-def cumulative(
-    counted: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    names: Sequence[str] = ("n",),
-    cells: int = CELLS,
-    max_values: int = MAX_CELL_VALUES,
-) -> DataFrame:
+def cumulative(counted: DataFrame, groups: Sequence[str], value: str, names: Sequence[str] = ("n",)) -> DataFrame:
     """Add ``<name>_before``: the count of strictly smaller values in the group.
 
-    ``counted`` has one row per (group, value), as ``value_counts`` returns it.
+    ``counted`` has one row per (group, value), as ``value_counts`` returns it.  No task orders
+    more than one range of it.
     """
     groups = list(groups)
-    keys = groups or [ALL]
-    counted = counted if groups else counted.withColumn(ALL, F.lit(0))
-    if _fits(counted, keys, max_values):
-        return _before(counted, keys, value, names, "_before").drop(ALL)
-    work, path, leaf = _into_cells(counted, keys, value, names, cells, max_values)
-    offsets = broadcast_small(leaf.select(*path, *[n + "_offset" for n in names]), BROADCAST_ROWS)
-    inside = _before(work, path, value, names, "_inside")
-    return inside.join(offsets, path).select(
+    # A struct as key keeps groups whose columns are NULL together.
+    key = F.struct(*groups) if groups else F.struct(F.lit(0).alias("all"))
+    # Ranges are drawn by sampling, so they are stored before they are used twice.
+    placed = stored(counted.withColumn("__key", key).repartitionByRange("__key", value).withColumn("__range", F.spark_partition_id()), "value-ranges")
+    totals = placed.groupBy("__key", "__range").agg(*[F.sum(n).alias(n) for n in names])
+    offsets = _before(totals, ["__key"], "__range", names, "_offset").select("__key", "__range", *[n + "_offset" for n in names])
+    inside = _before(placed, ["__key", "__range"], value, names, "_inside")
+    return inside.join(offsets, ["__key", "__range"]).select(
         *groups,
         value,
         *names,
@@ -145,59 +73,57 @@ def cumulative(
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    probabilities: dict[str, float],
-    cells: int = CELLS,
-    max_values: int = MAX_CELL_VALUES,
-) -> DataFrame:
-    """Linearly interpolated quantiles per group, one column per named probability.
-
-    In groups with many distinct values only the cells that hold a wanted rank
-    are ordered.
-    """
+def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
+    """Linearly interpolated quantiles per group, one column per named probability.  NaN is the largest value."""
     # Own names inside: groups and values may have any name.
     outer, groups = list(groups), [f"__g{i}" for i in range(len(groups))]
-    df = df.select(*[F.col(g).alias(own) for g, own in zip(outer, groups, strict=True)], F.col(value).alias("__v"))
-    value = "__v"
-    keys = groups or [ALL]
-    counted = value_counts(df, groups, value)
-    counted = counted if groups else counted.withColumn(ALL, F.lit(0))
+    key = F.struct(*[F.col(g).alias(own) for g, own in zip(outer, groups, strict=True)]) if groups else F.struct(F.lit(0).alias("all"))
+    number = F.col(value).cast("double")
+    base = stored(df.where(F.col(value).isNotNull()).select(key.alias("__k"), F.nanvl(number, F.lit(float("inf"))).alias("__v"), F.isnan(number).alias("__nan")), "quantile-values")
+    wanted = sorted(set(probabilities.values()))
+    slack = 3.0 / accuracy
+    points = [max(p - slack, 0.0) for p in wanted] + [min(p + slack, 1.0) for p in wanted]
+    sketch = base.groupBy("__k").agg(
+        F.count("*").alias("__total"), F.sum(F.col("__nan").cast("bigint")).alias("__nans"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
+        F.percentile_approx("__v", points, accuracy).alias("__q"),
+    )
+    at = lambda i: F.get("__q", F.lit(i))
+    low = [F.when(F.lit(p <= 0), F.col("__min")).otherwise(at(i)) for i, p in enumerate(points[: len(wanted)])]
+    high = [F.when(F.lit(p >= 1), F.col("__max")).otherwise(at(len(wanted) + i)) for i, p in enumerate(points[len(wanted) :])]
+    brackets = stored(sketch.select("__k", "__total", "__nans", "__min", "__max", F.array(*low).alias("__lo"), F.array(*high).alias("__hi")), "quantile-brackets")
     ranks = {name: F.lit(float(p)) * (F.col("__total") - 1) for name, p in probabilities.items()}
 
-    def holds(rank: Column, before: str, size: str) -> Column:
-        return (F.col(before) <= rank) & (rank < F.col(before) + F.col(size))
-
-    if _fits(counted, keys, max_values):
-        # The total shares the ordering window's partitioning: one shuffle in all.
-        ordered = _before(counted, keys, value, ["n"], "_before").withColumn(
-            "__total", F.sum("n").over(Window.partitionBy(*keys))
-        )
-    else:
-        work, path, leaf = _into_cells(counted, keys, value, ["n"], cells, max_values)
-        totals = leaf.groupBy(*keys).agg(F.sum("n_cell").alias("__total"))
-        located = leaf.join(broadcast_small(totals, BROADCAST_ROWS), keys)
-        wanted = F.lit(False)
-        for rank in ranks.values():
-            wanted = wanted | holds(F.floor(rank), "n_offset", "n_cell") | holds(F.ceil(rank), "n_offset", "n_cell")
-        chosen = broadcast_small(located.where(wanted).select(*path, "n_offset", "__total"), BROADCAST_ROWS)
-        ordered = _before(work.join(chosen, path), path, value, ["n"], "_inside").withColumn(
-            "n_before", F.col("n_inside") + F.col("n_offset")
-        )
-    picks, outputs = [], []
-    for name, rank in ranks.items():
-        number = F.col(value).cast("double")
-        picks += [
-            F.max(F.when(holds(F.floor(rank), "n_before", "n"), number)).alias(f"__{name}_lo"),
-            F.max(F.when(holds(F.ceil(rank), "n_before", "n"), number)).alias(f"__{name}_hi"),
-            F.max(rank - F.floor(rank)).alias(f"__{name}_f"),
-        ]
-        low, high, part = (F.col(f"__{name}_{k}") for k in ("lo", "hi", "f"))
-        outputs.append((low * (1 - part) + high * part).alias(name))
-    named = [F.col(own).alias(g) for g, own in zip(outer, groups, strict=True)]
-    return ordered.groupBy(*keys).agg(*picks).select(*named, *outputs)
+    def pick(brackets: DataFrame) -> DataFrame:
+        # What lies outside the brackets counts at the edge below it, behind the rows that are there.
+        rows = base.join(broadcast_small(brackets.select("__k", "__lo", "__hi"), BROADCAST_ROWS), "__k")
+        lo, hi = ([F.get(f"__{side}", F.lit(i)) for i in range(len(wanted))] for side in ("lo", "hi"))
+        inside, below = F.lit(False), [F.lit(float("-inf"))]
+        for first, last in zip(lo, hi, strict=True):
+            inside, below = inside | F.col("__v").between(first, last), [*below, F.when(last < F.col("__v"), last)]
+        marked = rows.select("__k", F.when(inside, F.col("__v")).otherwise(F.greatest(*below)).alias("__v"), inside.cast("int").alias("__in"))
+        counted = value_counts(marked, ["__k"], "__v", {"n": F.lit(1), "own": F.col("__in")})
+        ordered = cumulative(counted, ["__k"], "__v", ("n", "own")).join(brackets.select("__k", "__total", "__nans"), "__k")
+        picks, outputs = [], []
+        for name, rank in ranks.items():
+            for side, place in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+                # The last rows of a group with NaN are NaN; a place among rows at an edge finds nothing.
+                real = F.when(place >= F.col("__total") - F.col("__nans"), float("nan")).otherwise(F.col("__v"))
+                picks.append(F.max(F.when((F.col("n_before") <= place) & (place < F.col("n_before") + F.col("own")), real)).alias(f"__{name}_{side}"))
+            picks.append(F.max(rank - F.floor(rank)).alias(f"__{name}_f"))
+            first, last, part = (F.col(f"__{name}_{k}") for k in ("lo", "hi", "f"))
+            outputs.append((first * (1 - part) + last * part).alias(name))
+        return stored(ordered.groupBy("__k").agg(*picks).select("__k", *outputs), "quantiles")
+
+    found = pick(brackets)
+    lost = F.lit(False)
+    for name in probabilities:
+        lost = lost | F.col(name).isNull()
+    missed = found.where(lost).select("__k")
+    if not missed.isEmpty():
+        ends = lambda side: F.array_repeat(f"__{side}", len(wanted))
+        wide = brackets.join(missed, "__k", "left_semi").withColumns({"__lo": ends("min"), "__hi": ends("max")})
+        found = found.where(~lost).unionByName(pick(wide))
+    return found.select(*[F.col(f"__k.{own}").alias(g) for g, own in zip(outer, groups, strict=True)], *probabilities)
 
 
 def hashed_positions(

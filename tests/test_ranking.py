@@ -21,22 +21,49 @@ def column(spark, values):
         np.array([-1e300, 0.0, 1e-300, 7.0]),
     ],
 )
-@pytest.mark.parametrize("max_values", [20, 1_000_000])
-def test_exact_quantiles_match_numpy(spark, values, max_values):
+@pytest.mark.parametrize("accuracy", [4, 60, 10_000])
+def test_exact_quantiles_match_numpy(spark, values, accuracy):
     probabilities = {"a": 0.0, "b": 0.01, "c": 0.37, "d": 0.5, "e": 0.99, "f": 1.0}
-    got = one(R.exact_quantiles(column(spark, values), [], "v", probabilities, cells=8, max_values=max_values))
+    got = one(R.exact_quantiles(column(spark, values), [], "v", probabilities, accuracy=accuracy))
     for name, p in probabilities.items():
         assert got[name] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
 
 
-def test_cells_and_one_window_count_alike(spark):
+def test_quantiles_when_the_sketch_misleads(spark, monkeypatch):
+    """Brackets that miss the wanted ranks are found out, and the group's extremes take their place."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(R.F, "percentile_approx", lambda c, points, accuracy: F.array(*[F.max(c)] * len(points)))
+    values = np.random.default_rng(3).normal(size=200)
+    got = one(R.exact_quantiles(column(spark, values), [], "v", {"a": 0.1, "b": 0.5, "c": 0.9}))
+    assert [got[k] for k in "abc"] == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.9])))
+
+
+def test_quantiles_by_group(spark):
+    """Groups of very different sizes, a NULL group, NULL values, NaN and infinities."""
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", float(v)) for v in range(101)] + [("b", 5.0), ("b", None), (None, 1.0), (None, 2.0), ("c", None), ("d", nan), ("d", 1.0), ("d", 2.0), ("e", -inf), ("e", 0.0), ("e", inf), ("e", inf), ("e", nan)]
+    got = {r["g"]: r for r in R.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"low": 0.25, "mid": 0.5, "top": 1.0}).collect()}
+    assert set(got) == {"a", "b", None, "d", "e"}
+    assert (got["a"]["low"], got["a"]["mid"], got["a"]["top"]) == (25, 50, 100) and got["b"]["mid"] == 5 and got[None]["mid"] == 1.5
+    assert got["d"]["mid"] == 2 and np.isnan(got["d"]["top"]) and got["e"]["low"] == 0 and np.isnan(got["e"]["top"])
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_running_counts_over_ranges(spark, ranges):
     rng = np.random.default_rng(6)
-    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 600), np.round(np.exp(rng.normal(scale=4, size=600)), 2))]
+    rows = [(int(g) if g else None, float(v)) for g, v in zip(rng.integers(0, 3, 600), np.round(np.exp(rng.normal(scale=4, size=600)), 1))]
     df = spark.createDataFrame(rows, "g int, v double")
-    counted = R.value_counts(df, ["g"], "v")
-    plain = R.cumulative(counted, ["g"], "v").collect()
-    split = R.cumulative(counted, ["g"], "v", cells=6, max_values=10).select("g", "v", "n", "n_before").collect()
-    assert sorted(map(tuple, plain)) == sorted(map(tuple, split))
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = R.cumulative(R.value_counts(df, ["g"], "v"), ["g"], "v").select("g", "v", "n", "n_before").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [(g, v, sum(r == (g, v) for r in rows), sum(r[0] == g and r[1] < v for r in rows)) for g, v in set(rows)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
 def test_positions_are_a_permutation(spark):
