@@ -8,11 +8,14 @@ encoding is the lattice's shortest path in the tropical semiring (min, +), ties
 to the longer last arc.  Decoding is the inverse machine.
 
 Costs are the negated scores of a unigram model, so its encodings are the library's
-own best paths.  A merge model has ranks instead of scores.  Its encodings are the
-library's too: the path through the lattice that applies the merge of the best rank,
-and of equal ones the leftmost, until none is left.  The cost of that path counts
-``log(rank + 2)`` a piece, the code length of a Zipf law; :meth:`Transducer.encode`
-also gives the cheapest path under that law, which is another one.
+own best paths.  A merge model has ranks instead of scores; a piece costs
+``log(rank + 2)``, the code length of a Zipf law.  Its lexicon is composed with a fourth
+machine, a filter over neighbouring pieces: two may follow each other if merging their
+joined text gives them back.  The filter is compiled into what each piece was last merged
+from, and at which rank, and walks both pieces back along their common edge.  The shortest
+path through lattice and filter is the library's encoding, for the filter leaves one path.
+Words of more than ``LONG`` characters are merged in the order of ranks instead, which
+gives that path without a step for each character.
 
 No piece of a usual model reaches over the start of a word, so the lattice falls into
 words and equal words of a slice are composed once; a model with such pieces is
@@ -45,7 +48,8 @@ from .words import Hasher, gather, lists, slices
 
 SLICE = 1 << 20
 WORDS = 10_000  # words composed at a time
-LONG = 64  # symbols of a word that is merged by itself
+SINGLE = 64  # symbols of a word that is merged by itself
+LONG = 1024  # characters of a word that is merged instead of composed
 MARK = 0x2581
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece kinds of the file format
 
@@ -161,6 +165,60 @@ class Transducer:
         self.pair_to = np.array([pairs[k] for k in self.pair.tolist()], np.int64)
         self.pair_rank = np.array([order[pieces[i][1]] for i in self.pair_to.tolist()], np.int64)
         self.pairs = {k: (order[pieces[i][1]], i) for k, i in pairs.items()}
+        if self.special:
+            return
+        # The neighbour filter: what each piece is merged from, when, and whether it is what its own text gives.
+        texts = [pieces[i][0] for i in usable]
+        last = np.full((len(texts), 2), -1, np.int64)
+        ids, bounds, _ = self.merge_paths(texts, last)
+        whole = (np.diff(bounds) == 1) & (ids[np.minimum(bounds[:-1], max(len(ids) - 1, 0))] == np.array(usable))
+        many = len(pieces) + len(symbol) + 1
+        self.formed, self.left, self.right, self.sound = np.full(many, -1, np.int64), np.arange(many), np.arange(many), np.zeros(many, bool)
+        at, merged = np.array(usable), np.array([len(t) > 1 for t in texts])
+        self.sound[at[whole]] = True
+        self.formed[at[merged]] = [order[pieces[i][1]] for i in at[merged].tolist()]
+        self.left[at[merged]], self.right[at[merged]] = last[merged, 0], last[merged, 1]
+        # Pieces that are no later than their parts (runs of one character may share a rank), and what is made of those.
+        self.odd, self.joined, self.text = np.zeros(many, bool), {}, {i: text for text, i in symbol.items()}
+        parts = at[merged & whole]
+        early = self.formed[parts] <= np.maximum(self.formed[self.left[parts]], self.formed[self.right[parts]])
+        self.odd[parts[early]] = True
+        while (grown := self.odd | self.odd[self.left] | self.odd[self.right]).sum() > self.odd.sum():
+            self.odd = grown
+
+    def neighbours(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether merging the joined text of two sound symbols gives both back.
+
+        Walks back in time: at every moment, the symbols at the edge must not have merged with each other
+        before the later of them was formed; of merges of one rank the left one comes first.  Where pieces are no
+        later than their parts, the joined text is merged.
+        """
+        out = np.ones(len(left), bool)
+        odd = (left >= 0) & (right >= 0) & (self.odd[np.maximum(left, 0)] | self.odd[np.maximum(right, 0)])
+        for i in np.flatnonzero(odd).tolist():
+            pair = int(left[i]), int(right[i])
+            if pair not in self.joined:
+                ids, _, _ = self.merge_paths(["".join(self.text[x] for x in pair)])
+                apart = [[x] if x < len(self.piece_cost) else [int(self.byte_id[c]) for c in self.text[x].encode()] for x in pair]
+                self.joined[pair] = ids.tolist() == apart[0] + apart[1]
+            out[i] = self.joined[pair]
+        at = np.flatnonzero((left >= 0) & (right >= 0) & ~odd)
+        a, b = left[at], right[at]
+        limit, from_right = np.full(len(at), np.iinfo(np.int64).max), np.zeros(len(at), bool)
+        while len(at):
+            key = a << 24 | b
+            place = np.minimum(np.searchsorted(self.pair, key), max(len(self.pair) - 1, 0))
+            known = self.pair[place] == key if len(self.pair) else np.zeros(len(key), bool)
+            rank = np.where(known, self.pair_rank[place] if len(self.pair) else 0, np.iinfo(np.int64).max)
+            met = known & ((rank < limit) | ((rank == limit) & from_right))
+            out[at[met]] = False
+            a_at, b_at = self.formed[a], self.formed[b]
+            more = ~met & ((a_at >= 0) | (b_at >= 0))
+            at, a, b, a_at, b_at = at[more], a[more], b[more], a_at[more], b_at[more]
+            from_right = b_at >= a_at
+            limit = np.maximum(a_at, b_at)
+            a, b = np.where(from_right, a, self.right[a]), np.where(from_right, self.left[b], b)
+        return out
 
     def merge_long(self, symbols: list[int]) -> tuple[list[int], list[int]]:
         """Symbols of one word after all merges, and where each begins: a heap of pairs."""
@@ -188,20 +246,20 @@ class Transducer:
         places = [a for a in range(n) if symbols[a] != -2]
         return [symbols[a] for a in places], places
 
-    def merge_paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(ids, bounds, costs)`` of every normalised word, merged in the order of ranks."""
+    def merge_paths(self, words: list[str], last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, bounds, costs)`` of every normalised word, merged in the order of ranks; ``last`` takes the symbols of each word's last merge."""
         if self.special:
             raise ValueError("Only merge models without user-defined and unused pieces are merged")
         point = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         size = np.fromiter(map(len, words), np.int64, len(words))
         begin = np.cumsum(size) - size
         of, where, what = [], [], []
-        for i in np.flatnonzero(size > LONG).tolist():
+        for i in np.flatnonzero(size > SINGLE).tolist():
             symbols, places = self.merge_long(self.char_symbol[point[begin[i] : begin[i] + size[i]]].tolist())
             of.append(np.full(len(symbols), i))
             where.append(begin[i] + np.array(places, np.int64))
             what.append(np.array(symbols, np.int64))
-        short = size <= LONG
+        short = size <= SINGLE
         at = np.flatnonzero(np.repeat(short, size))
         word, sym = np.repeat(np.arange(len(words)), size)[at], self.char_symbol[point[at]]
         while len(sym):
@@ -220,6 +278,8 @@ class Transducer:
             what.append(sym[~open_])
             chosen = np.flatnonzero(open_ & (rank == best))
             chosen = chosen[np.unique(word[chosen], return_index=True)[1]]
+            if last is not None:
+                last[word[chosen], 0], last[word[chosen], 1] = sym[chosen], sym[chosen + 1]
             sym[chosen] = self.pair_to[place[chosen]]
             open_[chosen + 1] = False
             word, at, sym = word[open_], at[open_], sym[open_]
@@ -239,12 +299,8 @@ class Transducer:
         count = np.bincount(of, many, minlength=len(words)).astype(np.int64)
         return ids.astype(np.int32), np.concatenate([[0], np.cumsum(count)]), np.bincount(of, own, minlength=len(words))
 
-    def shortest_paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(ids, bounds, costs)`` of the cheapest path of every normalised word."""
-        point = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.repeat(np.cumsum(size), size)
-        # Arcs: weight[l, t] and what is written on the arc of length l + 1 that ends at t + 1.
+    def lattice(self, point: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(weight, written, width)``: ``weight[l, t]`` and what is written on the arc of length l + 1 that ends behind character t, and bytes of characters."""
         weight = np.full((self.longest, len(point)), np.inf)
         written = np.full((self.longest, len(point)), -1, np.int32)
         width = np.where(point < 0x80, 1, np.where(point < 0x800, 2, np.where(point < 0x10000, 3, 4)))
@@ -269,6 +325,13 @@ class Transducer:
             better = self.cost[own] < weight[length, target]
             weight[length, target[better]] = self.cost[own[better]]
             written[length, target[better]] = self.final[own[better]]
+        return weight, written, width
+
+    def shortest_paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, bounds, costs)`` of the cheapest path of every normalised word."""
+        point = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        weight, written, width = self.lattice(point, np.repeat(np.cumsum(size), size))
         # Relaxation, character by character over all words: node t + 1 + word is the end of character t.
         begin = np.cumsum(size) - size
         node = begin + np.arange(len(words))
@@ -283,7 +346,78 @@ class Transducer:
             choice = np.argmin(total, axis=1)
             best[node[live] + k + 1] = total[np.arange(len(live)), choice]
             back[t] = reach[choice]
-        # Walk the paths back.
+        cost = best[node + size]
+        return self.spell(words, point, size, written, width, back, cost)
+
+    def filtered_paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, bounds, costs)`` of the cheapest path through lattice and neighbour filter of every normalised word.
+
+        States are arcs: ``best[l, t]`` is the cheapest way to the arc of length l + 1 that ends behind character t.
+        """
+        if self.special:
+            raise ValueError("Only merge models without user-defined and unused pieces are merged")
+        long = np.array([len(w) > LONG for w in words], bool)
+        if long.any():
+            short, rest = [w for w, x in zip(words, long, strict=True) if not x], [w for w, x in zip(words, long, strict=True) if x]
+            (ids, bounds, costs), (more, edges, other) = self.filtered_paths(short), self.merge_paths(rest)
+            sizes, begins, cost = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words))
+            sizes[~long], sizes[long], cost[~long], cost[long] = np.diff(bounds), np.diff(edges), costs, other
+            begins[~long], begins[long] = bounds[:-1], edges[:-1] + len(ids)
+            return np.concatenate([ids, more])[expand(begins, sizes)], np.concatenate([[0], np.cumsum(sizes)]), cost
+        point = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        weight, written, width = self.lattice(point, np.repeat(np.cumsum(size), size))
+        symbol = np.where(written >= 0, written, -1).astype(np.int64)
+        if len(point):
+            symbol[0] = np.where(written[0] >= 0, written[0], self.char_symbol[point])
+        weight[(symbol >= 0) & (written >= 0) & ~self.sound[np.maximum(symbol, 0)]] = np.inf
+        begin = np.cumsum(size) - size
+        best, before = np.full(weight.shape, np.inf), np.zeros(weight.shape, np.int8 if self.longest < 128 else np.int64)
+        # How many arcs into each place are open, and the last of them.
+        many, one = np.zeros(len(point), np.int64), np.zeros(len(point), np.int64)
+        order = np.argsort(-size, kind="stable")
+        for k in range(int(size.max(initial=0))):
+            t = begin[order[: np.searchsorted(-size[order], -k)]] + k
+            if k < self.longest:  # arcs from the start of the word
+                best[k, t] = weight[k, t]
+                whole = t[np.isfinite(weight[k, t])]
+                many[whole], one[whole] = many[whole] + 1, k
+            # Arcs from a node inside the word, after each arc that ends there.
+            length, word = np.nonzero(np.isfinite(weight[: min(self.longest, k), t]))
+            if not len(length):
+                continue
+            to = t[word]
+            came = to - length - 1
+            if many[came].max() <= 1:  # what the filter leaves
+                arc = np.flatnonzero(many[came])
+                earlier = one[came[arc]]
+            else:
+                earlier, arc = np.nonzero(np.isfinite(best[:, came]))
+            length, to, came = length[arc], to[arc], came[arc]
+            fits = self.neighbours(symbol[earlier, came], symbol[length, to])
+            earlier, length, to, came = earlier[fits], length[fits], to[fits], came[fits]
+            total = best[earlier, came] + weight[length, to]
+            first = np.lexsort((-earlier, total, length, to))
+            keep = first[np.concatenate([[True], (to[first][1:] != to[first][:-1]) | (length[first][1:] != length[first][:-1])])] if len(first) else first
+            best[length[keep], to[keep]], before[length[keep], to[keep]] = total[keep], earlier[keep]
+            np.add.at(many, to[keep], 1)
+            one[to[keep]] = length[keep]
+        # The last arc of each word, and from there the arcs before it.
+        back, cost = np.zeros(len(point), np.int64), np.zeros(len(words))
+        word = np.flatnonzero(size > 0)
+        place = (begin + size - 1)[word]
+        arc = best[:, place].argmin(axis=0) if len(word) else np.zeros(0, np.int64)
+        cost[word] = best[arc, place]
+        while len(word):
+            back[place] = arc
+            place, arc = place - arc - 1, before[arc, place]
+            more = place >= begin[word]
+            word, place, arc = word[more], place[more], arc[more]
+        return self.spell(words, point, size, written, width, back, cost)
+
+    def spell(self, words, point, size, written, width, back, cost) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Walk paths back from the ends of all words; ``back[t]`` is the length, less one, of the arc that ends behind character t."""
+        begin = np.cumsum(size) - size
         word, place = np.flatnonzero(size > 0), (begin + size - 1)[size > 0]
         of, where, what = [], [], []
         while len(word):
@@ -294,7 +428,7 @@ class Transducer:
             more = place >= begin[word]
             word, place = word[more], place[more]
         if not of:
-            return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64), best[node + size]
+            return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64), cost
         of, where, what = np.concatenate(of), np.concatenate(where), np.concatenate(what)
         order = np.lexsort((where, of))
         of, where, what = of[order], where[order], what[order]
@@ -306,11 +440,16 @@ class Transducer:
             data = np.frombuffer("".join(map(chr, point[where[spell]].tolist())).encode("utf-8", "surrogatepass"), np.uint8)
             ids[ids < 0] = self.byte_id[data]
         count = np.bincount(of, many, minlength=len(words)).astype(np.int64)
-        return ids.astype(np.int32), np.concatenate([[0], np.cumsum(count)]), best[node + size]
+        return ids.astype(np.int32), np.concatenate([[0], np.cumsum(count)]), cost
+
+    def encode(self, texts: pa.Array, by_merges: bool = False, filtered: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, bounds, costs)`` of all texts.
 
-    def encode(self, texts: pa.Array, by_merges: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(ids, bounds, costs)`` of all texts; ``by_merges`` follows the ranks of a merge model instead of the cheapest path."""
-        paths, memory = (self.merge_paths, self.merged) if by_merges else (self.shortest_paths, self.memory)
+        For merge models, ``filtered`` composes with the neighbour filter, and ``by_merges`` follows the ranks
+        instead of a path, to the same end.
+        """
+        paths, memory = (self.merge_paths, None) if by_merges else (self.filtered_paths, self.merged) if filtered else (self.shortest_paths, self.memory)
+        memory = PieceMemory() if memory is None else memory
         raw, docs = text_bytes(texts)
         if self.prefix:  # the blank in front of every text that is not empty
             full = np.flatnonzero(docs[1:] > docs[:-1])
@@ -366,7 +505,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", to: str = "ids"
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = process_store(f"transducer {zlib.crc32(model)}", lambda: Transducer(model))
         for batch in slices(batches, text, SLICE):
-            ids, bounds, costs = machine.encode(batch.column(batch.schema.get_field_index(text)), by_merges=machine.merges)
+            ids, bounds, costs = machine.encode(batch.column(batch.schema.get_field_index(text)), filtered=machine.merges)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists(ids, bounds, pa.int32()), pa.array(costs)], names=[*batch.schema.names, to, cost])
 
     return rows.mapInArrow(read, _with(rows, (to, T.ArrayType(T.IntegerType())), (cost, T.DoubleType())))

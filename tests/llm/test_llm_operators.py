@@ -200,6 +200,41 @@ def test_merge_model_ids_are_the_librarys(spark, awkward):
     assert all(r.ids == library.encode(r.text or "") for r in transducer.encode(awkward.select("text"), MODEL).collect())
 
 
+def test_filtered_shortest_paths_are_the_librarys():
+    """On all distinct words of a test table: shortest path behind the neighbour filter, merges by rank, and the library."""
+    import os
+
+    import duckdb
+    import sentencepiece
+
+    machine = transducer.Transducer(open(MODEL, "rb").read())
+    folder = next((f for f in ("/root/testdata/sf0.1", "/root/testdata/sf0.01") if os.path.exists(f"{f}/documents.parquet")), None)
+    words = [r[0] for r in duckdb.sql(f"SELECT DISTINCT unnest(string_split(text, ' ')) FROM '{folder}/documents.parquet'").fetchall()] if folder else []
+    words = [w for w in words if w] + ["", "a" * 1500, "ünï" * 400, "🙂x🙂", "\u2581\u2581\u2581a", " " * 40, "x  y" + " " * 17 + "z", "\t\n  \t"]
+    marked = [("\u2581" + w).replace(" ", "\u2581") for w in words]
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for at in range(0, len(words), 10_000):
+        ids, bounds, cost = machine.filtered_paths(marked[at : at + 10_000])
+        merged = machine.merge_paths(marked[at : at + 10_000])
+        assert (ids == merged[0]).all() and (bounds == merged[1]).all() and np.allclose(cost, merged[2])
+        if at == 0 or at + 10_000 >= len(words):
+            got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            want = [library.encode(w) if w else machine.merge_paths(["\u2581"])[0].tolist() for w in words[at : at + 10_000]]
+            assert got == want
+
+
+def test_neighbour_filter():
+    """A pair of pieces passes if merging its joined text gives it back."""
+    machine = transducer.Transducer(open(MODEL, "rb").read())
+    rng = np.random.default_rng(3)
+    pieces = np.flatnonzero(machine.sound)
+    near = np.array([i for i in pieces if len(machine.text[int(i)]) < 4])
+    left, right = np.concatenate([rng.choice(pieces, 4000), rng.choice(near, 6000)]), np.concatenate([rng.choice(pieces, 4000), rng.choice(near, 6000)])
+    ids, bounds, _ = machine.merge_paths([machine.text[int(a)] + machine.text[int(b)] for a, b in zip(left, right, strict=True)])
+    want = np.array([ids[s:e].tolist() == [a, b] for a, b, s, e in zip(left, right, bounds[:-1], bounds[1:], strict=True)])
+    assert (machine.neighbours(left, right) == want).all() and 100 < want.sum() < len(want) - 100
+
+
 def test_transducer_round_trip(awkward, empty):
     out = transducer.decode(transducer.encode(awkward, MODEL), MODEL)
     assert out.where(F.col("decoded") != F.coalesce("text", F.lit(""))).count() == 0
