@@ -112,7 +112,22 @@ def _(t):
     return L.ridge_oof(lines(t), ["quantity", "discount"], "label", "fold", 500.0).select("l_orderkey", "l_partkey", "l_linenumber", "fold", "prediction")
 
 
-@query("ridge_oof_vectors")
+#: Gauss-Jordan elimination on the penalised normal equations of each held-out fold, one column a step.
+VECTOR_RIDGE = f"""RECURSIVE e AS MATERIALIZED (SELECT vec_id, CAST(label AS DOUBLE) AS y, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x, {sql_fold('vec_id')} AS fold FROM embeddings),
+  k AS (SELECT DISTINCT fold AS k FROM e), tall AS (SELECT vec_id, y, fold, unnest(x) AS v, unnest(range(1, 65)) AS i FROM e),
+  st AS (SELECT k, i, avg(v) AS m, stddev_pop(v) AS sd, avg(y) AS my FROM tall JOIN k ON fold <> k GROUP BY k, i),
+  lists AS (SELECT k, list(m ORDER BY i) AS ms, list(sd ORDER BY i) AS sds, any_value(my) AS my FROM st GROUP BY k),
+  z AS MATERIALIZED (SELECT k, vec_id, y - my AS y, list_transform(range(1, 65), lambda i: (x[i] - ms[i]) / sds[i]) AS z FROM e JOIN k ON fold <> k JOIN lists USING (k)),
+  rows AS (SELECT k, i, list_transform(range(1, 66), lambda j: CASE WHEN j = 65 THEN sum_y ELSE sums[j] + CASE WHEN j = i THEN 100e0 ELSE 0e0 END END) AS r
+    FROM (SELECT k, i, list(s ORDER BY j) AS sums, any_value(sy) AS sum_y FROM (SELECT k, i, j, sum(z[i] * z[j]) AS s, sum(z[i] * y) AS sy FROM z, (SELECT unnest(range(1, 65)) AS i) a, (SELECT unnest(range(1, 65)) AS j) b GROUP BY k, i, j) GROUP BY k, i)),
+  g(k, step, a) AS (SELECT k, 0, list(r ORDER BY i) FROM rows GROUP BY k UNION ALL
+    SELECT k, step + 1, list_transform(range(1, 65), lambda i: CASE WHEN i = step + 1 THEN list_transform(a[i], lambda v: v / a[i][step + 1])
+      ELSE list_transform(list_zip(a[i], a[step + 1]), lambda u: u[1] - u[2] * a[i][step + 1] / a[step + 1][step + 1]) END) FROM g WHERE step < 64),
+  w AS (SELECT k, list_transform(a, lambda r: r[65]) AS beta FROM g WHERE step = 64)
+  SELECT vec_id, fold, y AS label, my + list_sum(list_transform(range(1, 65), lambda i: (x[i] - ms[i]) / sds[i] * beta[i])) AS prediction FROM e JOIN w ON fold = w.k JOIN lists ON fold = lists.k"""
+
+
+@query("ridge_oof_vectors", f"WITH {VECTOR_RIDGE}", "prediction")
 def _(t):
     rows = t.embeddings.select("vec_id", F.col("label").cast("double").alias("label"), "embedding", fold_of("vec_id").alias("fold"))
     return L.ridge_oof(rows, "embedding", "label", "fold", 100.0, dimension=64).select("vec_id", "fold", "label", "prediction")

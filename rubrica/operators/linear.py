@@ -8,17 +8,18 @@ driver; p is the number of features, never the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
 
-NATIVE_LIMIT = 12
+TILE = 128  # features on a side of a block
+FAN = 64  # partial blocks that one group of a round merges
 
 
 @dataclass
@@ -71,10 +72,11 @@ def collect_moments(
 ) -> Moments:
     """Gather moments per cell.  ``features`` is a list of columns or an array column.
 
-    Few features: plain sums of products, all in generated code.  Many: each
-    task adds up its rows' cross-products batch by batch, and the small
-    matrices are added by position.  A row with a NULL feature, label or weight
-    is no observation: it counts in ``skipped`` and in nothing else.
+    One scan at any width: tasks keep count, mean and centred cross-products of each cell,
+    batch by batch, and pass them on in packed triangles of square blocks, which are merged
+    in rounds of ``FAN`` (by Chan's rule, so nothing needs to be centred before).  The driver
+    receives one set of blocks a cell, for its solves.  A row with a NULL feature, label or
+    weight is no observation: it counts in ``skipped`` and in nothing else.
     """
     p = dimension if isinstance(features, str) else len(features)
     y = F.col(label) if isinstance(label, str) else label
@@ -85,77 +87,136 @@ def collect_moments(
     width = p + 1
     whole = F.forall("z", lambda v: v.isNotNull()) & (F.size("z") == width) & F.col("w").isNotNull()
     rows = rows.withColumn("__whole", F.coalesce(whole, F.lit(False)))
-    used = F.when(F.col("__whole"), F.col("w"))
-    means = rows.agg(
-        F.count(F.when(~F.col("__whole"), 1)).alias("skipped"),
-        F.sum(used).alias("n"),
-        *[F.sum(used * F.get("z", F.lit(i))).alias(f"m{i}") for i in range(width)],
-    ).first()
-    rows = rows.where("__whole").drop("__whole")
-    if not means["n"]:
-        raise ValueError("No rows to fit on")
-    centre = np.array([means[f"m{i}"] / means["n"] for i in range(width)])
-    moments = _native_moments(rows, cells, centre) if p <= NATIVE_LIMIT else _batched_moments(rows, cells, centre)
-    moments.skipped = means["skipped"]
-    return moments
-
-
-def _native_moments(rows: DataFrame, cells: Sequence[str], centre: np.ndarray) -> Moments:
-    width = len(centre)
-    c = [F.get("z", F.lit(i)) - float(centre[i]) for i in range(width)]
-    flat = rows.select(*cells, "w", *[e.alias(f"c{i}") for i, e in enumerate(c)])
-    upper = [(i, j) for i in range(width) for j in range(i, width)]
-    got = flat.groupBy(*cells).agg(
-        F.sum("w").alias("n"),
-        *[F.sum(F.col("w") * F.col(f"c{i}")).alias(f"s{i}") for i in range(width)],
-        *[F.sum(F.col("w") * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"g{i}_{j}") for i, j in upper],
-    ).collect()
-    n = np.array([r["n"] for r in got], dtype=float)
-    s = np.array([[r[f"s{i}"] for i in range(width)] for r in got], dtype=float)
-    g = np.zeros((len(got), width, width))
-    for k, r in enumerate(got):
-        for i, j in upper:
-            g[k, i, j] = g[k, j, i] = r[f"g{i}_{j}"]
-    return Moments([tuple(r[c] for c in cells) for r in got], n, s, g, centre)
-
-
-def _batched_moments(rows: DataFrame, cells: Sequence[str], centre: np.ndarray) -> Moments:
-    width = len(centre)
-    side = width + 1
-
-    def partials(batches):
-        sums: dict[tuple, np.ndarray] = {}
+    named = [f"__c{i}" for i in range(len(cells))]
+    rows = rows.select(*[F.col(c).alias(n) for c, n in zip(cells, named, strict=True)], F.when(F.col("__whole"), F.col("z")).alias("z"), "w")
+    kinds = dict(rows.dtypes)
+    shape = "".join(f"{n} {kinds[n]}, " for n in named) + "__tile int, __part bigint, n double, a array<double>, b array<double>, m array<double>"
+    blocks, parts = rows.mapInArrow(_partials(named, width), shape), rows.rdd.getNumPartitions()
+    while True:
+        parts = -(-parts // FAN)
+        blocks = blocks.withColumn("__part", F.floor(F.col("__part") / FAN)).groupBy(*named, "__tile", "__part").applyInArrow(_merge(len(named)), shape)
+        if parts <= 1:
+            break
+    return _assemble(blocks.toArrow(), len(named), width)
+
+
+def tiles(width: int) -> list[tuple[slice, slice]]:
+    """Blocks of the upper triangle."""
+    cuts = [slice(i, min(i + TILE, width)) for i in range(0, width, TILE)]
+    return [(a, b) for k, a in enumerate(cuts) for b in cuts[k:]]
+
+
+def _packed(block: np.ndarray, diagonal: bool) -> np.ndarray:
+    return block[np.triu_indices(len(block))] if diagonal else block.ravel()
+
+
+def _partials(cells: Sequence[str], width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held: dict[int, list] = {}
+        known: dict[tuple, int] = {}
+        first, skipped, empty = [], 0, None
         for batch in batches:
-            if not len(batch):
+            empty = batch.slice(0, 0)
+            whole = batch.column(len(cells)).is_valid()
+            skipped += batch.num_rows - (whole.true_count or 0)
+            batch = batch.filter(whole)
+            if not batch.num_rows:
                 continue
-            z = np.stack(batch["z"].to_numpy()).astype(float) - centre
-            z = np.hstack([np.ones((len(z), 1)), z])
-            weights = batch["w"].to_numpy()
-            for cell, index in batch.groupby(list(cells), sort=False).indices.items():
-                cell = cell if isinstance(cell, tuple) else (cell,)
-                part = z[index]
-                block = (part * weights[index][:, None]).T @ part
-                sums[cell] = sums.get(cell, 0) + block
-        for cell, block in sums.items():
-            yield pd.DataFrame({**{c: [v] for c, v in zip(cells, cell)}, "v": [block.ravel()]})
-
-    kinds = dict(rows.dtypes)
-    head = ", ".join(f"{c} {kinds[c]}" for c in cells)
-    found = (
-        rows.mapInPandas(partials, f"{head}, v array<double>")
-        .select(*cells, F.posexplode("v").alias("pos", "v"))
-        .groupBy(*cells, "pos")
-        .agg(F.sum("v").alias("v"))
-        .toPandas()
-    )
-    ids, n, s, g = [], [], [], []
-    for cell, part in found.groupby(list(cells)):
-        block = part.sort_values("pos")["v"].to_numpy().reshape(side, side)
-        ids.append(cell if isinstance(cell, tuple) else (cell,))
-        n.append(block[0, 0])
-        s.append(block[0, 1:])
-        g.append(block[1:, 1:])
-    return Moments(ids, np.array(n), np.array(s), np.array(g), centre)
+            z = batch.column(len(cells)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            w = batch.column(len(cells) + 1).to_numpy(zero_copy_only=False)
+            code = np.zeros(batch.num_rows, np.int64)
+            for i in range(len(cells)):
+                own = batch.column(i).dictionary_encode(null_encoding="encode")
+                _, code = np.unique(code * (len(own.dictionary) + 1) + own.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+            order = np.argsort(code, kind="stable")
+            bounds = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) > 0, [True]]))
+            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                index = order[start:end]
+                name = tuple(batch.column(i)[int(index[0])].as_py() for i in range(len(cells)))
+                if name not in known:
+                    known[name] = len(first)
+                    first.append(batch.slice(int(index[0]), 1))
+                part, weight = z[index], w[index]
+                n = weight.sum()
+                mean = weight @ part / n if n else np.zeros(width)
+                part = part - mean
+                new = [n, mean, (part * weight[:, None]).T @ part]
+                held[known[name]] = _chan(held[known[name]], new) if known[name] in held else new
+        number = TaskContext.get().partitionId()
+        names = [*cells, "__tile", "__part", "n", "a", "b", "m"]
+        lists = lambda v: pa.array([v], pa.list_(pa.float64()))
+
+        def row(keys: list[pa.Array], tile: int, n: float, a, b, m) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*keys, pa.array([tile], pa.int32()), pa.array([number], pa.int64()), pa.array([float(n)]), lists(a), lists(b), lists(m)], names)
+
+        if empty is not None and skipped:
+            yield row([pa.nulls(1, empty.column(i).type) for i in range(len(cells))], -1, skipped, [], [], [])
+        for k, (n, mean, product) in held.items():
+            keys = [first[k].column(i) for i in range(len(cells))]
+            for tile, (i, j) in enumerate(tiles(width)):
+                yield row(keys, tile, n, mean[i], mean[j], _packed(product[i, j], i == j))
+
+    return run
+
+
+def _chan(x: list, y: list) -> list:
+    n = x[0] + y[0]
+    if not n:
+        return x
+    apart = y[1] - x[1]
+    return [n, x[1] + apart * (y[0] / n), x[2] + y[2] + np.outer(apart, apart) * (x[0] * y[0] / n)]
+
+
+def _merge(keys: int):
+    def run(group: pa.Table) -> pa.Table:
+        n = group.column("n").to_numpy()
+        stacked = lambda c: group.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
+        a, b, m = stacked("a"), stacked("b"), stacked("m")
+        total = n.sum()
+        mean_a, mean_b = (n @ x / total if total else x[0] for x in (a, b))
+        da, db = a - mean_a, b - mean_b
+        between = (da * n[:, None]).T @ db
+        # Diagonal blocks hold their upper triangle only.
+        m = m.sum(axis=0) + (_packed(between, True) if between.size != m.shape[1] else between.ravel())
+        one = group.slice(0, 1)
+        lists = lambda v: pa.array([v], pa.list_(pa.float64()))
+        return pa.table([*one.columns[: keys + 2], pa.array([total]), lists(mean_a), lists(mean_b), lists(m)], names=group.column_names)
+
+    return run
+
+
+def _assemble(found: pa.Table, keys: int, width: int) -> Moments:
+    cells: dict[tuple, int] = {}
+    n, mean, g, skipped = [], [], [], 0
+    blocks = tiles(width)
+    for r in found.to_pylist():
+        name, (tile, _, count, a, b, m) = tuple(r.values())[:keys], tuple(r.values())[keys:]
+        if tile < 0:
+            skipped += int(count)
+            continue
+        if name not in cells:
+            cells[name] = len(n)
+            n.append(count)
+            mean.append(np.zeros(width))
+            g.append(np.zeros((width, width)))
+        k, (i, j) = cells[name], blocks[tile]
+        if i == j:
+            mean[k][i] = a
+            square = np.zeros((len(a), len(a)))
+            square[np.triu_indices(len(a))] = m
+            g[k][i, j] = square + np.triu(square, 1).T
+        else:
+            g[k][i, j] = np.array(m).reshape(len(a), len(b))
+            g[k][j, i] = g[k][i, j].T
+    n = np.array(n, float)
+    if not n.sum():
+        raise ValueError("No rows to fit on")
+    mean = np.array(mean)
+    centre = n @ mean / n.sum()
+    off = mean - centre
+    return Moments(list(cells), n, n[:, None] * off, np.array(g) + n[:, None, None] * off[:, :, None] * off[:, None, :], centre, skipped)
 
 
 def solve(
@@ -181,7 +242,8 @@ def solve(
     a[constant, :] = a[:, constant] = b[constant] = 0.0
     rank = int(np.linalg.matrix_rank(a)) if p else 0
     if alpha > 0:
-        beta = np.linalg.solve(a + alpha * np.eye(p), b)
+        lower = np.linalg.cholesky(a + alpha * np.eye(p))
+        beta = np.linalg.solve(lower.T, np.linalg.solve(lower, b))
     else:
         beta = np.linalg.lstsq(a, b, rcond=None)[0]
     coef = beta / divide

@@ -49,13 +49,23 @@ def test_ridge_oof_many_features_with_a_constant(spark, data):
     assert np.allclose(got, oof(x, y, folds, 3.0), atol=1e-9)
 
 
-def test_native_and_batched_moments_agree(spark, data):
+@pytest.mark.parametrize("tile, fan, parts", [(128, 64, 3), (4, 2, 9)])
+def test_moments_of_blocks_and_rounds(spark, data, monkeypatch, tile, fan, parts):
+    """Far from zero, in many small partitions, with weights, a NULL cell and rows that are no observations."""
+    monkeypatch.setattr(L, "TILE", tile)
+    monkeypatch.setattr(L, "FAN", fan)
     x, y, folds = data
-    df = table(spark, x[:, :4], y, folds)
-    names = [f"f{i}" for i in range(4)]
-    wide = df.select("id", "label", "fold", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    native = predictions(L.ridge_oof(wide, names, "label", "fold", 1.0))
-    assert np.allclose(native, oof(x[:, :4], y, folds, 1.0), atol=1e-9)
+    x = x[:, :9] + 1e6
+    rows = [(None if folds[i] == 4 else f"f{folds[i]}", float(y[i]), float(i % 3), [float(v) for v in x[i]]) for i in range(len(y))]
+    rows += [("f0", None, 1.0, [0.0] * 9), ("f1", 1.0, 1.0, [None] * 9), ("f1", 1.0, None, [0.0] * 9), ("f1", 1.0, 1.0, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "fold string, label double, weight double, x array<double>").repartition(parts)
+    got = L.collect_moments(df, "x", "label", ["fold"], 9, F.col("weight"))
+    assert got.skipped == 4 and sorted(map(str, got.cells)) == sorted(map(str, {r[:1] for r in rows}))
+    z, w = np.column_stack([x, y]), np.arange(len(y)) % 3
+    for cell, n, s, g in zip(got.cells, got.n, got.s, got.g, strict=True):
+        own = (folds == (4 if cell[0] is None else int(cell[0][1:])))
+        off = z[own] - got.centre
+        assert n == w[own].sum() and np.allclose(s, w[own] @ off, atol=1e-5) and np.allclose(g, (off * w[own][:, None]).T @ off, rtol=1e-9, atol=1e-5)
 
 
 def test_held_out_labels_never_reach_their_own_predictions(spark, data):

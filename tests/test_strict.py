@@ -54,7 +54,7 @@ def test_null_cells_have_a_weight(spark):
 @pytest.mark.parametrize("wide", [False, True])
 def test_null_rows_do_not_bias_a_fit(spark, monkeypatch, wide):
     if wide:
-        monkeypatch.setattr(L, "NATIVE_LIMIT", 0)
+        monkeypatch.setattr(L, "TILE", 1)
     rows = [(0, float(x), 2.0 * x + 1) for x in range(5)] + [(0, None, 9.0), (0, None, 50.0), (0, 3.0, None)]
     df = spark.createDataFrame(rows, "fold int, x double, y double")
     moments = L.collect_moments(df, ["x"], "y", ["fold"])
@@ -68,7 +68,7 @@ def test_group_and_value_names_are_free(spark):
     for groups in (["k"], ["k", "a"], ["k", "b"]):
         got = R.exact_quantiles(df, groups, "n", {"median": 0.5}).collect()
         assert [r["median"] for r in got] == [1.5, 1.5]
-        cells = R.exact_quantiles(df, groups, "n", {"median": 0.5}, cells=2, max_values=1).collect()
+        cells = R.exact_quantiles(df, groups, "n", {"median": 0.5}, accuracy=4).collect()
         assert [r["median"] for r in cells] == [1.5, 1.5]
     assert R.average_ranks(df.withColumnRenamed("n", "v"), ["k"], "v", "n").count() == 8
     swapped = df.select(F.col("n").alias("k"), F.col("k").alias("n"))
