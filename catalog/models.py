@@ -42,8 +42,12 @@ def _(t):
 
 @query(
     "group_folds",
-    """WITH g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, md5(CAST(o_custkey AS VARCHAR)), o_custkey) - 1 AS p FROM g)
-      SELECT o_custkey, n AS group_size, CAST(CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS BIGINT) AS fold FROM r""",
+    """WITH RECURSIVE g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), s AS MATERIALIZED (SELECT n, row_number() OVER (ORDER BY n DESC) AS rn FROM g),
+      walk(rn, t, f) AS (SELECT CAST(0 AS BIGINT), CAST([0, 0, 0, 0, 0] AS BIGINT[]), CAST(-1 AS BIGINT) UNION ALL
+        SELECT s.rn, list_transform(range(1, 6), lambda i: t[i] + CASE WHEN i = list_position(t, list_min(t)) THEN n ELSE 0 END), CAST(list_position(t, list_min(t)) - 1 AS BIGINT) FROM walk JOIN s ON s.rn = walk.rn + 1),
+      upto AS (SELECT n, f, c, sum(c) OVER (PARTITION BY n ORDER BY f) AS last FROM (SELECT n, f, count(*) AS c FROM walk JOIN s USING (rn) GROUP BY n, f)),
+      r AS (SELECT o_custkey, n, row_number() OVER (PARTITION BY n ORDER BY md5(CAST(o_custkey AS VARCHAR)), o_custkey) AS p FROM g)
+      SELECT o_custkey, r.n AS group_size, f AS fold FROM r JOIN upto ON r.n = upto.n AND p BETWEEN last - c + 1 AND last""",
 )
 def _(t):
     return FO.group_folds(t.orders.select("o_custkey"), "o_custkey")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import quotient
-from .ranking import BROADCAST_ROWS, broadcast_small, cumulative, exact_quantiles, hashed_positions, value_counts
+from ..session import stored
+from .ranking import BROADCAST_ROWS, broadcast_small, exact_quantiles, hashed_positions
 
 
 def mean_baseline_params(df: DataFrame, label: str = "label", fold: str = "fold") -> DataFrame:
@@ -96,24 +97,46 @@ def stratified_folds(
     )
 
 
+def pack_sizes(counts: dict[int, int], n_splits: int) -> list[tuple[int, int, int, int]]:
+    """``(size, fold, first, last)``: which places among the groups of a size go to which fold.
+
+    Groups go to the lightest fold, largest first, the lower fold winning ties; all groups of
+    one size are dealt at once, as the smallest of the totals that each fold would pass through.
+    """
+    totals, out = [0] * n_splits, []
+    for size in sorted(counts, reverse=True):
+        many = counts[size]
+        passed = lambda level, size=size: sum((level - t) // size + 1 for t in totals if t <= level)
+        low, high = min(totals) - 1, min(totals) + size * many
+        while low < high:  # the highest level that is passed no more often than there are groups
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if passed(middle) <= many else (low, middle - 1)
+        take = [(low - t) // size + 1 if t <= low else 0 for t in totals]
+        for fold in [f for f in range(n_splits) if totals[f] + take[f] * size == low + 1][: many - sum(take)]:
+            take[fold] += 1
+        done = 0
+        for fold, n in enumerate(take):
+            if n:
+                out.append((size, fold, done + 1, done + n))
+                done += n
+            totals[fold] += n * size
+    return out
+
+
 def group_folds(df: DataFrame, group: str, n_splits: int = 5) -> DataFrame:
-    """Whole groups to folds: largest first, dealt back and forth.
+    """Whole groups to folds, largest first, each to the fold with the fewest rows.
 
-    Group sizes are ordered as counts of counts, and groups of one size by hash
-    cells, so no task sees all groups.  Most groups have size one, so the table of
-    sizes is broadcast where it is seen to be small.
+    Only counts of counts are packed (their number is at most the root of twice the rows, on
+    the driver); which group of a size goes where follows from its place by hash, so no task
+    sees all groups.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    by_size = value_counts(sizes.withColumn("negative", -F.col("n")), [], "negative", {"groups": F.lit(1)})
-    ranked = cumulative(by_size, [], "negative", ("groups",)).select(
-        (-F.col("negative")).alias("n"), F.col("groups_before").alias("__before")
-    )
+    sizes = stored(df.groupBy(group).agg(F.count("*").alias("n")), "group-sizes")
+    counts = {r["n"]: r["groups"] for r in sizes.groupBy("n").agg(F.count("*").alias("groups")).collect()}
+    places = df.sparkSession.createDataFrame(pack_sizes(counts, n_splits), "__size bigint, fold bigint, __first bigint, __last bigint")
     hashed = sizes.withColumn("__h", F.md5(F.col(group).cast("string")))
-    placed = hashed_positions(hashed, ["n"], "__h", [group], "__pos").join(broadcast_small(ranked, BROADCAST_ROWS), "n")
-    position = F.col("__pos") - 1 + F.col("__before")
-    turn, seat = F.floor(position / n_splits), position % n_splits
-    fold = F.when(turn % 2 == 0, seat).otherwise(n_splits - 1 - seat).cast("bigint")
-    return placed.select(group, F.col("n").alias("group_size"), fold.alias("fold"))
+    placed = hashed_positions(hashed, ["n"], "__h", [group], "__pos")
+    own = (F.col("n") == F.col("__size")) & F.col("__pos").between(F.col("__first"), F.col("__last"))
+    return placed.join(broadcast_small(places, BROADCAST_ROWS), own).select(group, F.col("n").alias("group_size"), "fold")
 
 
 def unseen_group_mask(df: DataFrame, group: str, fold: str) -> DataFrame:

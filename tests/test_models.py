@@ -249,3 +249,17 @@ def test_tfidf_ridge_refuses_an_unsettled_fit(spark):
     df = spark.createDataFrame([(i, f"good bad w{i % 4} v{i % 3}", float(i * i % 7), i % 2) for i in range(20)], "id int, t string, y double, fold int")
     with pytest.raises(ValueError, match="settled"):
         X.tfidf_ridge_oof(df, "id", "t", "y", "fold", 0.001, max_iter=2)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_groups_are_packed_as_one_by_one(seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.minimum(rng.zipf(1.5, 300), 60).tolist()
+    totals, want = [0] * 5, {}
+    for size in sorted(sizes, reverse=True):
+        fold = totals.index(min(totals))
+        totals[fold] += size
+        want[size, fold] = want.get((size, fold), 0) + 1
+    got = FO.pack_sizes({s: sizes.count(s) for s in set(sizes)}, 5)
+    assert {(s, f): last - first + 1 for s, f, first, last in got} == want
+    assert sum(last - first + 1 for _, _, first, last in FO.pack_sizes({1: 10**12 + 3, 7: 2}, 5)) == 10**12 + 5
