@@ -23,11 +23,12 @@ def features(t):
         F.lit(3.0).alias("constant"),
         F.when(F.col("l_orderkey") % 10 < 7, 1.0).otherwise(2.0).alias("marker"),
         F.col("l_linenumber").cast("double").alias("label"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"),
     )
 
 
 LINES = """f AS (SELECT CASE WHEN l_orderkey % 10 < 7 THEN 'train' ELSE 'test' END AS split, l_quantity AS quantity, l_extendedprice / 1000 AS price, l_discount AS discount, l_tax AS tax,
-   CASE WHEN l_orderkey % 200 = 0 THEN 1e0 ELSE 0e0 END AS late, 3e0 AS constant, CASE WHEN l_orderkey % 10 < 7 THEN 1e0 ELSE 2e0 END AS marker, CAST(l_linenumber AS DOUBLE) AS label FROM lineitem)"""
+   CASE WHEN l_orderkey % 200 = 0 THEN 1e0 ELSE 0e0 END AS late, 3e0 AS constant, CASE WHEN l_orderkey % 10 < 7 THEN 1e0 ELSE 2e0 END AS marker, CAST(l_linenumber AS DOUBLE) AS label, l_orderkey * 8 + l_linenumber AS key FROM lineitem)"""
 
 
 def tall_sql(columns, keep="split, label"):
@@ -173,20 +174,48 @@ def _(t):
     return D.residual_feature_correlations(rows, F.col("price") - F.col("quantity"), [*CORRELATED, *WIDER], 10)
 
 
-SMALL = ["quantity", "discount"]
+AUDITED = FEATURES + ["net"]
+AUDIT_FAMILY = {**FAMILY, "net": "amount"}
+
+
+def rows_of(section: str, split: str, name: str, metrics: list[str], table: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {split} AS split, {name} AS name, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {table}" for m in metrics)
 
 
 @query(
     "audit_report",
-    f"""WITH {LINES}, {tall_sql(SMALL)}, d AS (SELECT feature, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max, {QS}, avg(CASE WHEN value = 0 THEN 1e0 ELSE 0e0 END) AS zero_fraction FROM m WHERE split = 'train' GROUP BY feature),
+    f"""WITH {LINES.replace("f AS (", "plain AS (", 1)}, f AS (SELECT *, price * (1 - discount) AS net FROM plain), {tall_sql(AUDITED)},
+      i AS (SELECT split, count(*) AS row_count, {len(AUDITED)} AS feature_count, count(*) - count(DISTINCT key) AS duplicate_identities, 0 AS missing_values, 0 AS non_finite_values FROM f GROUP BY split),
+      vc AS (SELECT split, feature, value, count(*) AS n, row_number() OVER (PARTITION BY split, feature ORDER BY count(*) DESC) AS r FROM m GROUP BY split, feature, value),
+      vs AS (SELECT split, feature, count(*) AS d, sum(n) AS total, max(n) FILTER (WHERE r = 1) AS top, max(n) FILTER (WHERE r = 2) AS second, coalesce(sum(n) FILTER (WHERE value = 0), 0) AS zeros FROM vc GROUP BY split, feature),
+      v AS (SELECT split, feature, d <= 1 AS zero_variance, d > 1 AND d / total <= 0.1 AND top / second >= 19 AS near_zero_variance, zeros / total > 0.95 AS zero_over_95_percent, zeros / total > 0.99 AS zero_over_99_percent FROM vs),
+      d AS (SELECT split, feature, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max, {QS}, avg(CASE WHEN value = 0 THEN 1e0 ELSE 0e0 END) AS zero_fraction FROM m GROUP BY split, feature),
       s AS (SELECT feature, (avg(value) FILTER (WHERE split = 'train') - avg(value) FILTER (WHERE split = 'test')) / sqrt((var_samp(value) FILTER (WHERE split = 'train') + var_samp(value) FILTER (WHERE split = 'test')) / 2) AS smd FROM m GROUP BY feature),
+      sa AS (SELECT *, abs(smd) AS abs_smd FROM s),
       c AS (SELECT feature, value, count(*) FILTER (WHERE split = 'train') AS a, count(*) FILTER (WHERE split = 'test') AS b FROM m GROUP BY feature, value),
       r AS (SELECT feature, abs(sum(a) OVER w / sum(a) OVER (PARTITION BY feature) - sum(b) OVER w / sum(b) OVER (PARTITION BY feature)) AS gap FROM c WINDOW w AS (PARTITION BY feature ORDER BY value)),
-      k AS ({ranks_sql(SMALL, "split = 'train'")})
+      kk AS (SELECT feature, max(gap) AS ks FROM r GROUP BY feature),
+      p AS ("""
+    + " UNION ALL ".join(
+        f"SELECT '{a}|{b}' AS name, {sql_pearson(a, b)} AS pearson, covar_pop({a}, {b}) / var_pop({a}) AS affine_slope, avg({b}) - covar_pop({a}, {b}) / var_pop({a}) * avg({a}) AS affine_intercept, false AS near_exact_affine FROM f WHERE split = 'train'"
+        for i, a in enumerate(AUDITED) for b in AUDITED[i + 1 :]
+    )
+    + f"""), hp AS (SELECT * FROM p WHERE abs(pearson) >= 0.95), k AS ({ranks_sql(AUDITED, "split = 'train'")}),
+      fc AS (SELECT CASE feature {" ".join(f"WHEN '{x}' THEN '{y}'" for x, y in AUDIT_FAMILY.items())} END AS family, count(*) AS feature_count, median(abs(pearson)) AS median_absolute_pearson, max(abs(pearson)) AS max_absolute_pearson,
+        median(abs(spearman)) AS median_absolute_spearman, max(abs(spearman)) AS max_absolute_spearman FROM k GROUP BY 1)
       """
-    + " UNION ALL ".join(f"SELECT feature, '{n}' AS metric, {n} AS value FROM d" for n in ["mean", "std", "min", "max", *D.PERCENTILES, "zero_fraction"])
-    + " UNION ALL SELECT feature, 'smd', smd FROM s UNION ALL SELECT feature, 'abs_smd', abs(smd) FROM s UNION ALL SELECT feature, 'ks', max(gap) FROM r GROUP BY feature UNION ALL SELECT feature, 'pearson', pearson FROM k UNION ALL SELECT feature, 'spearman', spearman FROM k",
+    + " UNION ALL ".join([
+        rows_of("integrity", "split", "'all'", ["row_count", "feature_count", "duplicate_identities", "missing_values", "non_finite_values"], "i"),
+        rows_of("variance_sparsity", "split", "feature", ["zero_variance", "near_zero_variance", "zero_over_95_percent", "zero_over_99_percent"], "v"),
+        rows_of("distribution", "split", "feature", ["mean", "std", "min", "max", *D.PERCENTILES, "zero_fraction"], "d"),
+        rows_of("shift", "NULL", "feature", ["smd", "abs_smd"], "sa"), rows_of("shift", "NULL", "feature", ["ks"], "kk"),
+        rows_of("high_correlation", "'train'", "name", ["pearson", "affine_slope", "affine_intercept", "near_exact_affine"], "hp"),
+        rows_of("label_correlation", "'train'", "feature", ["pearson", "spearman"], "k"),
+        rows_of("family_correlation", "'train'", "family", ["feature_count", "median_absolute_pearson", "max_absolute_pearson", "median_absolute_spearman", "max_absolute_spearman"], "fc"),
+    ]),
     "value",
+    digits=4,
 )
 def _(t):
-    return D.audit_report(features(t), "split", "label", SMALL)
+    rows = features(t).withColumn("net", F.col("price") * (1 - F.col("discount")))
+    return D.audit_report(rows, "split", "key", "label", AUDITED, AUDIT_FAMILY)

@@ -259,20 +259,47 @@ def residual_feature_correlations(df: DataFrame, residual: Column, features: Seq
     return scored.orderBy(F.desc_nulls_last(F.abs("residual_correlation")), "feature").limit(k)
 
 
-def tall_metrics(df: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
+def tall_metrics(df: DataFrame, section: str, split: str | None, name: Column, metrics: Sequence[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
-    return df.select(key, F.explode(pairs).alias("m")).select(key, "m.metric", "m.value")
-
-
-def audit_report(df: DataFrame, split: str, label: str, features: Sequence[str]) -> DataFrame:
-    """Summary, drift and label correlations of every feature as (feature, metric, value)."""
-    train = df.where(F.col(split) == "train")
-    parts = [
-        tall_metrics(distribution_summary(train, features), "feature", ["mean", "std", "min", "max", *PERCENTILES, "zero_fraction"]),
-        tall_metrics(smd_sample(df, split, features), "feature", ["smd", "abs_smd"]),
-        tall_metrics(ks_statistic(df, split, features), "feature", ["ks"]),
-        tall_metrics(label_correlations(train, label, features), "feature", ["pearson", "spearman"]),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return df.select(
+        F.lit(section).alias("section"), F.lit(split).cast("string").alias("split"), name.alias("name"), F.explode(pairs).alias("m")
+    ).select("section", "split", "name", "m.metric", "m.value")
+
+
+def integrity(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """One row: rows, features, repeated keys beyond the first, missing and non-finite values."""
+    cells = [F.col(f).cast("double") for f in features]
+    total = lambda parts: reduce(lambda a, b: a + b, parts)
+    missing = total([F.when(c.isNull() | F.isnan(c), 1).otherwise(0) for c in cells])
+    odd = total([F.when(c.isNull() | F.isnan(c) | (F.abs(c) == INFINITY), 1).otherwise(0) for c in cells])
+    keyed = df.groupBy(key).agg(F.count("*").alias("n"), F.sum(missing).alias("missing"), F.sum(odd).alias("odd"))
+    sums = keyed.agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("again"), F.sum("missing").alias("missing"), F.sum("odd").alias("odd"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return sums.select(
+        zero("n").alias("row_count"), F.lit(len(features)).alias("feature_count"), zero("again").alias("duplicate_identities"),
+        zero("missing").alias("missing_values"), zero("odd").alias("non_finite_values"),
+    )
+
 
+def audit_report(df: DataFrame, split: str, key: str, label: str, features: Sequence[str], families: dict[str, str], sides: tuple[str, str] = ("train", "test")) -> DataFrame:
+    """The feature audit as ``(section, split, name, metric, value)``.
 
+    Sections: integrity, variance and sparsity, and distributions of both splits; shift between
+    them; highly correlated pairs, label correlations and their summary by family on the first.
+    """
+    first = df.where(F.col(split) == sides[0])
+    parts = []
+    for side in sides:
+        own = df.where(F.col(split) == side)
+        parts.append(tall_metrics(integrity(own, key, features), "integrity", side, F.lit("all"), ["row_count", "feature_count", "duplicate_identities", "missing_values", "non_finite_values"]))
+        parts.append(tall_metrics(variance_sparsity(own, features), "variance_sparsity", side, F.col("feature"), ["zero_variance", "near_zero_variance", "zero_over_95_percent", "zero_over_99_percent"]))
+        parts.append(tall_metrics(distribution_summary(own, features), "distribution", side, F.col("feature"), ["mean", "std", "min", "max", *PERCENTILES, "zero_fraction"]))
+    parts.append(tall_metrics(smd_sample(df, split, features), "shift", None, F.col("feature"), ["smd", "abs_smd"]))
+    parts.append(tall_metrics(ks_statistic(df, split, features), "shift", None, F.col("feature"), ["ks"]))
+    pairs = high_correlation_pairs(first, features)
+    parts.append(tall_metrics(pairs, "high_correlation", sides[0], F.concat_ws("|", "left", "right"), ["pearson", "affine_slope", "affine_intercept", "near_exact_affine"]))
+    correlations = cut_lineage(label_correlations(first, label, features))  # a row a feature
+    parts.append(tall_metrics(correlations, "label_correlation", sides[0], F.col("feature"), ["pearson", "spearman"]))
+    summary = [f"{stat}_absolute_{method}" for method in ("pearson", "spearman") for stat in ("median", "max")]
+    parts.append(tall_metrics(family_correlations(correlations, families), "family_correlation", sides[0], F.col("family"), ["feature_count", *summary]))
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -95,7 +95,7 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probabilit
 
     def pick(brackets: DataFrame) -> DataFrame:
         # What lies outside the brackets counts at the edge below it, behind the rows that are there.
-        rows = base.join(broadcast_small(brackets.select("__k", "__lo", "__hi"), BROADCAST_ROWS), "__k")
+        rows = base.join(brackets.select("__k", "__lo", "__hi"), "__k")
         lo, hi = ([F.get(f"__{side}", F.lit(i)) for i in range(len(wanted))] for side in ("lo", "hi"))
         inside, below = F.lit(False), [F.lit(float("-inf"))]
         for first, last in zip(lo, hi, strict=True):
