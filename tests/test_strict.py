@@ -77,11 +77,10 @@ def test_group_and_value_names_are_free(spark):
     assert one(pair)["first_only"] == 2
 
 
-def test_ordering_gives_up_aloud(spark, monkeypatch):
-    monkeypatch.setattr(R, "MAX_LEVELS", 1)
-    df = spark.createDataFrame([(float(v),) for v in [*range(50), 1e12]], "v double")
-    with pytest.raises(ValueError, match="levels"):
-        R.exact_quantiles(df, [], "v", {"m": 0.5}, cells=2, max_values=3)
+def test_no_spread_of_values_is_too_wide(spark):
+    df = spark.createDataFrame([(float(v),) for v in [*range(50), 1e12, -1e300, 1e300]], "v double")
+    got = one(R.exact_quantiles(df, [], "v", {"m": 0.5, "top": 1.0}, accuracy=5))
+    assert got["m"] == 25 and got["top"] == 1e300
 
 
 def test_string_keys(spark):
