@@ -27,6 +27,21 @@ def test_rmse(spark, rows, expected):
     assert one(pairs(spark, rows).agg(rmse("y", "p").alias("v")))["v"] == pytest.approx(expected, rel=1e-12)
 
 
+@pytest.mark.parametrize("size", [49, 107, 161])
+def test_pearson_of_a_constant_over_many_partitions(spark, size):
+    # 2 / 49 * 49 is not 2: the means of merged partial aggregates differ in the last digit.
+    rows = spark.range(0, 4 * size, 1, 4).select(F.col("id").cast("double").alias("x"))
+    found = one(rows.agg(*[pearson("x", F.lit(c)).alias(f"c{i}") for i, c in enumerate((2.0, 3.0, 1.1, 903.7))]))
+    assert set(found.values()) == {None}
+
+
+def test_fold_scope_has_no_pearson_for_one_prediction_a_fold(spark):
+    rows = spark.range(0, 4 * 98, 1, 4).select((F.col("id") % 2).alias("fold"), F.col("id").cast("double").alias("label"))
+    rows = rows.withColumn("prediction", F.when(F.col("fold") == 0, 2.0).otherwise(4.0))
+    found = {(r["scope"], r["fold"]): r["pearson"] for r in M.regression_metrics(rows).collect()}
+    assert found["fold", 0] is None and found["fold", 1] is None and found["pooled", None] is not None
+
+
 def test_pearson_defined_and_undefined(spark):
     assert one(pairs(spark, [(1, 2), (2, 4), (3, 6)]).agg(pearson("y", "p").alias("v")))["v"] == pytest.approx(1)
     assert one(pairs(spark, [(1, 2), (2, 2)]).agg(pearson("y", "p").alias("v")))["v"] is None
