@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -95,6 +97,14 @@ def test_smd_of_constants(spark, a, b, expected):
     assert one(D.smd_sample(spark.createDataFrame(rows, "split string, v double"), "split", ["v"]))["smd"] == expected
 
 
+def test_shift_of_constants_over_many_partitions(spark):
+    # 2 / 49 * 49 is not 2: the means of merged partial aggregates differ in the last digit.
+    rows = spark.range(0, 4 * 98, 1, 4).selectExpr("if(id % 2 = 0, 'train', 'test') AS split", "if(id % 2 = 0, 2D, 4D) AS v")
+    assert one(D.smd_sample(rows, "split", ["v"]))["smd"] == -math.inf
+    audit = one(D.smd_shift_audit(rows, "split", ["v"]))
+    assert audit["smd"] == math.inf and audit["shift"] == "large"
+
+
 def test_high_correlation_pairs(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i, -1.0 * i, 1.0) for i in range(1, 6)], "a double, b double, c double, d double")
     rows = {(r["left"], r["right"]): r for r in D.high_correlation_pairs(df, ["a", "b", "c", "d"]).collect()}
@@ -109,6 +119,16 @@ def test_label_correlations(spark):
     assert rows["c"]["pearson"] is None and rows["c"]["spearman"] is None
 
 
+def test_label_correlations_of_many_rows(spark):
+    # Sums of squared ranks pass 2^53 by far.
+    df = spark.range(0, 100_000, 1, 4).selectExpr("cast(id * 7919 % 1000003 AS double) AS x", "cast(id % 7 AS double) AS y", "1e8 + id % 3 AS far", "3D AS c")
+    rows = {r["feature"]: r for r in D.label_correlations(df, "y", ["x", "far", "c"]).collect()}
+    assert rows["c"]["pearson"] is None and rows["c"]["spearman"] is None
+    x, far, y = (np.array(v) for v in zip(*((i * 7919 % 1000003, i % 3, i % 7) for i in range(100_000)), strict=True))
+    assert rows["far"]["pearson"] == pytest.approx(np.corrcoef(far, y)[0, 1], abs=1e-10)
+    assert rows["x"]["pearson"] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-10)
+
+
 def test_variance_sparsity(spark):
     rows = [(0.0, 0.0 if i < 95 else 1.0, 0.0 if i < 96 else 1.0, float(i)) for i in range(100)]
     df = spark.createDataFrame(rows, "constant double, edge double, rare double, free double")
