@@ -6,11 +6,15 @@ is_space`` with ``i`` unique inside a document and ``head_i = i`` at a root.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import count_where, ratio
-from ..session import cut_lineage
 
 # ---- fixed values ----
 POS_TAGS = (
@@ -28,6 +32,10 @@ DEPENDENCIES = {
     "coordination": ("conj",),
 }
 SUBJECTS = ("nsubj", "nsubjpass", "csubj", "csubjpass")
+FLAGS = ("word", "mark", "no_head", "no_sentence", "subject", "finite", *DEPENDENCIES)
+NOWHERE = -(1 << 63)  # an id that no token has
+MAX_ROUNDS = 40
+SLICE_TOKENS = 1 << 19
 # ----------------------
 
 
@@ -69,63 +77,90 @@ def pos_features(tokens: DataFrame) -> DataFrame:
     return counted.select("doc_id", *columns)
 
 
-def tree_depths(tokens: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Ancestors above each token by pointer jumping.
+def links(ids: np.ndarray, heads: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each token's head (their number, if the head is not in the document) and the ancestors above each token.
 
-    Every round doubles the distance a pointer covers, so a parse of depth d
-    needs about log2(d) joins on (document, token).  Each round is checkpointed:
-    lineage stays short and a lost executor costs one round.
+    ``bounds`` part the tokens by document.  Depths follow by pointer jumping: every round
+    doubles the distance a pointer covers.
     """
-    state = tokens.select(
-        "doc_id",
-        "i",
-        F.col("head_i").alias("up"),
-        F.when(F.col("head_i") == F.col("i"), 0).otherwise(1).alias("depth"),
-    )
-    for _ in range(max_rounds):
-        parent = state.select("doc_id", F.col("i").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        jumped = cut_lineage(
-            state.join(parent, ["doc_id", "up"], "left").select(
-                "doc_id",
-                "i",
-                F.coalesce("up2", "up").alias("up"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.coalesce("more", F.lit(0)) > 0).alias("moved"),
-            )
-        )
-        state = jumped.drop("moved")
-        if jumped.where("moved").isEmpty():
-            return state.select("doc_id", "i", "depth")
+    size = len(ids)
+    head = np.full(size, size)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b > a:
+            order = np.argsort(ids[a:b], kind="stable")
+            own = ids[a:b][order]
+            found = np.minimum(np.searchsorted(own, heads[a:b]), b - a - 1)
+            head[a:b] = np.where(own[found] == heads[a:b], a + order[found], size)
+    up, depth = np.append(head, size), np.append((head != np.arange(size)).astype(np.int64), 0)
+    for _ in range(MAX_ROUNDS):
+        more = depth[up]
+        if not more.any():
+            return head, depth[:size]
+        depth, up = depth + more, up[up]
     raise ValueError("Heads do not form trees: a cycle or an absurd depth")
 
 
+def measure_syntax(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Sums and maxima of each document over its tokens and sentences."""
+    lists = batch.column("i")
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    bounds = bounds - bounds[0]
+    ids, heads, sent, flags = (batch.column(c).flatten().to_numpy() for c in ("i", "head", "sent", "flags"))
+    row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+    has = {name: (flags >> k & 1).astype(bool) for k, name in enumerate(FLAGS)}
+    word = has["word"]
+    head, depth = links(ids, np.where(has["no_head"], NOWHERE, heads), bounds)
+    head_is_mark = np.append(has["mark"], False)[head]
+    far = word & ~has["no_head"] & (heads != ids) & ~head_is_mark
+    order = np.lexsort((sent, has["no_sentence"], row))
+    first = np.concatenate([[True], np.diff(row[order]).astype(bool) | np.diff(sent[order]).astype(bool) | (np.diff(has["no_sentence"][order].astype(np.int8)) != 0)])
+    starts = np.flatnonzero(first)
+    subject, finite = (np.logical_or.reduceat(has[n][order], starts) for n in ("subject", "finite"))
+    of = row[order][starts]
+
+    def total(at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        return np.bincount(at, value, batch.num_rows).astype(np.int64)
+
+    distance, steps = np.where(far, np.abs(ids - heads), 0), np.where(word, depth, 0)
+    found = {
+        "s": total(of, np.ones(len(of))), "ds": total(row, distance), "dn": total(row, far), "dx": np.maximum.reduceat(distance, bounds[:-1]),
+        "ps": total(row, steps), "pn": total(row, word), "px": np.maximum.reduceat(steps, bounds[:-1]),
+        "with_subject": total(of, subject), "with_finite": total(of, finite), "complete": total(of, subject & finite),
+    } | {name: total(row, has[name]) for name in DEPENDENCIES}
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, pa.int64()) for v in found.values()]], ["doc_id", *found])
+
+
 def syntax_features(tokens: DataFrame) -> DataFrame:
-    """Arc lengths, tree depths, dependency counts and sentence completeness."""
-    heads = tokens.select(
-        "doc_id", F.col("i").alias("head_i"), (F.col("is_punct") | F.col("is_space")).alias("head_is_mark")
-    )
-    linked = tokens.join(heads, ["doc_id", "head_i"], "left").join(tree_depths(tokens), ["doc_id", "i"])
+    """Arc lengths, tree depths, dependency counts and sentence completeness.
+
+    Labels become bits of a number, and a document's tokens meet once, as lists of numbers.
+    """
     word = is_word()
-    distance = F.when(
-        word & (F.col("head_i") != F.col("i")) & ~F.coalesce("head_is_mark", F.lit(False)), F.abs(F.col("i") - F.col("head_i"))
-    )
-    depth = F.when(word, F.col("depth"))
-    subject, finite = word & F.col("dep").isin(*SUBJECTS), is_finite_verb()
-    per_sentence = linked.groupBy("doc_id", "sent_id").agg(
-        F.sum(distance).alias("ds"), F.count(distance).alias("dn"), F.max(distance).alias("dx"),
-        F.sum(depth).alias("ps"), F.count(depth).alias("pn"), F.max(depth).alias("px"),
-        F.bool_or(subject).alias("subject"), F.bool_or(finite).alias("finite"),
-        *[count_where(word & F.col("dep").isin(*labels)).alias(name) for name, labels in DEPENDENCIES.items()],
-    )
-    docs = per_sentence.groupBy("doc_id").agg(
-        F.count("*").alias("s"),
-        F.sum("ds").alias("ds"), F.sum("dn").alias("dn"), F.max("dx").alias("dx"),
-        F.sum("ps").alias("ps"), F.sum("pn").alias("pn"), F.max("px").alias("px"),
-        count_where(F.col("subject")).alias("with_subject"),
-        count_where(F.col("finite")).alias("with_finite"),
-        count_where(F.col("subject") & F.col("finite")).alias("complete"),
-        *[F.sum(name).alias(name) for name in DEPENDENCIES],
+    bits = {
+        "word": word, "mark": F.col("is_punct") | F.col("is_space"), "no_head": F.col("head_i").isNull(), "no_sentence": F.col("sent_id").isNull(),
+        "subject": word & F.col("dep").isin(*SUBJECTS), "finite": is_finite_verb(), **{name: word & F.col("dep").isin(*labels) for name, labels in DEPENDENCIES.items()},
+    }
+    flags = reduce(lambda x, y: x + y, [F.when(bits[name], 1 << k).otherwise(0) for k, name in enumerate(FLAGS)])
+    number = lambda c: F.col(c).cast("bigint")
+    compact = tokens.where(F.col("doc_id").isNotNull() & F.col("i").isNotNull()).select(
+        "doc_id", number("i").alias("i"), F.coalesce(number("head_i"), number("i")).alias("head"), F.coalesce(number("sent_id"), F.lit(0).cast("bigint")).alias("sent"), flags.cast("int").alias("flags")
     )
+    columns = ["i", "head", "sent", "flags"]
+    # All without NULLs and filled row by row in one aggregate, so the lists stand in one order; alike numbers side by side pack well.
+    packed = compact.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                # Whole documents with about SLICE_TOKENS tokens, one document at least.
+                sizes = np.diff(batch.column("i").offsets.to_numpy())
+                part = (np.cumsum(sizes) - sizes) // SLICE_TOKENS
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    yield measure_syntax(batch.slice(a, b - a))
+
+    shape = f"doc_id {dict(tokens.dtypes)['doc_id']}, " + ", ".join(f"{name} bigint" for name in ("s", "ds", "dn", "dx", "ps", "pn", "px", "with_subject", "with_finite", "complete", *DEPENDENCIES))
+    docs = packed.mapInArrow(run, shape)
     columns = [
         ratio(F.coalesce("ds", F.lit(0)), "dn").alias("mean_dependency_distance"),
         F.coalesce("dx", F.lit(0)).cast("double").alias("max_dependency_distance"),
