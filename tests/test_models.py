@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from rubrica.operators import blend as B
 from rubrica.operators import folds as FO
 from rubrica.operators import linear as L
 from rubrica.operators import tfidf as X
+from rubrica.session import shared_dir
 
 from .conftest import one
 
@@ -245,6 +248,17 @@ def test_tfidf_ridge_is_the_dense_ridge(spark, include_char):
     assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_tfidf_ridge_leaves_no_table_of_a_past_step(spark):
+    def tables():
+        folder = shared_dir(spark).removeprefix("file:")
+        return {n for n in os.listdir(folder) if n.startswith("sparse-ridge")} if os.path.isdir(folder) else set()
+
+    before = tables()
+    df = spark.createDataFrame([(i, f"aa bb c{i % 7} d{i % 5} e{i % 3}", float(i % 4), i % 3) for i in range(60)], "id long, t string, y double, fold int")
+    assert X.tfidf_ridge_oof(df, "id", "t", "y", "fold").count() == 60
+    assert len(tables() - before) <= 3  # the rows, the start and the end
+
+
 def test_tfidf_ridge_refuses_an_unsettled_fit(spark):
     df = spark.createDataFrame([(i, f"good bad w{i % 4} v{i % 3}", float(i * i % 7), i % 2) for i in range(20)], "id int, t string, y double, fold int")
     with pytest.raises(ValueError, match="settled"):
