@@ -271,20 +271,21 @@ def property_cells(df: DataFrame, short: Column, partner: Column) -> Column:
 def cell_weights(df: DataFrame, target: DataFrame, cell: str) -> tuple[DataFrame, DataFrame]:
     """Weight so each cell has its share in the target set, and target cells without rows.
 
-    One row per cell on both sides; Spark broadcasts that table where it is small.
-    Rows with a NULL cell are a cell of their own.
+    Those are returned with their number, since no weight can stand for them.  One row per
+    cell on both sides; Spark broadcasts that table where it is small.  Rows with a NULL cell
+    are a cell of their own.
     """
     have = df.groupBy(cell).agg(F.count("*").alias("h"))
-    want = target.groupBy(cell).agg(F.count("*").alias("w"))
-    totals = have.agg(F.sum("h").alias("th")).crossJoin(want.agg(F.sum("w").alias("tw")))
-    want = want.withColumnRenamed(cell, "__want")
-    table = have.join(want, F.col(cell).eqNullSafe(F.col("__want")), "left").crossJoin(F.broadcast(totals)).select(
+    wanted = target.groupBy(cell).agg(F.count("*").alias("w")).withColumnRenamed(cell, "__want")
+    same = F.col(cell).eqNullSafe(F.col("__want"))
+    missing = wanted.join(have, same, "left_anti").select(
+        F.lit("cell_without_rows").alias("rule"), F.col("__want").cast("string").alias("key"), F.col("w").alias("rows")
+    )
+    totals = have.agg(F.sum("h").alias("th")).crossJoin(wanted.agg(F.sum("w").alias("tw")))
+    table = have.join(wanted, same, "left").crossJoin(F.broadcast(totals)).select(
         F.col(cell).alias("__cell"),
         ((F.coalesce("w", F.lit(0)) / F.col("tw")) / (F.col("h") / F.col("th"))).alias("weight"),
     )
-    missing = want.join(have, F.col(cell).eqNullSafe(F.col("__want")), "left_anti").select(
-        F.lit("cell_without_rows").alias("rule"), F.col("__want").cast("string").alias("key")
-    )
     return df.join(table, F.col(cell).eqNullSafe(F.col("__cell"))).drop("__cell"), missing
 
 

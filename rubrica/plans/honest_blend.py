@@ -52,6 +52,9 @@ def run(
 ) -> HonestBlend:
     """Group, fold by group, weight to the target mix, cross-fit, blend, calibrate.
 
+    If similarity leaves one group, nothing is fitted across folds: cross-fitted and final
+    predictions are NULL, and so are their metrics and parameters.
+
     ``runs`` are prediction columns present in both tables; their mean is the
     text channel.  With ``fold`` given, stored folds are used and must not split
     a group.
@@ -77,7 +80,9 @@ def run(
     goal = target.join(has_partner(target_groups, key), key).withColumnRenamed("has_partner", "partner")
     goal = cut_lineage(goal.withColumn("cell", B.property_cells(goal, F.col(short), F.col("partner"))))
     rows, missing = B.cell_weights(rows, goal, "cell")
-    enforce(missing, "target cells")
+    uncovered = missing.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    # Where similarity joins all rows into one group no fit can leave a row's group out.
+    crossed = len(rows.select("fold").where("fold IS NOT NULL").distinct().take(2)) > 1
 
     mean_of = lambda names: reduce(lambda a, b: a + b, [F.col(n) for n in names]) / float(len(names))
     rows, goal = rows.withColumn("text", mean_of(runs)), goal.withColumn("text", mean_of(runs))
@@ -86,7 +91,8 @@ def run(
         for i, (view, size) in enumerate(channel.views):
             name = f"__{channel.name}{i}"
             m = L.collect_moments(rows, view, label, ["fold"], size)
-            rows = L.predict_by_fold(rows, L.fold_lines(m, channel.alpha), view, "fold", name)
+            lines = L.fold_lines(m, channel.alpha) if crossed else {}
+            rows = L.predict_by_fold(rows, lines, view, "fold", name)
             line = L.solve(m.pick(lambda c: True), m.centre, channel.alpha)
             goal = L.predict_with(goal, line, view, name)
             oof_names.append(name)
@@ -97,15 +103,25 @@ def run(
     keep = [key, label, "fold", "group", short, "partner", "weight", *names]
     rows = cut_lineage(rows.select(*keep))
 
-    nested, choices = B.nested_blend(rows, names, label, "fold", "weight")
-    predictions, line, weights = B.final_blend(rows, goal.select(key, *names), names, label, "weight")
+    goal_channels = goal.select(key, *names)
+    if crossed:
+        nested, choices = B.nested_blend(rows, names, label, "fold", "weight")
+        predictions, line, weights = B.final_blend(rows, goal_channels, names, label, "weight")
+    else:
+        none = F.lit(None).cast("double")
+        nested, predictions, line, weights = rows.withColumn("prediction", none), goal_channels.withColumn("prediction", none), None, [None] * len(names)
+        columns = ", ".join(f"{n} double" for n in names)
+        choices = train.sparkSession.createDataFrame([], f"fold {dict(rows.dtypes)['fold']}, {columns}, intercept double, slope double")
     return HonestBlend(
-        nested, predictions.select(key, "prediction"), report(nested, goal, label, short, names, weights, line), choices
+        nested, predictions.select(key, "prediction"), report(nested, goal, label, short, names, weights, line, uncovered), choices
     )
 
 
-def report(nested: DataFrame, goal: DataFrame, label: str, short: str, names: Sequence[str], weights: np.ndarray, line: L.Line) -> DataFrame:
-    """Sizes, property shares, weighted and plain metrics, final parameters, as tall rows."""
+def report(nested: DataFrame, goal: DataFrame, label: str, short: str, names: Sequence[str], weights: Sequence[float | None], line: L.Line | None, uncovered: int = 0) -> DataFrame:
+    """Sizes, property shares, weighted and plain metrics, final parameters, as tall rows.
+
+    Target rows whose cell has no training row are counted as ``target_uncovered`` if there are any.
+    """
     spark = nested.sparkSession
     columns = {**{n: n for n in names}, "blend_nested": "prediction"}
     entry = lambda section, name, value: F.struct(
@@ -128,8 +144,9 @@ def report(nested: DataFrame, goal: DataFrame, label: str, short: str, names: Se
         F.array(entry("share", "short_target", share(F.col(short))), entry("share", "partner_target", share(F.col("partner")))).alias("c")
     )
     measured = nested.agg(F.array(*cells).alias("c")).unionByName(groups).unionByName(mix)
-    fixed = [("final_weight", n, float(w)) for n, w in zip(names, weights)]
-    fixed += [("calibration", "intercept", line.intercept), ("calibration", "slope", float(line.standardized[0]))]
+    fixed = [("final_weight", n, None if w is None else float(w)) for n, w in zip(names, weights)]
+    fixed += [("calibration", "intercept", line and line.intercept), ("calibration", "slope", line and float(line.standardized[0]))]
+    fixed += [("size", "target_uncovered", float(uncovered))] if uncovered else []
     return (
         measured.select(F.explode("c").alias("c"))
         .select("c.*")

@@ -76,3 +76,28 @@ def test_honest_blend_matches_numpy(spark):
     assert np.allclose([r["prediction"] for r in got], blended, atol=1e-8)
     assert out.predictions.count() == is_target.sum()
     assert {r["section"] for r in out.report.collect()} >= {"size", "share", "target_like_rmse", "final_weight", "calibration"}
+
+
+def test_honest_blend_of_one_group_and_of_uncovered_cells(spark):
+    """Similarity may join all training rows, and leave target rows of a kind that training has not."""
+    def table(first, vectors, short):
+        rng = np.random.default_rng(first)
+        return spark.createDataFrame(
+            [(first + i, float(rng.uniform(1, 5)), [float(v) for v in x], [float(v) for v in rng.normal(size=2)], float(i % 5), i % 2 == short) for i, x in enumerate(vectors)],
+            "id long, y double, v array<double>, f array<double>, run double, short boolean",
+        )
+
+    def run(train, target):
+        return H.run(train, target.drop("y"), "id", "y", ("v", 3), 0.8, ["run"], [H.Channel("audio", [("f", 2)], 1.0)], "short")
+
+    def report(out):
+        return {(r["section"], r["name"]): r["value"] for r in out.report.collect()}
+
+    near = [(1.0, 0.01 * i, 0.0) for i in range(8)]
+    apart = [(-1.0, 0.0, 0.0), (0.0, -1.0, 0.0), (0.0, 0.0, 1.0)]
+    one = run(table(0, near, 0), table(100, near[:2] + apart, 0))
+    found = report(one)
+    assert found["size", "groups"] == 1 and found["size", "target_uncovered"] == 3
+    assert found["final_weight", "audio"] is None and found["rmse", "blend_nested"] is None and found["rmse", "text"] > 0
+    assert one.oof.count() == 8 and {r["prediction"] for r in one.oof.collect()} == {None}
+    assert one.predictions.count() == 5 and one.choices.count() == 0
