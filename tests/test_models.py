@@ -248,6 +248,20 @@ def test_tfidf_ridge_is_the_dense_ridge(spark, include_char):
     assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_tfidf_stores_nothing_and_deals_texts_once(spark):
+    def files():
+        folder = shared_dir(spark).removeprefix("file:")
+        return {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names}
+
+    before = files()
+    df = spark.createDataFrame([(1, "aa bb aa"), (2, "aa bb cc"), (3, "cc aa bb")], "id long, t string")
+    found = {r["id"]: {t["term"]: t["weight"] for t in r["terms"]} for r in X.tfidf(df, "id", X.word_grams("t")).collect()}
+    assert files() == before
+    plain = {"aa": (1 + np.log(2)), "bb": 1.0, "aa bb": 1.0}  # each in all documents
+    size = np.sqrt(sum(v * v for v in plain.values()))
+    assert found[1] == pytest.approx({k: v / size for k, v in plain.items()})
+
+
 def test_tfidf_ridge_leaves_no_table_of_a_past_step(spark):
     def tables():
         folder = shared_dir(spark).removeprefix("file:")
