@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
-from ..functions.numeric import count_where, ratio
+from ..functions.numeric import count_where, is_finite, ratio
 from ..session import cut_lineage
 from .ranking import exact_quantiles
 
@@ -29,6 +29,7 @@ SHORT_SEGMENT_SECONDS = 2.0
 LONG_GAPS = (0.5, 1.0, 2.0)
 LONG_PAUSE_SECONDS = 0.5
 ACTIVITY_RELATIVE_THRESHOLD = 0.1
+MEAN_ROUNDING = 1e-12  # of the mean magnitude: what the order of summation may do to a mean
 DURATION_BUCKETS = ("<20 seconds", "20-40 seconds", ">40 seconds")
 # ----------------------
 
@@ -302,10 +303,17 @@ def energy_stats(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
 def zero_crossing(
     df: DataFrame, key: Sequence[str], frame: str, bucket: str, order: Sequence[str], value: str
 ) -> DataFrame:
-    """Share of sign changes of the centred series inside frames: mean and spread."""
+    """Share of sign changes of the centred series inside frames: mean and spread.
+
+    A row that equals the mean is not negative.  The order of summation moves a mean by its last
+    digits, so a row within ``MEAN_ROUNDING`` of it counts as equal; otherwise such a row would
+    change its sign with the partitioning.
+    """
     key = list(key)
-    centre = df.groupBy(*key).agg(F.avg(value).alias("__centre"))
-    signed = df.join(centre, key).select(*key, frame, bucket, *order, (F.col(value) < F.col("__centre")).alias("negative"))
+    size = F.avg(F.abs(F.col(value)))
+    centre = df.groupBy(*key).agg(F.avg(value).alias("__centre"), F.when(is_finite(size), size * MEAN_ROUNDING).otherwise(0.0).alias("__slack"))
+    below = (F.col(value) < F.col("__centre")) & (F.col("__centre") - F.col(value) > F.col("__slack"))
+    signed = df.join(centre, key).select(*key, frame, bucket, *order, below.alias("negative"))
     linked = previous_row(signed, [*key, frame], bucket, order, {"was": F.col("negative")})
     crossed = F.when(F.col("was") != F.col("negative"), 1.0).when(F.col("was").isNotNull(), 0.0)
     per_frame = linked.groupBy(*key, frame).agg(F.coalesce(F.avg(crossed), F.lit(0.0)).alias("rate"))

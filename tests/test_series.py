@@ -82,3 +82,17 @@ def test_plan_chunks(spark, n, chunk, tail, expected):
 def test_plan_full_windows(spark, n, window, expected):
     df = spark.range(1).select(S.plan_full_windows(F.lit(n).cast("bigint"), window).alias("c"))
     assert [(c["start"], c["end"]) for c in one(df)["c"]] == expected
+
+
+@pytest.mark.parametrize("dealt", [(0, 1, 2), (2, 1, 0)])
+def test_a_row_at_the_mean_keeps_its_sign_in_any_order_of_rows(spark, dealt):
+    # 0.1 + 0.2 + 0.3 is more than three times 0.2 in one order of summation and less in another.
+    rows = [(1, 0, 0, 0, 0.1), (1, 0, 0, 2, 0.2), (1, 0, 0, 1, 0.3)]
+    df = spark.createDataFrame([rows[i] for i in dealt], "k int, f int, b int, i int, v double").coalesce(1)
+    got = one(S.zero_crossing(df, ["k"], "f", "b", ["i"], "v"))
+    assert got["frames"] == 1 and got["zcr_mean"] == 0.5
+
+
+def test_infinite_values_keep_their_order_about_the_mean(spark):
+    df = spark.createDataFrame([(1, 0, 0, 0, 1.0), (1, 0, 0, 1, float("inf")), (1, 0, 0, 2, 2.0)], "k int, f int, b int, i int, v double")
+    assert one(S.zero_crossing(df, ["k"], "f", "b", ["i"], "v"))["zcr_mean"] == 1
