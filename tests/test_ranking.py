@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rubrica.operators import drift as D
 from rubrica.operators import ranking as R
@@ -137,3 +138,42 @@ def test_variance_sparsity(spark):
     assert got["edge"]["near_zero_variance"] and not got["edge"]["zero_over_95_percent"]
     assert got["rare"]["near_zero_variance"] and got["rare"]["zero_over_95_percent"]
     assert not got["free"]["near_zero_variance"]
+
+
+def audited(spark):
+    rows = [
+        (i, "train" if i % 10 < 7 else "test", float(i % 4), None if i % 5 == 0 else i * 0.37 % 11, 3.0, 0.1 if i % 10 < 7 else 0.3, float("nan") if i == 11 else i / 7, None)
+        for i in range(90)
+    ]
+    return spark.createDataFrame(rows + [(0, "train", None, 1.0, 3.0, 0.1, 2.0, None), (5, "none", 1.0, 7.0, 4.0, 9.0, 2.0, None)], "k int, s string, y double, a double, b double, c double, d double, e double")
+
+
+def test_audit_report_equals_its_single_operators(spark):
+    df, names = audited(spark), list("abcde")
+    got = {(r["section"], r["split"], r["name"], r["metric"]): r["value"] for r in D.audit_report(df, "s", "k", "y", names, {n: "all" for n in names}).collect()}
+    want = {}
+
+    def add(section, split, table, metrics):
+        for row in table.collect():
+            want.update({(section, split, row["feature"], m): None if row[m] is None else float(row[m]) for m in metrics})
+
+    for side in ("train", "test"):
+        own = df.where(F.col("s") == side)
+        add("variance_sparsity", side, D.variance_sparsity(own, names), ["zero_variance", "near_zero_variance", "zero_over_95_percent", "zero_over_99_percent"])
+        add("distribution", side, D.distribution_summary(own, names), ["mean", "std", "min", "max", *D.PERCENTILES, "zero_fraction"])
+    add("shift", None, D.smd_sample(df, "s", names), ["smd", "abs_smd"])
+    add("shift", None, D.ks_statistic(df, "s", [n for n in names if n != "e"]), ["ks"])
+    add("label_correlation", "train", D.label_correlations(df.where("s = 'train'"), "y", names), ["pearson", "spearman"])
+    mine = {k: v for k, v in got.items() if k[0] not in ("integrity", "high_correlation", "family_correlation")}
+    assert set(mine) == set(want)
+    for k, v in want.items():
+        assert mine[k] == (v if v is None else pytest.approx(v, abs=1e-9, nan_ok=True)), k
+
+
+def test_audit_report_orders_its_values_once(spark, monkeypatch):
+    ordered = []
+    plain = R.cumulative
+    for module in (R, D):
+        monkeypatch.setattr(module, "cumulative", lambda *args: ordered.append(args) or plain(*args))
+    D.audit_report(audited(spark), "s", "k", "y", list("abc"), {n: "all" for n in "abc"}).collect()
+    assert len(ordered) == 1
