@@ -20,6 +20,25 @@ def staged(t, twice: bool = False) -> tuple[str, object]:
     return path, rows.schema
 
 
+ROWS_PER_FILE, FILES_PER_TRIGGER = 250_000, 8
+
+
+def arriving(t) -> tuple[str, object]:
+    """Events as a folder of small files that come day after day, as the file source orders them by their time of writing.
+
+    A batch of a few files then holds a short span of time, and windows close as the stream goes on.
+    Rows of one day may come in any order: they are not a day behind each other.
+    """
+    days, path = scratch_path(t.spark, "stream-days"), scratch_path(t.spark, "stream-in")
+    rows = t.events.select("event_id", "ts", "user_id", "event_type", "value")
+    rows.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(days)
+    dealt = t.spark.read.parquet(days)
+    for day in [r["day"] for r in dealt.select("day").distinct().orderBy("day").collect()]:
+        own = dealt.where(F.col("day").eqNullSafe(F.lit(day))).select(*rows.columns)
+        own.coalesce(FILES_PER_TRIGGER).write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    return path, rows.schema
+
+
 def run_and_close(t, path: str, run) -> None:
     """Run a stream, then again with a row that closes every window; no row may be late."""
     late = run()
@@ -52,9 +71,9 @@ def _(t):
     "rms",
 )
 def _(t):
-    path, schema = staged(t)
+    path, schema = arriving(t)
     sink, check = scratch_path(t.spark, "frames"), scratch_path(t.spark, "frames-state")
-    run_and_close(t, path, lambda: J.run_append(J.hopping_frames(J.event_stream(t.spark, path, schema), ["user_id"], "ts", "value", "1 hour", "15 minutes", "1 day"), sink, check))
+    run_and_close(t, path, lambda: J.run_append(J.hopping_frames(J.event_stream(t.spark, path, schema, files_per_trigger=FILES_PER_TRIGGER), ["user_id"], "ts", "value", "1 hour", "15 minutes", "1 day"), sink, check))
     return t.spark.read.parquet(sink).where("user_id IS NOT NULL").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "rms")
 
 
@@ -66,9 +85,9 @@ def _(t):
     "total",
 )
 def _(t):
-    path, schema = staged(t)
+    path, schema = arriving(t)
     sink, check = scratch_path(t.spark, "sessions"), scratch_path(t.spark, "sessions-state")
-    run_and_close(t, path, lambda: J.run_append(J.activity_sessions(J.event_stream(t.spark, path, schema), ["user_id"], "ts", "value", "6 hours", "1 day"), sink, check))
+    run_and_close(t, path, lambda: J.run_append(J.activity_sessions(J.event_stream(t.spark, path, schema, files_per_trigger=FILES_PER_TRIGGER), ["user_id"], "ts", "value", "6 hours", "1 day"), sink, check))
     return t.spark.read.parquet(sink).where("user_id IS NOT NULL").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "total")
 
 

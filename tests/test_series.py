@@ -96,3 +96,23 @@ def test_a_row_at_the_mean_keeps_its_sign_in_any_order_of_rows(spark, dealt):
 def test_infinite_values_keep_their_order_about_the_mean(spark):
     df = spark.createDataFrame([(1, 0, 0, 0, 1.0), (1, 0, 0, 1, float("inf")), (1, 0, 0, 2, 2.0)], "k int, f int, b int, i int, v double")
     assert one(S.zero_crossing(df, ["k"], "f", "b", ["i"], "v"))["zcr_mean"] == 1
+
+
+def test_events_arrive_day_after_day_in_small_files(spark, tmp_path, monkeypatch):
+    from catalog import streams
+    from catalog.base import Tables
+
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 10)
+    rows = spark.range(200).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, int(id * 37 % 96)) AS ts", "id % 3 AS user_id", "'a' AS event_type", "double(id) AS value"
+    )
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    path, _ = streams.arriving(Tables(spark, str(tmp_path)))
+    got = spark.read.parquet(path).select("event_id", F.to_date("ts").cast("string").alias("day"), "_metadata.file_path", "_metadata.file_modification_time").collect()
+    assert sorted(r["event_id"] for r in got) == list(range(200))
+    files = {}
+    for r in got:
+        files.setdefault((r["file_modification_time"], r["file_path"]), []).append(r["day"])
+    assert max(len(days) for days in files.values()) <= 10
+    days = [sorted(set(files[f])) for f in sorted(files)]
+    assert all(len(d) == 1 for d in days) and days == sorted(days)
