@@ -291,3 +291,62 @@ def test_groups_are_packed_as_one_by_one(seed):
     got = FO.pack_sizes({s: sizes.count(s) for s in set(sizes)}, 5)
     assert {(s, f): last - first + 1 for s, f, first, last in got} == want
     assert sum(last - first + 1 for _, _, first, last in FO.pack_sizes({1: 10**12 + 3, 7: 2}, 5)) == 10**12 + 5
+
+
+def test_char_hashes_are_the_char_grams(spark):
+    import pyarrow as pa
+
+    from rubrica.operators.sparse_ridge import char_hashes
+
+    texts = ["ab  abc\tx", "", None, " \n ", "größe 東京都 🙂🙂", "a\x0bb c d", "x" * 40, "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    want = {r["i"]: r["g"] or [] for r in df.select("i", X.char_grams("t").alias("g")).collect()}
+    # As a slice, whose offsets do not begin at zero.
+    row, code = char_hashes(pa.array(["before", *texts], pa.string()).slice(1))
+    found = {i: [] for i in want}
+    for i, c in zip(row.tolist(), code.tolist(), strict=True):
+        found[i].append(c)
+    name = {}
+    for i, grams in want.items():
+        assert len(found[i]) == len(grams)
+        # The grams of one size come in the order of the text.
+        for n in (3, 4, 5):
+            name |= dict.fromkeys(g for g in grams if len(g) == n)
+    assert len({c for codes in found.values() for c in codes}) == len(name)
+    from collections import Counter
+
+    for i in want:
+        assert sorted(Counter(found[i]).values()) == sorted(Counter(want[i]).values())
+    assert set(found[7]) <= set(char_hashes(pa.array(["ab  abc\tx"]))[1].tolist()) and not set(found[6]) & set(found[0])
+
+
+def test_ridge_blocks_stay_where_they_are(spark, monkeypatch):
+    """Only what the terms need is dealt anew in a step, and a block's terms are told once."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    from rubrica.operators import sparse_ridge
+
+    plans, old = [], PandasCogroupedOps.applyInArrow
+
+    def apply(self, fn, schema):
+        out = old(self, fn, schema)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", apply)
+    monkeypatch.setattr(sparse_ridge, "BLOCK_ENTRIES", 40)
+    monkeypatch.setattr(sparse_ridge, "PIECE_GRAMS", 16)
+    rows = [(i, f"aa bb c{i % 7} d{i % 5} e{i % 3}", float(i % 4), i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, t string, y double, fold int")
+    got = {r["id"]: r["prediction"] for r in X.tfidf_ridge_oof(df, "id", "t", "y", "fold", 1.0, True).collect()}
+    steps = [p for p in plans if "InMemoryTableScan" in p]
+    assert len(steps) > 4
+    for p in steps:
+        lines = p.splitlines()
+        at = next(i for i, line in enumerate(lines) if "InMemoryTableScan" in line)
+        above = [line for line in lines[:at] if len(line) - len(line.lstrip(" :+-")) < len(lines[at]) - len(lines[at].lstrip(" :+-"))]
+        assert not any("Exchange" in line for line in above)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0
+    monkeypatch.undo()
+    one_block = {r["id"]: r["prediction"] for r in X.tfidf_ridge_oof(df.coalesce(1), "id", "t", "y", "fold", 1.0, True).collect()}
+    assert got == pytest.approx(one_block, abs=1e-7)
