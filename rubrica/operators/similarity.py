@@ -40,8 +40,8 @@ MAX_BITS = 16
 LARGE = 4  # a core of so many blocks is not compared with itself
 SAMPLE = 1024
 SLACK = 1e-9
-# Nearest match: rows of the tree's sample, its leaves and branches, rows of a block, leaves of the second search.
-TREE_SAMPLE, MAX_LEAVES, BRANCHES, MATCH_ROWS, FEW = 1 << 15, 4096, 8, 2048, 4
+# Nearest match: rows of the tree's sample, its leaves and branches, rows of a block, cells of the second search, (row, leaf) pairs looked at together.
+TREE_SAMPLE, MAX_LEAVES, BRANCHES, MATCH_ROWS, FEW, PAIRS = 1 << 15, 4096, 8, 8192, 4, 1 << 20
 
 
 def choose_pivots(units: DataFrame, key: str, vector: str, apart: float, cell_rows: int = CELL_ROWS) -> np.ndarray:
@@ -357,6 +357,18 @@ class Tree:
             level = below
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
+    def cells(self, rows: int) -> np.ndarray:
+        """A cell for each leaf: leaves that follow each other in the tree share one while it has no more than so many rows."""
+        cell, now, held, todo = np.full(len(self.children), -1), -1, 0, [0]
+        while todo:
+            n = todo.pop()
+            todo.extend(reversed(self.children[n]))
+            if not self.children[n] and self.size[n]:
+                if now < 0 or held + self.size[n] > rows:
+                    now, held = n, 0
+                cell[n], held = now, held + self.size[n]
+        return cell
+
 
 def build_tree(sample: np.ndarray, leaves: int) -> Tree:
     """Levels of ``BRANCHES`` children: centres lie far apart among a node's sample rows, which go to the nearest one."""
@@ -394,11 +406,13 @@ def nearest_match(
     """Exact best cosine of each left unit vector among the right ones.
 
     Right rows live in the leaves of a metric tree of several levels, grown from a sample of
-    fixed size, whose nodes know how far their rows reach.  A left row is matched in its own
-    leaf first, then in the few leaves that may hold something nearest, and at last in all
-    leaves that what it has found leaves open; every search narrows the next.  A row without a
-    direction, or without any row to match, has a NULL match.  With ``count_seen``, ``seen``
-    is the number of right rows that a left row was compared with.
+    fixed size, whose nodes know how far their rows reach; small leaves beside each other are
+    one cell.  A left row is matched in its own cell first, then in the few cells that may hold
+    something nearest, and at last in all cells that what it has found leaves open; every search
+    narrows the next.  A row is stored once with the cells it is to visit, and is copied only on
+    its way to their blocks, so a task holds two blocks whatever the number of open cells is.  A
+    row without a direction, or without any row to match, has a NULL match.  With
+    ``count_seen``, ``seen`` is the number of right rows that a left row was compared with.
     """
     spark, kind = left.sparkSession, dict(left.dtypes)[key]
     directed = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
@@ -410,24 +424,28 @@ def nearest_match(
     if not sample:
         return everything.select(key, *none)
     tree = build_tree(np.array([x[0] for x in sample], float), int(min(MAX_LEAVES, max(1, -(-right.count() // cell_rows)))))
-    shape = f"`{key}` {kind}, `{vector}` array<double>, cell int, distance double"
 
     def settle(batches):
         for batch in batches:
             if len(batch):
                 leaf, near = tree.home(np.stack(batch[vector].to_numpy()).astype(float))
-                yield batch.assign(cell=leaf.astype("int32"), distance=near)
+                yield batch.assign(leaf=leaf.astype("int32"), distance=near)
 
-    homes = stored(right.mapInPandas(settle, shape), "match-homes")
-    cells = homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius"))
-    tree.count({r["cell"]: (r["n"], r["radius"]) for r in cells.collect()})  # at most MAX_LEAVES rows and some
-    sizes = spark.createDataFrame([(n, int(s), int(-(-s // block_rows))) for n, s in enumerate(tree.size) if s and not tree.children[n]], "cell int, n bigint, rb int")
+    homes = stored(right.mapInPandas(settle, f"`{key}` {kind}, `{vector}` array<double>, leaf int, distance double"), "match-homes")
+    leaves = homes.groupBy("leaf").agg(F.count("*").alias("n"), F.max("distance").alias("radius"))
+    tree.count({r["leaf"]: (r["n"], r["radius"]) for r in leaves.collect()})  # at most MAX_LEAVES rows and some
+    cell_of = tree.cells(cell_rows)
+    held = np.bincount(cell_of[cell_of >= 0], tree.size[cell_of >= 0]).astype(int)
+    sizes = spark.createDataFrame([(n, int(s), int(-(-s // block_rows))) for n, s in enumerate(held) if s], "cell int, n bigint, rb int")
+    named = spark.createDataFrame([(n, int(c)) for n, c in enumerate(cell_of) if c >= 0], "leaf int, cell int")
+    homes = homes.join(F.broadcast(named), "leaf").select(key, vector, "cell")
 
     def search(wanted: DataFrame) -> DataFrame:
-        loads = wanted.groupBy("cell").agg(F.count("*").alias("m"))
+        """Rows are compared with all of the ``cells`` that they name."""
+        loads = wanted.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("m"))
         split = F.broadcast(sizes.join(loads, "cell").select("cell", "rb", F.ceil(F.col("m") / F.lit(float(block_rows))).cast("int").alias("lb")))
         slot = lambda n: F.pmod(F.xxhash64(key), F.col(n).cast("bigint")).cast("int")
-        l = wanted.join(split, "cell").select(
+        l = wanted.select(key, vector, F.explode("cells").alias("cell")).join(split, "cell").select(
             key, vector, "cell", slot("lb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("j"), F.lit(True).alias("is_left")
         )
         r = homes.join(split, "cell").select(
@@ -439,9 +457,13 @@ def nearest_match(
             if not len(a) or not len(b):
                 return pd.DataFrame({key: a[key][:0], "match": a[key][:0], "cosine": np.zeros(0), "seen": np.zeros(0, int)})
             b = b.sort_values(key)
-            cosine = np.stack(a[vector].to_numpy()).astype(float) @ np.stack(b[vector].to_numpy()).astype(float).T
-            best = cosine.argmax(axis=1)
-            return pd.DataFrame({key: a[key].to_numpy(), "match": b[key].to_numpy()[best], "cosine": cosine[np.arange(len(a)), best], "seen": len(b)})
+            found, others = [], np.stack(b[vector].to_numpy()).astype(float).T
+            for start in range(0, len(a), TILE // 4):
+                part = a.iloc[start : start + TILE // 4]
+                cosine = np.stack(part[vector].to_numpy()).astype(float) @ others
+                best = cosine.argmax(axis=1)
+                found.append(pd.DataFrame({key: part[key].to_numpy(), "match": b[key].to_numpy()[best], "cosine": cosine[np.arange(len(part)), best], "seen": len(b)}))
+            return pd.concat(found, ignore_index=True)
 
         return l.unionByName(r).groupBy("cell", "i", "j").applyInPandas(match, f"`{key}` {kind}, match {kind}, cosine double, seen bigint")
 
@@ -449,27 +471,38 @@ def nearest_match(
         top = found.groupBy(key).agg(F.min_by(F.struct("match", "cosine"), F.struct(-F.col("cosine"), F.col("match"))).alias("b"), F.sum("seen").alias("seen"))
         return top.select(key, "b.match", "b.cosine", "seen")
 
-    done = stored(best(search(left.mapInPandas(settle, shape))), "match-found")
+    shape = f"`{key}` {kind}, `{vector}` array<double>, cells array<int>"
+    tile = int(min(max(PAIRS // len(tree.children), 1), TILE))
+
+    def begin(batches):
+        for batch in settle(batches):
+            yield batch[[key, vector]].assign(cells=list(cell_of[batch["leaf"].to_numpy()].astype("int32")[:, None]))
+
+    done = stored(best(search(left.mapInPandas(begin, shape))), "match-found")
     for first, last in ((0, FEW), (FEW, None)):
         # What was open before this search, in order of the least distance, without what was searched.
         def visit(batches, first=first, last=last):
             for batch in batches:
-                for start in range(0, len(batch), TILE):
-                    part = batch.iloc[start : start + TILE]
+                for start in range(0, len(batch), tile):
+                    part = batch.iloc[start : start + tile]
                     x = np.stack(part[vector].to_numpy()).astype(float)
                     widest = np.sqrt(np.maximum(2 - 2 * part["first"].to_numpy(), 0))
                     row, leaf, near = tree.open_leaves(x, widest)
-                    own = tree.home(x)[0]
-                    use = leaf != own[row]
-                    row, leaf, near = row[use], leaf[use], near[use]
-                    order = np.lexsort((leaf, near, row))
-                    row, leaf, near = row[order], leaf[order], near[order]
-                    begin = np.searchsorted(row, np.arange(len(x)))
-                    place = np.arange(len(row)) - begin[row]
+                    cell, own = cell_of[leaf], cell_of[tree.home(x)[0]]
+                    order = np.lexsort((near, cell, row))
+                    row, cell, near = row[order], cell[order], near[order]
+                    # A cell is as near as the nearest of its leaves.
+                    use = (cell != own[row]) & np.concatenate([[True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])])[: len(row)]
+                    row, cell, near = row[use], cell[use], near[use]
+                    order = np.lexsort((cell, near, row))
+                    row, cell, near = row[order], cell[order], near[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(x)))[row]
                     bound = np.sqrt(np.maximum(2 - 2 * part["cosine"].to_numpy(), 0))
                     use = (place >= first) & (place < (len(row) if last is None else last)) & (near <= bound[row] + SLACK)
-                    row = row[use]
-                    yield pd.DataFrame({key: part[key].to_numpy()[row], vector: part[vector].to_numpy()[row], "cell": leaf[use].astype("int32"), "distance": near[use]})
+                    row, cell = row[use], cell[use].astype("int32")
+                    some, begin = np.unique(row, return_index=True)
+                    if len(some):
+                        yield part.iloc[some][[key, vector]].assign(cells=np.split(cell, begin[1:]))
 
         if first == 0:
             done = done.withColumn("first", F.col("cosine"))

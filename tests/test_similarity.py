@@ -157,6 +157,42 @@ def test_nearest_match_is_exact(spark, cells):
         assert r["cosine"] == pytest.approx(cosine[r["id"]].max()) and r["match"] == cosine[r["id"]].argmax()
 
 
+def test_nearest_match_stores_a_row_once_however_many_cells_are_open(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    left, right = unit(rng.normal(size=(70, 16))), unit(rng.normal(size=(300, 16)))  # no structure: all cells stay open
+    tables, old = [], S.stored
+
+    def stored(df, name):
+        out = old(df, name)
+        tables.append((name, out))
+        return out
+
+    monkeypatch.setattr(S, "stored", stored)
+    monkeypatch.setattr(S, "PAIRS", 64, raising=False)
+    rows = S.nearest_match(frame(spark, left), frame(spark, right), "id", "v", cell_rows=10, block_rows=7, count_seen=True).collect()
+    assert [r["match"] for r in sorted(rows, key=lambda r: r["id"])] == list((left @ right.T).argmax(axis=1))
+    assert sum(r["seen"] for r in rows) > 0.7 * 70 * 300
+    found = [t for name, t in tables if name == "match-wanted"]
+    assert len(found) == 2
+    for table in found:
+        assert 0 < table.count() <= 70 and table.select("id").distinct().count() == table.count()
+
+
+def test_cells_hold_all_leaves_in_order(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(500, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = S.build_tree(x, 60)
+    leaf, near = tree.home(x)
+    tree.count({int(n): (int((leaf == n).sum()), float(near[leaf == n].max())) for n in np.unique(leaf)})
+    cell = tree.cells(40)
+    assert (cell[leaf] >= 0).all() and (cell[[n for n, c in enumerate(tree.children) if c]] == -1).all()
+    sizes = {c: sum(tree.size[n] for n in np.flatnonzero(cell == c)) for c in set(cell.tolist()) - {-1}}
+    assert sum(sizes.values()) == 500 and len(sizes) < len(np.unique(leaf))
+    assert all(n <= 40 or (cell == c).sum() == 1 for c, n in sizes.items())
+
+
 def test_has_partner(spark):
     groups = spark.createDataFrame([(0, 0), (1, 0), (2, 2)], "id int, group int")
     assert {r["id"]: r["has_partner"] for r in S.has_partner(groups, "id").collect()} == {0: True, 1: True, 2: False}
