@@ -350,3 +350,37 @@ def test_ridge_blocks_stay_where_they_are(spark, monkeypatch):
     monkeypatch.undo()
     one_block = {r["id"]: r["prediction"] for r in X.tfidf_ridge_oof(df.coalesce(1), "id", "t", "y", "fold", 1.0, True).collect()}
     assert got == pytest.approx(one_block, abs=1e-7)
+
+
+def test_tfidf_deals_texts_and_packed_hashes_only(spark):
+    """No exchange carries a row for each document and term."""
+    df = spark.createDataFrame([(i, f"aa bb c{i % 7} d{i % 5} e{i}", i % 3 > 0) for i in range(40)], "id long, t string, train boolean")
+    plan = X.tfidf(df, "id", X.word_grams("t"), F.col("train"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Generate" not in plan and "SortMergeJoin" not in plan and "collect_list" not in plan
+
+
+def test_tfidf_rows_of_one_key_are_one_document(spark):
+    rows = [(1, "aa bb", True), (1, "aa", True), (2, "aa cc", True), (3, "bb aa \U0001f642x", False), (4, None, True), (None, "cc", True)]
+    df = spark.createDataFrame(rows, "id long, t string, train boolean")
+    found = {r["id"]: {t["term"]: t["weight"] for t in r["terms"]} for r in X.tfidf(df, "id", X.word_grams("t"), F.col("train")).collect()}
+    # Five training rows; "aa" is in two training documents, "cc" in two, "bb" in one.
+    idf = np.log(6 / 3) + 1
+    assert set(found) == {1, 2, 3, None} and found[3] == {"aa": pytest.approx(1.0)} and found[None] == {"cc": pytest.approx(1.0)}
+    assert found[1] == {"aa": pytest.approx(1.0)} and found[2] == {"aa": pytest.approx(idf / np.hypot(idf, idf)), "cc": pytest.approx(np.sqrt(0.5))}
+
+
+def test_hashes_and_counts_come_back_whole():
+    rng = np.random.default_rng(3)
+    for ranges in (1, 3, 12):
+        for size in (0, 1, 5, 60000):
+            hashes = np.unique(rng.integers(0, 2**64, size, np.uint64))
+            cuts = X.ranges_of(hashes, ranges)
+            for r in range(ranges):
+                part, least = hashes[cuts[r] : cuts[r + 1]], X.range_start(r, ranges)
+                assert (X.unpacked_hashes(X.packed_hashes(part, least), least, len(part)) == part).all()
+    counts = rng.integers(0, 2**32, 1000)
+    assert (X.unpacked_counts(X.packed_counts(counts)) == counts).all()
+    import pyarrow as pa
+
+    codes = X.term_hashes(pa.array(["skipped", "a", "ab", "ba", "", "a", "\x00", "\x00a"]).slice(1))
+    assert codes[0] == codes[4] and len(set(codes.tolist())) == 6
